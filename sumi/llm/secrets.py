@@ -1,0 +1,139 @@
+"""Secret scans: fixed patterns plus sliding-window Shannon entropy, in DataFrame functions only.
+
+`splits` of a text around a pattern and the matches themselves alternate, so summing their lengths gives every
+match's place in code points without a Python function. Candidate strings are runs of key characters with a digit
+in them. Each is scanned once with a window of fixed width: a step takes one character out and one in, and updates
+the sum of n*log2(n) over the window's counts by those two characters only. The largest entropy of any window is
+held against the limit of the candidate's character class (hex, one-case, mixed). Allow-listed shapes (UUIDs,
+plain sequences, placeholders, one repeated block) are suppressed, and so is what a base span covers already.
+
+Edge cases: null and empty texts have no spans; equal starts are ordered as kinds are listed; repeated rows give
+repeated rows; very long texts are scanned whole, in one pass for each pattern.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]{14,}"
+HEX = r"[0-9a-f]{16,}"
+#: Runs of key characters; without a digit a run is taken for words.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+KINDS = ("assign", "access", "hex", "entropy")
+MIN_VALUE = 12
+WINDOW = 20
+#: Bits in any window of WINDOW characters from which a candidate of that class is a secret; the most is log2(20) = 4.32.
+LIMITS = {"hex": 3.1, "one_case": 3.6, "mixed": 3.8}
+ALLOW = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i:example|placeholder|changeme|x{6}|abcdefgh|12345678|00000000)|^(.{1,8})\2{2,}$|^[0-9/_=+-]+$"
+MASK = "[SECRET]"
+SPAN = "struct<start:bigint,kind:int,end:bigint,hit:string,value:string>"
+
+
+def _spans(text: Column, kind: int, pattern: str, group: int = 0) -> Column:
+    """All matches as (start, kind, end, match, group), left to right, code points."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+    zipped = F.zip_with(F.arrays_zip(hits.alias("hit"), values.alias("value")), F.slice(gaps, 1, F.size(hits)), lambda m, gap: F.struct(m["hit"].alias("hit"), m["value"].alias("value"), F.length(gap).alias("gap")))
+    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+
+    def add(acc, m):
+        start = acc["at"] + m["gap"]
+        end = start + F.length(m["hit"])
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["hit"].alias("hit"), m["value"].alias("value")).cast(SPAN)
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    found = F.aggregate(zipped, empty, add, lambda acc: acc["spans"])
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def window_entropy(text: Column, width: int = WINDOW) -> Column:
+    """The largest Shannon entropy, in bits, of any window of `width` characters; 0 for shorter texts. ASCII."""
+    terms = F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(width + 2)))
+
+    def term(n):
+        return F.element_at(terms, (n + 1).cast("int"))
+
+    def count(window, char):
+        return F.length(window) - F.length(F.replace(window, char, F.lit("")))
+
+    def step(acc, i):
+        """i counts from 1; the window before this step ends at character i - 1."""
+        full = i > width
+        out = F.when(full, F.substring(text, i - width, F.lit(1))).otherwise("")
+        kept = F.substring(text, F.greatest(i - width + 1, F.lit(1)), F.least(i - 1, F.lit(width - 1)))
+        char = F.substring(text, i, F.lit(1))
+        left, came = count(kept, out), count(kept, char)
+        total = acc["sum"] + F.when(full, term(left) - term(left + 1)).otherwise(0.0) + term(came + 1) - term(came)
+        bits = F.when(i >= width, math.log2(width) - total / width).otherwise(0.0)
+        return F.struct(total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
+
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda acc: acc["best"])
+
+
+def scan(docs: DataFrame, allow: str = ALLOW, limits: dict[str, float] = LIMITS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` and `found`, all spans by start, then kind: array of (start, kind, end)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(*keep, text.alias("__text"))
+    text = F.col("__text")
+    bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    rows = rows.select(
+        *keep,
+        F.filter(_spans(text, 0, ASSIGN, 1), lambda s: F.length(s["value"]) >= MIN_VALUE).alias("assign"),
+        _spans(text, 1, ACCESS).alias("access"),
+        _spans(text, 2, HEX).alias("hex"),
+        F.filter(_spans(text, 3, CANDIDATE), lambda s: s["hit"].rlike("[0-9]") & ~s["hit"].rlike(allow)).alias("candidates"),
+    )
+    rows = rows.select(*keep, F.array_sort(F.concat(bare(F.col("assign")), bare(F.col("access")), bare(F.col("hex")))).alias("base"), "candidates")
+
+    def limit(hit):
+        one_case = ~(hit.rlike("[A-Z]") & hit.rlike("[a-z]"))
+        return F.when(hit.rlike("^[0-9a-fA-F]+$"), limits["hex"]).when(one_case, limits["one_case"]).otherwise(limits["mixed"])
+
+    secret = F.filter(
+        F.col("candidates"),
+        lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (window_entropy(s["hit"]) >= limit(s["hit"])),
+    )
+    return rows.select(*keep, F.array_sort(F.concat("base", bare(secret))).alias("found"))
+
+
+def joined(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, the number of each base kind, the digest of the base spans, and all spans as text."""
+    found = scan(docs)
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(joined(F.filter("found", lambda s: s["kind"] < 3)).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("found")).alias("spans"),
+        count(3).alias("n_entropy"),
+    )
+
+
+def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
+    """The same rows and columns; every span in `text` is replaced by `mask`, overlapping ones by one."""
+    names = docs.columns
+    rows = scan(docs.withColumn("__whole", F.struct(*names)), keep=("__whole",))
+    text = F.col("__whole")["text"]
+
+    def add(acc, s):
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        fresh = s["start"] >= acc["at"]
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+
+    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    masked = F.aggregate("found", empty, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    masked = F.when(F.size("found") > 0, masked).otherwise(text)
+    return rows.select(*((masked.alias(n) if n == "text" else F.col("__whole")[n].alias(n)) for n in names))
