@@ -23,7 +23,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import report
+    from .secret_scan import report
 
     return report(documents(spark, sf_dir))
 
