@@ -18,6 +18,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op4_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir))
 
@@ -28,6 +34,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(documents(spark, sf_dir))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
 
@@ -42,8 +54,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op4_toxic_passages": op4_toxic_passages,
     "op5_source_mix": op5_source_mix,
     "op6_secret_scan": op6_secret_scan,
+    "op7_quality": op7_quality,
     "op8_extendible_shards": op8_extendible_shards,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
