@@ -18,6 +18,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op3_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lz_fingerprint import compare_next
+
+    return compare_next(documents(spark, sf_dir))
+
+
 def op4_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
@@ -54,6 +60,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_lz_fingerprints": op3_lz_fingerprints,
     "op4_toxic_passages": op4_toxic_passages,
     "op5_source_mix": op5_source_mix,
     "op6_secret_scan": op6_secret_scan,
