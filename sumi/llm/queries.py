@@ -58,6 +58,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir)).drop("uid")
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_lz_fingerprints": op3_lz_fingerprints,
@@ -67,5 +73,6 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_extendible_shards": op8_extendible_shards,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_minhash_groups": op10_minhash_groups,
 }
 ORACLES: dict[str, str] = {"op5_source_mix": mixing.SQL, "op8_extendible_shards": sharding.SQL}
