@@ -56,3 +56,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def held_out(doc_id="doc_id"):
     """Rows whose crc32(doc_id as text) mod 3 is 1; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def row_key(docs: DataFrame):
+    """A hash of all columns but maps: rows with one key are the same row, repeated."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind))
+
+
+def times(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of `docs`, each key as often as `plan` (row_key, copies; a row for each of theirs) says in all.
+
+    Repeated rows share a key; they are made one before they are repeated. Other rows are not shuffled if the plan
+    is counted small."""
+    total = materialize(plan.groupBy("row_key").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows")), "copies")
+    joined = join_checked(docs.withColumn("row_key", row_key(docs)), total.where("__copies > 0"), "row_key", "inner")
+    one = joined.where("__rows = 1").unionByName(joined.where("__rows > 1").dropDuplicates(["row_key"]))
+    once = one.where("__copies = 1").select(*docs.columns)
+    more = one.where("__copies > 1").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return once.unionByName(more)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import join_checked, materialize, release
+from .base import join_checked, materialize, release, row_key
 from .graph import components
 
 WORDS = 5
@@ -180,14 +180,14 @@ class Sampler:
 
 
 def sample(docs: DataFrame, weights: Weights, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """uid, doc_id, node (digest of the words), keys (one for each band; none without words), shingles."""
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
+    """uid, doc_id, row_key, node (digest of the words), keys (one for each band; none without words), shingles."""
+    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), row_key(docs).alias("row_key"), "text")
 
     def run(batches):
         shingler, sampler = Shingler(words), Sampler(bands, rows)
         for batch in batches:
             nodes, keys, shingles = [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 node, found = shingler.of(text)
                 nodes.append(node)
                 shingles.append(found.tobytes())
@@ -195,11 +195,11 @@ def sample(docs: DataFrame, weights: Weights, words: int = WORDS, bands: int = B
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(shingles, pa.binary())],
-                names=["uid", "doc_id", "node", "keys", "shingles"],
+                [*batch.columns[:3], pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(shingles, pa.binary())],
+                names=["uid", "doc_id", "row_key", "node", "keys", "shingles"],
             )
 
-    return source.mapInArrow(run, "uid long, doc_id long, node binary, keys array<long>, shingles binary")
+    return source.mapInArrow(run, "uid long, doc_id long, row_key long, node binary, keys array<long>, shingles binary")
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, weights: Weights) -> DataFrame:
@@ -261,7 +261,7 @@ def links(nodes: DataFrame, shingles: DataFrame, weights: Weights, least: float
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, idf_weight: float = IDF_WEIGHT) -> DataFrame:
-    """doc_id, class_id (the class's smallest id), class_size and kept (one row of each class) of every row, with uid."""
+    """doc_id, class_id (the class's smallest id), class_size and kept (one row of each class) of every row, with the `row_key` of `base.row_key`."""
     weights = Weights(*document_frequency(docs), idf_weight)
     rows = materialize(sample(docs, weights), "samples")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid")))
@@ -273,5 +273,5 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, idf_weight: floa
     classed = groups.join(roots, groups["uid"] == roots["node"], "left").select(groups["node"].alias("words"), F.coalesce("root", "uid").alias("root"), "first", "n")
     classes = classed.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
     by_node = classed.select("words", "root").join(classes, "root").select(F.col("words").alias("node"), "first", "class_size")
-    out = rows.select("uid", "doc_id", "node").join(by_node, "node")
-    return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "uid")
+    out = rows.select("uid", "doc_id", "row_key", "node").join(by_node, "node")
+    return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "row_key")

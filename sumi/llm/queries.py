@@ -9,6 +9,12 @@ from . import mixing, sharding
 from .base import documents
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,7 +33,7 @@ def op3_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
-    return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("row_key")
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,10 +67,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(documents(spark, sf_dir)).drop("uid")
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).drop("row_key")
 
 
 QUERIES = {
+    "op1_near_vectors": op1_near_vectors,
     "op2_token_counts": op2_token_counts,
     "op3_lz_fingerprints": op3_lz_fingerprints,
     "op4_toxic_passages": op4_toxic_passages,

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import held_out, join_checked, materialize
+from .base import held_out, join_checked, materialize, row_key
 
 TABLE_BITS = 18
 STEMS = (4, 5, 6, 7)
@@ -153,24 +153,24 @@ def segment_rows(docs: DataFrame, label: str, ratio: np.ndarray, z: np.ndarray)
     kind = docs.schema["doc_id"].dataType.simpleString()
     arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     segment = pa.struct([("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
-    kinds = (arrow_kind, pa.int64(), pa.list_(segment), pa.int32(), pa.int64())
-    names = ["doc_id", "n_tokens", "segments", "bin", "bin_words"]
+    kinds = (arrow_kind, pa.int64(), pa.int64(), pa.list_(segment), pa.int32(), pa.int64())
+    names = ["doc_id", "row_key", "n_tokens", "segments", "bin", "bin_words"]
 
     def run(batches):
         memo, seen = Words(word_scorer(ratio, z)), np.zeros(len(SCORE_EDGES) + 1, np.int64)
         for batch in batches:
             rows = []
-            for doc_id, text, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, row_key, text, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 found = words(text)
                 scores = np.fromiter(map(memo.__getitem__, found), np.float64, len(found))
                 if y == 0:
                     seen += np.bincount(np.searchsorted(SCORE_EDGES, scores), minlength=len(seen))
-                rows.append((doc_id, len(found), [{"score": s, "start": a, "end": b} for s, a, b in segments(scores)], None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], names=names)
-        rows = [(None, None, None, int(k), int(seen[k])) for k in np.flatnonzero(seen)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], names=names)
+                rows.append((doc_id, row_key, len(found), [{"score": s, "start": a, "end": b} for s, a, b in segments(scores)], None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], names=names)
+        rows = [(None, None, None, None, int(k), int(seen[k])) for k in np.flatnonzero(seen)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], names=names)
 
-    return docs.select("doc_id", "text", F.col(label).cast("int")).mapInArrow(run, f"doc_id {kind}, n_tokens long, segments {SEGMENT}, bin int, bin_words long")
+    return docs.select("doc_id", "row_key", "text", F.col(label).cast("int")).mapInArrow(run, f"doc_id {kind}, row_key long, n_tokens long, segments {SEGMENT}, bin int, bin_words long")
 
 
 def karlin_lambda(scores: np.ndarray, counts: np.ndarray) -> float:
@@ -202,10 +202,11 @@ def fit_logistic(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float,
 
 
 def score(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_tokens, n_passages and passages (word ranges `start:end`) of every row."""
+    """doc_id, held_out, score, predicted, n_tokens, n_passages and passages (word ranges `start:end`) of every row, with the
+    `row_key` of `base.row_key`."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__y"))
     known = materialize(known.where(~held_out()), "toxic-labels")
-    marked = join_checked(docs.select("doc_id", "text"), known, "doc_id")
+    marked = join_checked(docs.select("doc_id", row_key(docs).alias("row_key"), "text"), known, "doc_id")
     ratio, z = cell_scores(*count_cells(marked, "__y"))
     found = materialize(segment_rows(marked, "__y", ratio, z), "segments")
     bins = found.where("bin is not null").groupBy("bin").agg(F.sum("bin_words").alias("n")).collect()  # 1,202 rows at most
@@ -215,6 +216,7 @@ def score(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA) -> DataFrame
     bits = F.transform("segments", lambda s: F.lit(lam) * s["score"] - ln_n)
     rows = found.where("bin is null").select(
         "doc_id",
+        "row_key",
         "n_tokens",
         F.coalesce(F.array_max(bits), -ln_n - 1.0).alias("best"),
         F.aggregate(F.filter(bits, lambda x: x >= math.log(1 / alpha)), F.lit(0.0), lambda a, x: a + x).alias("sum"),
@@ -235,6 +237,7 @@ def score(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA) -> DataFrame
     a, b = fit_logistic(EDGES + width / 2, n[0], n[1])
     out = rows.select(
         "doc_id",
+        "row_key",
         held_out().alias("held_out"),
         (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * stat)))).alias("score"),
         "n_tokens",
