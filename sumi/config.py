@@ -79,8 +79,8 @@ class Border:
     tolerance: int = 4
     detect: tuple[float, float] = (0.3, 0.3)  # top, bottom
     cut: tuple[float, float] = (0.5, 0.5)
-    #: "reference": a right spike is cut from its outermost column on; "symmetric": it is cut whole, like a left one.
-    right_cut: str = "reference"
+    #: "outermost": a right spike is cut from its outermost column on; "symmetric": it is cut whole, like a left one.
+    right_cut: str = "outermost"
 
 
 @dataclass(frozen=True)

@@ -172,7 +172,7 @@ def border_cuts(mask: np.ndarray, how: Border) -> tuple[int, int]:
     left = _longest(spikes(cover[:margin], top, w, how))
     # a margin of no columns makes the right side the whole profile
     right = _longest(spikes(cover[-margin:][::-1], top, w, how))
-    outer = 0 if right is None else right["start"] + 1 if how.right_cut == "reference" else right["end"]
+    outer = 0 if right is None else right["start"] + 1 if how.right_cut == "outermost" else right["end"]
     return (left["end"] if left else 0), outer
 
 

@@ -126,7 +126,7 @@ def judge(chars: DataFrame, call: Callable[[str, bytes], str] | None, how: Setti
     failed = F.col("error").isNotNull() | F.coalesce(F.col("v.error"), F.lit(False))
     kept = keep(F.col("v")) & ~failed
     status = F.when(failed, "error").when(kept, "accepted").otherwise("filtered_out")
-    return told.select("image_id", "region_id", "filename", status.alias("status"), F.when(~failed, output_file(F.col("k"), F.col("v.character"), kept)).alias("output_file"), F.col("v").alias("ark_evaluation"), "response_time", "error", F.lit(how.digest()).alias("settings"))
+    return told.select("image_id", "region_id", "filename", status.alias("status"), F.when(~failed, output_file(F.col("k"), F.col("v.character"), kept)).alias("output_file"), F.col("v").alias("evaluation"), "response_time", "error", F.lit(how.digest()).alias("settings"))
 
 
 def report(verdicts: DataFrame) -> DataFrame:
