@@ -105,6 +105,44 @@ def segment(regions: DataFrame, detected: DataFrame, how: Settings) -> DataFrame
     return _with_boxes(regions.join(lists, "image_id"), rows, CHARS)
 
 
+DEBUG = "image_id string, char_order int, noise_parts int, parts int, removed_parts int, trim array<int>, border array<int>, spikes array<struct<start:int,end:int,mean:double,after:double,drop:double,border:boolean>>"
+
+
+def segment_debug(regions: DataFrame, detected: DataFrame, how: Settings) -> DataFrame:
+    """The numbers behind each refined box: parts painted over and removed, both trims, and the left margin's runs."""
+    sized = detected.join(regions.select("image_id", "width", "height"), "image_id")
+    lists = boxes.detected_chars(sized).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("char_order", "x", "y", "w", "h"))).alias("boxes"))
+
+    def rows(key, x, found):
+        for order, left, top, w, h in found:
+            shade = K.gray(x[top : top + h, left : left + w])
+            noisy = K.components((shade > how.noise.dark) & (shade < how.noise.light))[1]
+            mask = glyphs.binarize(glyphs.remove_noise(shade, how.noise), how.trim)
+            stats = K.components(mask)[1]
+            gone = glyphs.tiers(stats, mask.shape[1], mask.shape[0], how.components)[1] if len(stats) else np.zeros(0, bool)
+            mask = glyphs.filter_components(mask, how.components)
+            trim = glyphs.trim_box(mask, how.trim)
+            inner = mask[trim[2] : trim[3], trim[0] : trim[1]]
+            cover = K.coverage(inner, 0)
+            margin = cover[: int(len(cover) * how.border.width_ratio)]
+            runs = glyphs.spikes(margin, float(cover.max(initial=0)), len(cover), how.border) if cover.any() else []
+            yield key, order, int(glyphs.is_noise(noisy, how.noise).sum()), len(stats), int(gone.sum()), [int(v) for v in trim], [int(v) for v in glyphs.trim_border(inner, how.border)], runs
+
+    return _with_boxes(regions.join(lists, "image_id"), rows, DEBUG)
+
+
+def segment_overlay(regions: DataFrame, chars: DataFrame) -> DataFrame:
+    """Each region beside a white page with its crops at their refined places."""
+    lists = chars.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("char_order", "x", "y", "w", "h", F.col("height").alias("ch"), F.col("width").alias("cw"), "data"))).alias("boxes"))
+
+    def rows(key, x, found):
+        crops = [np.frombuffer(data, np.uint8).reshape(h, w) for *_, h, w, data in found]
+        out = np.ascontiguousarray(glyphs.overlay(x, [tuple(b[1:5]) for b in found], crops))
+        yield key, out.shape[0], out.shape[1], 3, out.tobytes()
+
+    return _with_boxes(regions.join(lists, "image_id"), rows, "image_id string, height int, width int, n_channels int, data binary")
+
+
 def segment_summary(chars: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Characters of each region, and the length of the text that was expected there."""
     out = chars.groupBy("image_id", "region_id").agg(F.count("*").alias("character_count"), F.array_sort(F.collect_list(F.struct("y", "x", "filename", "text"))).alias("characters"))

@@ -291,7 +291,9 @@ def glyph_box_trim(spark, sf_dir):
     return each_raster(R.glyph_rasters(spark, sf_dir), lambda key, x: [(int(key), *G.trim_gray(x, how))], "image_id long, xl long, xr long, yt long, yb long")
 
 
-@query()
+@query(with_(PX, OTSU, COL, RUNS, """pk AS (SELECT *, "end" - "start" AS size, sum(mass) OVER i AS total, row_number() OVER (PARTITION BY image_id ORDER BY mass DESC, "start") AS by_mass,
+  row_number() OVER (PARTITION BY image_id ORDER BY "end" - "start" DESC, "start") AS by_size FROM runs WINDOW i AS (PARTITION BY image_id)),
+weak AS (SELECT image_id, mass < total * 0.5 OR size < 8 * 0.3 AS weak FROM pk WHERE by_mass = 1)""") + """SELECT image_id, "start"::BIGINT AS lo, "end"::BIGINT AS hi FROM pk JOIN weak USING (image_id) WHERE CASE WHEN weak THEN by_size ELSE by_mass END = 1""")
 def primary_run(spark, sf_dir):
     def rows(key, x):
         cover = K.coverage(K.ink_otsu(x), 0)
@@ -414,7 +416,8 @@ def cc_tier_filter(spark, sf_dir):
     return P.tier(P.component_stats(_labels(_rasters(spark, sf_dir), K.ink_otsu)), 8, 8, TIER).select("image_id", "label", "tier", "removed")
 
 
-@query()
+@query(with_(PX, OTSU, LABEL, """tr AS (SELECT *, CASE WHEN x <= 0 OR y <= 0 OR x + w >= 8 OR y + h >= 8 THEN 'border_touch' WHEN x <= 1 OR y <= 1 OR x + w >= 7 OR y + h >= 7 THEN 'edge_zone' ELSE 'interior' END AS tier FROM st),
+ok AS (SELECT image_id, label FROM tr WHERE NOT (area < CASE tier WHEN 'border_touch' THEN 2 WHEN 'edge_zone' THEN 3 ELSE 1 END OR (tier <> 'interior' AND (greatest(w / h, h / w) >= 4 OR least(w, h) <= 1))))""", recursive=True) + "SELECT px.image_id, px.y, px.x, CASE WHEN ok.label IS NULL THEN 0 ELSE 255 END AS v FROM px LEFT JOIN lab USING (image_id, y, x) LEFT JOIN ok ON ok.image_id = px.image_id AND ok.label = lab.label")
 def cc_filtered_mask(spark, sf_dir):
     return pixel_rows(_rasters(spark, sf_dir), lambda x: G.filter_components(K.ink_otsu(x), TIER))
 
@@ -455,7 +458,13 @@ def local_background(spark, sf_dir):
     return each_raster(_stretched_rasters(spark, sf_dir), rows, "image_id long, label long, background long")
 
 
-@query()
+@query(with_(ST, LIGHT, LABEL, """hw AS (SELECT unnest(range(-5, 6)) AS dy, unnest([0, 3, 4, 5, 5, 5, 5, 5, 4, 3, 0]) AS half),
+bad AS (SELECT image_id, label, x, y, w, h FROM st WHERE area BETWEEN 2 AND 100000 AND (area > 12 OR (greatest(w, h) / least(w, h) > 3 AND area < 8))),
+ring AS (SELECT DISTINCT l.image_id, l.label, p.y, p.x, p.v FROM lab AS l JOIN bad USING (image_id, label) JOIN hw ON true JOIN px AS p ON p.image_id = l.image_id AND p.y = l.y + dy AND abs(p.x - l.x) <= half
+  WHERE NOT EXISTS (SELECT 1 FROM lab AS o WHERE o.image_id = l.image_id AND o.label = l.label AND o.y = p.y AND o.x = p.x)),
+med AS (SELECT image_id, label, trunc(quantile_cont(v, 0.5))::INT AS background FROM ring GROUP BY ALL),
+every AS (SELECT bad.image_id, bad.label, trunc(quantile_cont(v, 0.5))::INT AS background FROM bad JOIN px ON px.image_id = bad.image_id AND px.y BETWEEN bad.y - 5 AND bad.y + bad.h + 4 AND px.x BETWEEN bad.x - 5 AND bad.x + bad.w + 4 GROUP BY ALL),
+bg AS (SELECT image_id, label, coalesce(med.background, every.background) AS background FROM every LEFT JOIN med USING (image_id, label))""", recursive=True) + "SELECT px.image_id, px.y, px.x, coalesce(bg.background, px.v) AS v FROM px LEFT JOIN lab USING (image_id, y, x) LEFT JOIN bg ON bg.image_id = px.image_id AND bg.label = lab.label")
 def noise_removed(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: G.remove_noise(x, NOISE))
 
@@ -465,6 +474,11 @@ def noise_removed_dual(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: G.remove_noise_dual(x, least=2, most=0.9))
 
 
+@query()
+def noise_removed_band(spark, sf_dir):
+    return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: G.remove_noise_band(x, (150, 220), 2))
+
+
 @query()
 def noise_removed_hybrid(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), G.remove_noise_hybrid)
@@ -632,6 +646,21 @@ def polygon_area(spark, sf_dir):
     return c.select("id", B.polygon_area(F.col("p")).alias("area"), S.svg_path(F.col("p")).alias("path"))
 
 
+@query("SELECT c_custkey AS id, 4 AS n_points, ((c_nationkey + 2) * (c_custkey % 7 + 1))::DOUBLE AS area FROM customer")
+def convex_hulls(spark, sf_dir):
+    """Hulls of rectangles with their middles among the points."""
+    import pyarrow as pa
+
+    def rows(batches):
+        for batch in batches:
+            ids, ns, hs = (batch.column(i).to_pylist() for i in range(3))
+            hulls = [K.hull([(0, 0), (n + 2, 0), (n + 2, h), (0, h), (1, h), ((n + 2) / 2, h / 2)]) for n, h in zip(ns, hs, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in hulls], pa.int32()), pa.array([K.area(x) for x in hulls], pa.float64())], names=["id", "n_points", "area"])
+
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", F.col("c_custkey") % 7 + 1)
+    return c.mapInArrow(rows, "id long, n_points int, area double")
+
+
 # ---- boxes ------------------------------------------------------------------------------------------------------
 
 BOXES = "b AS (SELECT event_id AS id, user_id, (event_id % 97) / 100.0::DOUBLE AS nx, (event_id % 89) / 100.0::DOUBLE AS ny, (event_id % 53) / 100.0::DOUBLE AS nw, (event_id % 61) / 100.0::DOUBLE AS nh FROM events)"
@@ -850,6 +879,38 @@ def _always(key: str, png: bytes) -> str:
     return f'{{"single_character": true, "recognizable": {good}, "has_noise": false, "character": "山", "comment": ""}}'
 
 
+@query()
+def jet_colours(spark, sf_dir):
+    """Stretched differences of each raster and its healed form, as colours."""
+    return map_raster(_stretched_rasters(spark, sf_dir), lambda x: K.jet(K.minmax(np.abs(K.heal(x).astype(int) - x)))).select("image_id", F.hex("data").alias("bgr"))
+
+
+@query()
+def resized(spark, sf_dir):
+    return pixel_rows(_rasters(spark, sf_dir), lambda x: K.resize(x, 12, 5))
+
+
+@query()
+def png_files(spark, sf_dir):
+    return S.with_png(_rasters(spark, sf_dir)).select("image_id", F.length("png").alias("bytes"), F.md5("png").alias("md5"))
+
+
+@query()
+def contour_overlays(spark, sf_dir):
+    return jobs.overlays(R.colour_rasters(spark, sf_dir), SMALL).select("image_id", F.md5("data").alias("md5"))
+
+
+@query()
+def heal_changes(spark, sf_dir):
+    return stages.heal_debug(_pages(spark, sf_dir), Settings())
+
+
+@query()
+def segment_debug(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return stages.segment_debug(pages, _detected(pages), Settings())
+
+
 @query()
 def preprocess_stage(spark, sf_dir):
     return stages.preprocess(_pages(spark, sf_dir), Settings()).select("image_id", "height", "width", F.sha2("data", 256).alias("data_sha256"))
@@ -861,6 +922,12 @@ def segment_stage(spark, sf_dir):
     return stages.segment(pages, _detected(pages), Settings()).select("image_id", "char_order", "filename", "x", "y", "w", "h", "text")
 
 
+@query()
+def segment_overlays(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return stages.segment_overlay(pages, stages.segment(pages, _detected(pages), Settings())).select("image_id", "height", "width", F.md5("data").alias("md5"))
+
+
 @query()
 def judge_report(spark, sf_dir):
     pages = _pages(spark, sf_dir)
