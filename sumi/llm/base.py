@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows up to which `join_checked` broadcasts a side of a few narrow columns (about 50 MB at most).
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of whole texts in an Arrow batch.
+TEXT_ROWS = 1_000
+
 _own_folder: list[str] = []
 
 
@@ -53,6 +56,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def text_batches(rows: DataFrame, most: int = TEXT_ROWS) -> DataFrame:
+    """The same rows; Arrow batches of the session hold at most `most` of them from now on, as whole texts are large
+    and each worker holds a batch or two in both of its processes."""
+    conf = rows.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > most:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
+    return rows
+
+
 def held_out(doc_id="doc_id"):
     """Rows whose crc32(doc_id as text) mod 3 is 1; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1

@@ -12,11 +12,11 @@ a pool that (i, k) indexes, and weights are put on a logarithmic grid, so a draw
 banded; documents that share a band's key are candidates.
 
 Equal word sequences are one node from the start. In a bucket all members are verified against its smallest node,
-by exact weighted Jaccard similarity; members that are not similar to it stay. What stays is bucketed again by
-pairs of bands (which parts documents that share a passage only) and verified against sixteen leaders at a time
-until no bucket has two members. A member that was similar to the leader stays too if the triangle inequality of
-the weighted Jaccard distance cannot rule out a link with one that was not. So no bucket is expanded into all its
-pairs and no link is dropped for its size. Classes are the links' connected components.
+by exact weighted Jaccard similarity. Members that are not similar to it stay, and so do similar ones that may yet
+link with those by the triangle inequality of the weighted Jaccard distance. Buckets whose members are one component
+by now are done. What stays is compared within its bucket in blocks of bounded size, by products of sparse weight
+matrices, and only a spanning forest of the links leaves a task. So no bucket is expanded into its pairs and nothing
+is dropped for its size. Classes are the links' connected components.
 
 Edge cases: texts of one to four words are one shingle; texts without words (null, empty, blank) are alike; a null
 id is last when a class's first document is picked; repeated rows are rows of one node and one of them is kept.
@@ -27,20 +27,20 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import join_checked, materialize, release, row_key
+from .base import join_checked, materialize, row_key, text_batches
 from .graph import components
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 5
-LEADERS = 16
 IDF_WEIGHT = 0.5
 TABLE_BITS = 18
 POOL_BITS = 16
@@ -48,6 +48,9 @@ GRID = 16.0  # steps of the weight grid for each unit of ln S
 SEED = 5
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 300_000
+CHUNK = 1024  # shingles that are drawn for at once
+BLOCK = 512  # members of a bucket in a block
+COLUMNS = 4096
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -66,7 +69,8 @@ class Shingler(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > CACHE_WORDS:
             self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        raw = word.encode("utf-8", "surrogatepass")
+        h = self[word] = zlib.crc32(raw) << 32 | zlib.adler32(raw)
         return h
 
     def of(self, text: str | None) -> tuple[bytes, np.ndarray]:
@@ -91,13 +95,14 @@ def document_frequency(docs: DataFrame, bits: int = TABLE_BITS, words: int = WOR
         shingler, total = Shingler(words), np.zeros(size + 1, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total[np.unique(shingler.of(text)[1]) >> np.uint32(shift)] += 1
+                cells = shingler.of(text)[1] >> np.uint32(shift)  # sorted, so equal cells adjoin
+                total[cells[np.flatnonzero(np.diff(cells, prepend=np.uint32(size)))]] += 1
                 total[size] += 1
         used = np.flatnonzero(total)
         for at in range(0, len(used), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(used[at : at + 10_000]), pa.array(total[used[at : at + 10_000]])], names=["cell", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = text_batches(docs.select("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(size + 1)
     table[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return np.maximum(table[:-1] - np.median(table[:-1]), 1.0).astype(np.float32), int(table[-1])
@@ -139,7 +144,7 @@ class Sampler:
         self.bands, self.rows = bands, rows
         self.r, self.c, self.b = rng.gamma(2, 1, pool), rng.gamma(2, 1, pool), rng.random(pool)
         self.mul = rng.integers(1, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-        self.add = rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+        self.space = np.empty(n * CHUNK, np.uint32), np.empty(n * CHUNK, np.intp), np.empty(n * CHUNK, np.float32)
         self.levels: dict[int, int] = {}
         self.ln_a, self.t = np.zeros((0, pool), np.float32), np.zeros((0, pool), np.int32)
 
@@ -156,21 +161,22 @@ class Sampler:
         """One 64-bit key for each band."""
         steps = np.rint(np.log(weights) * GRID).astype(np.int64)
         kinds, which = np.unique(steps, return_inverse=True)
-        level = np.array([self._level(int(s)) for s in kinds], np.int64)[which].astype(np.uint32) << np.uint32(POOL_BITS)
-        ln_a, t = self.ln_a.reshape(-1), self.t.reshape(-1)
-        n = len(self.mul)
-        best, pick = np.full(n, np.inf, np.float32), np.zeros(n, np.int64)
-        cell = np.zeros(n, np.uint32)
-        for at in range(0, len(shingles), 2048):
-            some = shingles[at : at + 2048]
-            index = (some[None, :] * self.mul[:, None] + self.add[:, None]) >> np.uint32(32 - POOL_BITS)
-            index |= level[None, at : at + 2048]
-            a = ln_a.take(index)
-            k = a.argmin(axis=1)
-            low = a[np.arange(n), k]
+        level = np.array([self._level(int(s)) for s in kinds], np.intp)[which] << POOL_BITS
+        ln_a, t, n = self.ln_a.reshape(-1), self.t.reshape(-1), len(self.mul)
+        best, pick, cell, row = np.full(n, np.inf, np.float32), np.zeros(n, np.intp), np.zeros(n, np.intp), np.arange(n)
+        for at in range(0, len(shingles), CHUNK):
+            some = shingles[at : at + CHUNK]
+            m = len(some)
+            product, index, drawn = (x[: n * m].reshape(n, m) for x in self.space)
+            np.multiply(some[None, :], self.mul[:, None], out=product)
+            np.right_shift(product, np.uint32(32 - POOL_BITS), out=product)
+            np.add(product, level[None, at : at + CHUNK], out=index, casting="unsafe")
+            np.take(ln_a, index, out=drawn, mode="clip")
+            k = drawn.argmin(axis=1)
+            low = drawn[row, k]
             better = low < best
             best[better], pick[better] = low[better], k[better] + at
-            cell[better] = index[np.arange(n), k][better]
+            cell[better] = index[row, k][better]
         sample = _mix(shingles[pick].astype(np.uint64) << np.uint64(32) | t[cell].astype(np.uint32).astype(np.uint64))
         sample = sample.reshape(self.bands, self.rows)
         key = np.arange(self.bands, dtype=np.uint64)
@@ -186,12 +192,14 @@ def sample(docs: DataFrame, weights: Weights, words: int = WORDS, bands: int = B
     def run(batches):
         shingler, sampler = Shingler(words), Sampler(bands, rows)
         for batch in batches:
-            nodes, keys, shingles = [], [], []
+            nodes, keys, shingles, known = [], [], [], {}
             for text in batch.column(3).to_pylist():
                 node, found = shingler.of(text)
+                if node not in known:
+                    known[node] = sampler.keys(*weights.of(found)) if len(found) else np.zeros(0, np.int64)
                 nodes.append(node)
                 shingles.append(found.tobytes())
-                keys.append(sampler.keys(*weights.of(found)) if len(found) else np.zeros(0, np.int64))
+                keys.append(known[node])
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -199,7 +207,7 @@ def sample(docs: DataFrame, weights: Weights, words: int = WORDS, bands: int = B
                 names=["uid", "doc_id", "row_key", "node", "keys", "shingles"],
             )
 
-    return source.mapInArrow(run, "uid long, doc_id long, row_key long, node binary, keys array<long>, shingles binary")
+    return text_batches(source).mapInArrow(run, "uid long, doc_id long, row_key long, node binary, keys array<long>, shingles binary")
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, weights: Weights) -> DataFrame:
@@ -215,49 +223,93 @@ def verified(pairs: DataFrame, shingles: DataFrame, weights: Weights) -> DataFra
     return both.select("leader", "uid", "x", "y").mapInArrow(run, "leader long, uid long, d double")
 
 
-def _left(members: DataFrame, checked: DataFrame, far: float, leaders: DataFrame) -> DataFrame:
-    """What stays in each bucket: members no leader is similar to, and similar ones that may yet link with those.
+def _unresolved(members: DataFrame, checked: DataFrame, far: float) -> DataFrame:
+    """(bucket, uid) that the star around each bucket's leader leaves open: members that are not similar to it, and
+    similar ones that may yet link with those by the triangle inequality. `members` has bucket, uid and leader."""
+    at = members.where("uid <> leader").join(checked, ["leader", "uid"])
+    nearest = at.where(F.col("d") > far).groupBy("bucket").agg(F.min("d").alias("nearest"))
+    return at.join(nearest, "bucket").where((F.col("d") > far) | (F.col("d") >= F.col("nearest") - far)).select("bucket", "uid")
 
-    `members` (bucket, uid), `leaders` (bucket, leader), `checked` (leader, uid, d)."""
-    at = members.join(leaders, "bucket").where("uid <> leader").join(checked, ["leader", "uid"])
-    each = at.groupBy("bucket", "uid").agg(F.min("d").alias("d"), F.min_by("d", "leader").alias("first"))
-    rest = members.join(leaders.withColumnRenamed("leader", "uid"), ["bucket", "uid"], "left_anti").join(each, ["bucket", "uid"], "left")
-    lost = F.coalesce(F.col("d"), F.lit(1.0)) > far
-    rest = rest.withColumn("lost", lost)
-    nearest = rest.where("lost").groupBy("bucket").agg(F.min(F.coalesce("first", F.lit(1.0))).alias("nearest"), F.count("*").alias("n_lost"))
-    kept = rest.join(nearest, "bucket").where(F.col("lost") | (F.coalesce("first", F.lit(1.0)) >= F.col("nearest") - far))
-    several = kept.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return kept.join(several, "bucket").select("bucket", "uid")
+
+def _grouped(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, uid, root) in buckets whose members have several components yet."""
+    rooted = members.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    return rooted.join(several, "bucket").select("bucket", "uid", "root")
 
 
 def links(nodes: DataFrame, shingles: DataFrame, weights: Weights, least: float = SIMILARITY) -> DataFrame:
-    """(a, b) for verified pairs among the candidates; `nodes` has uid and keys, `shingles` uid and shingles."""
+    """(node, root): the components of all verified links; `nodes` has uid and keys, `shingles` uid and shingles."""
     far = 1.0 - least
     exploded = nodes.select("uid", F.posexplode("keys").alias("band", "key"))
-    exploded = exploded.select("uid", "band", "key")
     buckets = exploded.groupBy("band", "key").agg(F.min("uid").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = materialize(exploded.join(buckets.select("band", "key", "leader"), ["band", "key"]), "members")
-    wanted = members.select("uid").distinct()
-    candidates = materialize(join_checked(shingles, wanted, "uid", "inner"), "candidates")
-    pairs = members.where("uid <> leader").select("leader", "uid").distinct()
-    checked = materialize(verified(pairs, candidates, weights), "verified")
-    edges = checked.where(F.col("d") <= far).select(F.col("leader").alias("a"), F.col("uid").alias("b"))
-    first = members.select(F.struct("band", "key").alias("bucket"), "uid", "leader")
-    stay = materialize(_left(first.select("bucket", "uid"), checked, far, first.where("uid = leader").select("bucket", "leader")), "stay")
-    # by pairs of bands: similar documents share many bands, those that share a passage few
-    again = stay.select("uid", F.col("bucket.band").alias("band"), F.col("bucket.key").alias("key"))
-    other = members.select("uid", F.col("band").alias("band2"), F.col("key").alias("key2"))
-    stay = materialize(again.join(other, "uid").where("band <> band2").select(F.struct("band", "key", "band2", "key2").alias("bucket"), "uid"), "stay")
-    while not stay.isEmpty():
-        ranked = stay.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("uid"))).where(F.col("k") <= LEADERS)
-        leaders = materialize(ranked.select("bucket", F.col("uid").alias("leader")), "leaders")
-        pairs = stay.join(leaders, "bucket").where("uid > leader").select("leader", "uid").distinct()
-        more = materialize(verified(pairs, candidates, weights), "verified")
-        edges = edges.unionByName(more.where(F.col("d") <= far).select(F.col("leader").alias("a"), F.col("uid").alias("b")))
-        after = materialize(_left(stay, more, far, leaders), "stay")
-        release(stay)
-        stay = after
-    return edges.distinct()
+    candidates = materialize(join_checked(shingles, members.select("uid").distinct(), "uid", "inner"), "candidates")
+    checked = materialize(verified(members.where("uid <> leader").select("leader", "uid").distinct(), candidates, weights), "verified")
+    near = lambda found: found.where(F.col("d") <= far).select(F.col("leader").alias("a"), F.col("uid").alias("b"))
+    roots = components(near(checked))
+    open_ = materialize(_unresolved(members.select(F.struct("band", "key").alias("bucket"), "uid", "leader"), checked, far), "open")
+    open_ = _grouped(open_, roots)
+    return _merged(roots, _within(open_, candidates, weights, least))
+
+
+def _within(open_: DataFrame, shingles: DataFrame, weights: Weights, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): a spanning forest of the links between the members of each bucket. Buckets are cut into blocks, and a
+    task gets two blocks at most, so its size is bounded; it sends no more rows than it has members."""
+    buckets = open_.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
+    mine = F.pmod(F.xxhash64("uid"), F.col("n_blocks")).cast("int")
+    dealt = open_.join(buckets, "bucket").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    tasks = dealt.select("uid", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"))
+
+    def run(table: pa.Table) -> pa.Table:
+        uid = table["uid"].to_numpy()
+        found = [np.frombuffer(x, np.uint32) for x in table["shingles"].to_pylist()]
+        first = [np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) for x in found]
+        # the k-th occurrence of a shingle in a document is a feature of its own
+        nth = [np.arange(len(x)) - np.repeat(f, np.diff(np.append(f, len(x)))) for x, f in zip(found, first, strict=True)]
+        features = np.concatenate(found).astype(np.uint64) << np.uint64(32) | np.concatenate(nth).astype(np.uint64)
+        owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        weight = weights.cell[(features >> np.uint64(32)).astype(np.uint32) >> weights.shift].astype(np.float64)
+        total = np.bincount(owner, weight, len(found))
+        kinds, column, seen = np.unique(features, return_inverse=True, return_counts=True)
+        shared = seen[column] > 1
+        owner, weight, column = owner[shared], weight[shared], (np.cumsum(seen > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        owner, weight, column = owner[order], weight[order], column[order]
+        common = np.zeros((len(found), len(found)))
+        for at in range(0, int((seen > 1).sum()), COLUMNS):
+            a, b = np.searchsorted(column, (at, at + COLUMNS))
+            has = np.zeros((len(found), COLUMNS), np.float32)
+            has[owner[a:b], column[a:b] - at] = np.sqrt(weight[a:b])
+            common += has @ has.T
+        sim = common / (total[:, None] + total[None, :] - common)
+        i, j = np.nonzero(np.triu(sim >= least - 1e-4, 1))
+        sure = np.array([s > least + 1e-4 or similarity(found[a], found[b], weights) >= least for a, b, s in zip(i, j, sim[i, j], strict=True)], bool)
+        label = np.arange(len(found))
+        i, j = i[sure], j[sure]
+        while True:
+            low = np.minimum(label[i], label[j])
+            new = label.copy()
+            np.minimum.at(new, i, low)
+            np.minimum.at(new, j, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        at = np.flatnonzero(label != np.arange(len(found)))
+        return pa.table([pa.array(uid[at]), pa.array(uid[label[at]])], names=["a", "b"])
+
+    return tasks.join(shingles, "uid").groupBy("task").applyInArrow(run, "a long, b long").distinct()
+
+
+def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components after more links: those of the links' components are found, then every node follows its own."""
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    both = edges.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(materialize(both.distinct(), "root-links"))
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    new = joined.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return materialize(moved.unionByName(new), "roots")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, idf_weight: float = IDF_WEIGHT) -> DataFrame:
@@ -268,8 +320,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, idf_weight: floa
     groups = materialize(rows.groupBy("node").agg(F.min("uid").alias("uid"), first.alias("first"), F.count("*").alias("n")), "nodes")
     whole = rows.where(F.size("keys") > 0)
     alone = groups.select("uid")
-    found = links(join_checked(whole.select("uid", "keys"), alone, "uid", "inner"), whole.select("uid", "shingles"), weights, least)
-    roots = components(found)
+    roots = links(join_checked(whole.select("uid", "keys"), alone, "uid", "inner"), whole.select("uid", "shingles"), weights, least)
     classed = groups.join(roots, groups["uid"] == roots["node"], "left").select(groups["node"].alias("words"), F.coalesce("root", "uid").alias("root"), "first", "n")
     classes = classed.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
     by_node = classed.select("words", "root").join(classes, "root").select(F.col("words").alias("node"), "first", "class_size")
