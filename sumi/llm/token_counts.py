@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import text_batches
+
 #: Units kept in a worker's cache; beyond it the cache restarts from the proven whole tokens.
 CACHE_UNITS = 300_000
 CHUNK_TEXTS = 200
@@ -97,4 +99,4 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", keep: tup
             columns += [n_bytes, pa.array(counter.counts(texts.to_pylist()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(run, schema)
+    return text_batches(rows).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import held_out, join_checked, materialize, row_key
+from .base import held_out, join_checked, materialize, row_key, text_batches
 
 TABLE_BITS = 18
 STEMS = (4, 5, 6, 7)
@@ -107,7 +107,7 @@ def count_cells(docs: DataFrame, label: str, bits: int = TABLE_BITS) -> tuple[di
             part = used[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(t[part]) for t in total)], names=["cell", "n", "n0", "n1"])
 
-    each = docs.select("text", F.col(label).cast("int")).mapInArrow(run, "cell long, n long, n0 long, n1 long")
+    each = text_batches(docs.select("text", F.col(label).cast("int"))).mapInArrow(run, "cell long, n long, n0 long, n1 long")
     rows = each.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "n0", "n1"))).toArrow()
     out = {}
     for c in ("n", "n0", "n1"):
@@ -170,7 +170,7 @@ def segment_rows(docs: DataFrame, label: str, ratio: np.ndarray, z: np.ndarray)
         rows = [(None, None, None, None, int(k), int(seen[k])) for k in np.flatnonzero(seen)]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], names=names)
 
-    return docs.select("doc_id", "row_key", "text", F.col(label).cast("int")).mapInArrow(run, f"doc_id {kind}, row_key long, n_tokens long, segments {SEGMENT}, bin int, bin_words long")
+    return text_batches(docs.select("doc_id", "row_key", "text", F.col(label).cast("int"))).mapInArrow(run, f"doc_id {kind}, row_key long, n_tokens long, segments {SEGMENT}, bin int, bin_words long")
 
 
 def karlin_lambda(scores: np.ndarray, counts: np.ndarray) -> float:
