@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumi.llm import minhash, mixing, packing, secret_scan, toxicity
-from sumi.llm.base import materialize, row_key, times
+from sumi.llm.base import join_checked, materialize, row_key, times
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,8 +23,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scored.where("predicted = 1").select("row_key").distinct()
-    kept = docs.withColumn("row_key", row_key(docs)).join(rejected, "row_key", "left_anti")
+    rejected = materialize(scored.where("predicted = 1").select("row_key").distinct(), "rejected")
+    kept = join_checked(docs.withColumn("row_key", row_key(docs)), rejected, "row_key", "left_anti")
     return kept.select(*COLUMNS)
 
 
