@@ -71,6 +71,10 @@ def _px(spark, sf_dir):
     return R.pixels(R.gray_arrays(spark, sf_dir))
 
 
+def _together(spark, sf_dir):
+    return R.pixels(R.gray_arrays(spark, sf_dir), together=True)
+
+
 def _stretched(spark, sf_dir):
     return R.pixels(R.stretched_arrays(spark, sf_dir))
 
@@ -118,7 +122,7 @@ def gray_from_bgr(spark, sf_dir):
 
 @query(with_(PX) + "SELECT image_id, y, x, CASE WHEN max(v) OVER w > min(v) OVER w THEN floor((v - min(v) OVER w) * 255 / (max(v) OVER w - min(v) OVER w))::INT ELSE 0 END AS v FROM px WINDOW w AS (PARTITION BY image_id)")
 def minmax_normalise(spark, sf_dir):
-    return P.minmax(_px(spark, sf_dir))
+    return P.minmax(_together(spark, sf_dir))
 
 
 @query(with_(ST) + "SELECT image_id, y, x, (v <= 60)::INT AS dark, (v > 60 AND v < 230)::INT AS light FROM px")
@@ -146,12 +150,12 @@ def mask_algebra(spark, sf_dir):
 
 @query(with_(PX, OTSU) + "SELECT image_id, t::BIGINT AS t FROM o")
 def otsu_threshold(spark, sf_dir):
-    return _long(P.otsu(_px(spark, sf_dir)))
+    return _long(P.otsu(_together(spark, sf_dir)))
 
 
 @query(with_(PX, OTSU) + "SELECT image_id, y, x, ink FROM ink")
 def otsu_mask(spark, sf_dir):
-    return P.otsu_ink(_px(spark, sf_dir)).drop("v")
+    return P.otsu_ink(_together(spark, sf_dir)).drop("v")
 
 
 @query(with_(PX, OTSU) + "SELECT image_id, y, x, ink * 255 AS v FROM ink")
@@ -172,7 +176,7 @@ WHERE b.image_id = a.image_id AND b.y = greatest(0, least(7, a.y + dy)) AND b.x
 
 @query(ADAPTIVE)
 def adaptive_mean_mask(spark, sf_dir):
-    return P.adaptive_ink(_px(spark, sf_dir), R.SIDE, 5, 3)
+    return P.adaptive_ink(_together(spark, sf_dir), R.SIDE, 5, 3)
 
 
 @query(ADAPTIVE.replace("::INT AS ink", "::INT * 255 AS v"))
@@ -183,12 +187,12 @@ def adaptive_mean_kernel(spark, sf_dir):
 @query(with_(PX, OTSU) + "SELECT image_id, coalesce(avg(v) FILTER (WHERE ink = 0), 255) < coalesce(avg(v) FILTER (WHERE ink = 1), 0) AS inverted FROM ink GROUP BY image_id")
 def auto_invert(spark, sf_dir):
     """Whether the mask of the bright class would be inverted."""
-    return P.auto_invert(P.otsu_ink(_px(spark, sf_dir)).withColumn("bright", 1 - F.col("ink")))
+    return P.auto_invert(P.otsu_ink(_together(spark, sf_dir)).withColumn("bright", 1 - F.col("ink")))
 
 
 @query(with_(PX, OTSU) + "SELECT image_id, sum(ink)::BIGINT AS ink_pixels, count(*) AS pixels FROM ink GROUP BY image_id")
 def fill_ratio(spark, sf_dir):
-    return P.otsu_ink(_px(spark, sf_dir)).groupBy("image_id").agg(F.sum("ink").alias("ink_pixels"), F.count("*").alias("pixels"))
+    return P.otsu_ink(_together(spark, sf_dir)).groupBy("image_id").agg(F.sum("ink").alias("ink_pixels"), F.count("*").alias("pixels"))
 
 
 @query()
@@ -206,17 +210,17 @@ def adaptive_gaussian(spark, sf_dir):
 
 @query(with_(PX, OTSU, COL) + "SELECT image_id, pos, n AS ink_count, length FROM pr")
 def column_profile(spark, sf_dir):
-    return P.profile(P.otsu_ink(_px(spark, sf_dir)), "x")
+    return P.profile(P.otsu_ink(_together(spark, sf_dir)), "x")
 
 
 @query(with_(PX, OTSU, COL.replace("x AS pos", "y AS pos")) + "SELECT image_id, pos, n AS ink_count, length FROM pr")
 def row_profile(spark, sf_dir):
-    return P.profile(P.otsu_ink(_px(spark, sf_dir)), "y")
+    return P.profile(P.otsu_ink(_together(spark, sf_dir)), "y")
 
 
 @query(with_(PX, OTSU, COL, RUNS) + "SELECT * FROM runs")
 def ink_runs(spark, sf_dir):
-    return P.runs(P.profile(P.otsu_ink(_px(spark, sf_dir)), "x"))
+    return P.runs(P.profile(P.otsu_ink(_together(spark, sf_dir)), "x"))
 
 
 GLYPH = r"""t AS (SELECT doc_id AS image_id, string_split(translate(coalesce(text, ''), chr(13) || chr(10), '  '), '') AS c FROM documents),
@@ -507,7 +511,7 @@ def erode3(spark, sf_dir):
 @query(with_(PX, _around("px", "max", "d")) + "SELECT * FROM d")
 def dilate3_pixels(spark, sf_dir):
     """The pixel-table form."""
-    return P.extreme3(_px(spark, sf_dir), "v", True)
+    return P.extreme3(_together(spark, sf_dir), "v", True)
 
 
 @query(with_(PX, _around("px", "max", "d"), _around("d", "min", "c")) + "SELECT * FROM c")
@@ -549,7 +553,7 @@ SOBEL = with_(PX, _stencil_sql(GX, "gx"), _stencil_sql(GY, "gy")) + "SELECT gx.i
 
 @query(SOBEL)
 def sobel_mag2(spark, sf_dir):
-    px = _px(spark, sf_dir)
+    px = _together(spark, sf_dir)
     both = P.stencil(px, 8, GX, "gx").join(P.stencil(px, 8, GY, "gy"), ["image_id", "y", "x"])
     return both.select("image_id", "y", "x", (F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("mag2"))
 
@@ -565,7 +569,7 @@ def sobel_mag2_kernel(spark, sf_dir):
 
 @query(with_(PX, _stencil_sql(LAP, "l")) + "SELECT image_id, y, x, abs(n) AS lap FROM l")
 def laplacian_abs(spark, sf_dir):
-    return P.stencil(_px(spark, sf_dir), 8, LAP, "lap").withColumn("lap", F.abs("lap"))
+    return P.stencil(_together(spark, sf_dir), 8, LAP, "lap").withColumn("lap", F.abs("lap"))
 
 
 @query()

@@ -23,9 +23,10 @@ def stretched_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gray_arrays(spark, sf_dir).withColumn("px", stretched)
 
 
-def pixels(arrays: DataFrame) -> DataFrame:
-    """The pixel table image_id, y, x, v of rasters SIDE wide."""
-    flat = arrays.select("image_id", F.posexplode("px").alias("p", "v"))
+def pixels(arrays: DataFrame, together: bool = False) -> DataFrame:
+    """The pixel table image_id, y, x, v of rasters SIDE wide. `together` moves whole rasters by id before they become
+    rows, which is the only shuffle that windows, groups and joins of a raster then need."""
+    flat = (arrays.repartition("image_id") if together else arrays).select("image_id", F.posexplode("px").alias("p", "v"))
     return flat.select("image_id", F.floor(F.col("p") / SIDE).cast("int").alias("y"), (F.col("p") % SIDE).alias("x"), "v")
 
 
