@@ -18,7 +18,8 @@ by now are done. What stays is compared within its bucket in blocks of bounded s
 matrices, and only a spanning forest of the links leaves a task. So no bucket is expanded into its pairs and nothing
 is dropped for its size. Classes are the links' connected components.
 
-Edge cases: texts of one to four words are one shingle; texts without words (null, empty, blank) are alike; a null
+Edge cases: texts of one to four words are one shingle; null, empty and blank texts are alike, other texts without words are
+like equal ones only; a null
 id is last when a class's first document is picked; repeated rows are rows of one node and one of them is kept.
 """
 
@@ -74,12 +75,13 @@ class Shingler(dict):
         return h
 
     def of(self, text: str | None) -> tuple[bytes, np.ndarray]:
-        """A digest of the word sequence, and the shingles."""
+        """A digest of the word sequence (without words, of the text less outer blanks), and the shingles."""
         found = WORD.findall((text or "").lower())
         h = np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
-        digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
         if not len(h):
-            return digest, np.zeros(0, np.uint32)
+            blank = (text or "").strip().encode("utf-8", "surrogatepass")
+            return hashlib.blake2b(blank, digest_size=16, person=b"no words").digest(), np.zeros(0, np.uint32)
+        digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
         k = min(self.words, len(h))
         total = np.zeros(len(h) - k + 1, np.uint64)
         for i in range(k):

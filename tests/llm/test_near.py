@@ -107,6 +107,11 @@ def test_odd_texts(odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_texts_without_words(spark):
+    got = minhash.near_duplicates(make(spark, [(1, "!!!", "a"), (2, "???", "a"), (3, " !!!\n", "a"), (4, "", "a"), (5, None, "a")])).toPandas()
+    assert dict(zip(got.doc_id, got.class_id, strict=True)) == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+
+
 def test_sampling_estimates_weighted_similarity():
     rng = np.random.default_rng(4)
     sampler = minhash.Sampler(bands=400, rows=1)
