@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import materialize, text_batches
 
 MINIMA = 128
 SEED = 11
@@ -109,18 +109,19 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def hexed(signature: np.ndarray) -> str:
-    return signature.astype(">u2").tobytes().hex()
+def packed(signature: np.ndarray) -> bytes:
+    return signature.astype(">u2").tobytes()
 
 
 RESULT = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-ARROW = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+DIGESTS = ("edited_sha256", "fingerprint", "edited_fingerprint")  # bytes until the end, which is half of what their text takes
+ARROW = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
 
 
 def _finish(phrases: Phrases, text: str, signature: np.ndarray, ends: list[int], next_text: str, next_signature: np.ndarray) -> tuple:
     new, changed = phrases.edited(text, ends, next_text)
-    digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-    return len(text), digest, hexed(signature), hexed(changed), likeness(signature, changed), likeness(signature, next_signature)
+    digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).digest()
+    return len(text), digest, packed(signature), packed(changed), likeness(signature, changed), likeness(signature, next_signature)
 
 
 def compare_next(docs: DataFrame) -> DataFrame:
@@ -149,8 +150,8 @@ def compare_next(docs: DataFrame) -> DataFrame:
         if last:
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((last[0], *empty, part, "last", last[1]), kinds, strict=True)], names=names)
 
-    done = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    streamed = materialize(rows.mapInArrow(run, f"{done}, part int, place string, text string"), "fingerprints")
+    done = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+    streamed = materialize(text_batches(rows).mapInArrow(run, f"{done}, part int, place string, text string"), "fingerprints")
     # a row for each task and end
     ends = streamed.where("place is not null").select("doc_id", "part", "place", "text")
     firsts = ends.where("place = 'first'").select("part", F.col("text").alias("next_text"))
@@ -169,4 +170,5 @@ def compare_next(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds[:7], strict=True)], names=names[:7])
 
     whole = streamed.where("place is null").select(*names[:7])
-    return whole.unionByName(pairs.mapInArrow(close, done))
+    done_rows = whole.unionByName(pairs.mapInArrow(close, done))
+    return done_rows.withColumns({c: F.lower(F.hex(c)) for c in DIGESTS})
