@@ -20,24 +20,25 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import materialize, text_batches
 
 CAPACITY = 2048
 END_ID = 0
 CACHE_WORDS = 300_000
-CHUNK_TEXTS = 200
 #: The split that the tokenizer makes, for characters that `WordIds` has proven to class alike in Python.
 PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class WordIds:
-    """Ids of whole texts as packed little-endian 32-bit numbers, merged once for each distinct pre-token."""
+    """Ids of whole texts as packed little-endian 32-bit numbers. Nothing is merged across blanks, so ids are kept
+    by word, and a new word's by pre-token; the library's merges run on what is new, once while it stays cached."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
@@ -45,7 +46,8 @@ class WordIds:
 
         self.lib = Tokenizer.from_file(tokenizer_file)
         self.safe = {c for c in map(chr, range(0x180)) if self._alike(c)}
-        self.cache: dict[str, bytes] = {}
+        self.unlike = bytes(i for i in range(256) if chr(i) not in self.safe)
+        self.words = Words(Parts(self.lib))
 
     def _alike(self, c: str) -> bool:
         """Python lowers, normalises and splits this character as the library does."""
@@ -59,28 +61,64 @@ class WordIds:
             return False
         return all(pieces(t) == len(PRE_TOKENS.findall(t.lower())) for t in (c, c + c, f"a{c}a", f"1{c}1", f"!{c}!", f"a{c}1", f"'{c}"))
 
+    def _plain(self, text: str) -> bool:
+        """Python splits and lowers this text as the library does, and it holds no special token."""
+        if "<|" in text:
+            return False
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.safe.issuperset(text)
+        return len(raw.translate(None, self.unlike)) == len(raw)
+
     def packed(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), CHUNK_TEXTS):
-            some = [t or "" for t in texts[at : at + CHUNK_TEXTS]]
-            split = [PRE_TOKENS.findall(t.lower()) if "<|" not in t and set(t) <= self.safe else None for t in some]
-            new = set().union(*(x for x in split if x)) - self.cache.keys()
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache = {}
-                new = set().union(*(x for x in split if x))
-            if new:
-                words = list(new)
-                for word, enc in zip(words, self.lib.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                    self.cache[word] = np.asarray(enc.ids, "<u4").tobytes()
-            get = self.cache.__getitem__
-            for words, text in zip(split, some, strict=True):
-                if words is None:
-                    out.append(np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-                else:
-                    out.append(b"".join(map(get, words)))
+        get = self.words.__getitem__
+        return [
+            b"".join(map(get, text.split())) if self._plain(text) else np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            for text in ((t or "") for t in texts)
+        ]
+
+
+class Parts(dict):
+    """Lower-case pre-tokens to packed ids, by the library's merges; restarts when full."""
+
+    def __init__(self, lib):
+        super().__init__()
+        self.merge, self.mapped = lib.model.tokenize, lib.pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        tokens = self.merge(part if part.isascii() else self.mapped(part)[0][0])
+        out = self[part] = array("I", [t.id for t in tokens]).tobytes()
         return out
 
 
+class Words(dict):
+    """Blank-free words to packed ids, through those of their pre-tokens; restarts when full."""
+
+    def __init__(self, parts: Parts):
+        super().__init__()
+        self.parts = parts
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        low = word.lower()
+        out = self[word] = self.parts[low] if low.isalpha() else b"".join(map(self.parts.__getitem__, PRE_TOKENS.findall(low)))
+        return out
+
+
+_loaded: dict[str, WordIds] = {}
+
+
+def word_ids(tokenizer_file: str) -> WordIds:
+    """One for each Python worker, so tasks that follow each other share its cache."""
+    if tokenizer_file not in _loaded:
+        _loaded[tokenizer_file] = WordIds(tokenizer_file)
+    return _loaded[tokenizer_file]
+
+
 def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, number, first sequence, offset) for all pieces of each length, by best fit.
 
@@ -116,7 +154,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
     def run(batches):
         from pyspark import TaskContext
 
-        chunk, ids, seen = TaskContext.get().partitionId(), WordIds(tokenizer_file), {}
+        chunk, ids, seen = TaskContext.get().partitionId(), word_ids(tokenizer_file), {}
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
@@ -133,7 +171,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "rank"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, rank long")
+    return text_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, rank long")
 
 
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
