@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import held_out, join_checked, materialize
+from .base import held_out, join_checked, materialize, text_batches
 
 TABLE_BITS = 14
 DIMS = 32
@@ -83,18 +83,23 @@ def context_vectors(docs: DataFrame, bits: int = TABLE_BITS, dims: int = DIMS) -
 
     def run(batches):
         cells, index = TokenCells(bits), index_vectors(bits, dims)
-        total, size = np.zeros((dims, 1 << bits)), np.zeros(1 << bits)
+        total, size = np.zeros((1 << bits, dims), np.int64), np.zeros(1 << bits, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
             words, shapes = (np.concatenate([h[i] for h in held]) for i in range(2))
             held.clear()
-            near = _shift_sum(index[words] + index[shapes])
-            for ids, mine in ((words, index[shapes]), (shapes, index[words])):
-                context = (near + mine).T.astype(np.float64)
-                for d in range(dims):
-                    total[d] += np.bincount(ids, context[d], 1 << bits)
-                size[:] += np.bincount(ids, minlength=1 << bits)
+            if not len(words):
+                return
+            by_word, by_shape = index[words], index[shapes]
+            near = _shift_sum(by_word + by_shape)
+            for ids, mine in ((words, by_shape), (shapes, by_word)):
+                # rows of a cell together, then one sum for each cell; small ids sort by radix
+                order = np.argsort(ids.astype(np.uint16), kind="stable")
+                first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+                cell = ids[order[first]]
+                total[cell] += np.add.reduceat((near + mine)[order].astype(np.int32), first, axis=0)
+                size[cell] += np.diff(np.append(first, len(order)))
 
         waiting = 0
         for batch in batches:
@@ -110,9 +115,9 @@ def context_vectors(docs: DataFrame, bits: int = TABLE_BITS, dims: int = DIMS) -
         used = np.flatnonzero(size)
         for at in range(0, len(used), 10_000):
             part = used[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(total[d][part]) for d in range(dims))], names=["cell", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(total[part, d]) for d in range(dims))], names=["cell", *names])
 
-    each = docs.select("text").mapInArrow(run, "cell long, " + ", ".join(f"{n} double" for n in names))
+    each = text_batches(docs.select("text")).mapInArrow(run, "cell long, " + ", ".join(f"{n} long" for n in names))
     rows = each.groupBy("cell").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
     out = np.zeros((1 << bits, dims))
     out[rows["cell"].to_numpy()] = np.column_stack([rows[n].to_numpy() for n in names]) if rows.num_rows else 0
@@ -164,7 +169,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, keep: tuple[str, ...] = ("doc_i
             offsets = np.arange(len(found) + 1, dtype=np.int32) * (2 * dims + N_RATES)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*keep, "features"])
 
-    return rows.mapInArrow(run, f"{schema}, features array<float>")
+    return text_batches(rows).mapInArrow(run, f"{schema}, features array<float>")
 
 
 class Network:
