@@ -39,7 +39,7 @@ ALPHA = 0.01
 EDGES = np.linspace(-20.0, 60.0, 801)
 SCORE_EDGES = np.linspace(-15.0, 15.0, 1201)
 WORD = re.compile(r"\w+")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 class Words(dict):
