@@ -35,6 +35,7 @@ SEED = 7
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CACHE_TOKENS = 300_000
 N_RATES = 8
+LANE_ROWS = 4_000
 
 
 def index_vectors(bits: int = TABLE_BITS, dims: int = DIMS, seed: int = SEED) -> np.ndarray:
@@ -94,12 +95,19 @@ def context_vectors(docs: DataFrame, bits: int = TABLE_BITS, dims: int = DIMS) -
             by_word, by_shape = index[words], index[shapes]
             near = _shift_sum(by_word + by_shape)
             for ids, mine in ((words, by_shape), (shapes, by_word)):
-                # rows of a cell together, then one sum for each cell; small ids sort by radix
-                order = np.argsort(ids.astype(np.uint16), kind="stable")
-                first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-                cell = ids[order[first]]
-                total[cell] += np.add.reduceat((near + mine)[order].astype(np.int32), first, axis=0)
-                size[cell] += np.diff(np.append(first, len(order)))
+                # rows of a cell together; small ids sort by radix
+                ids = ids.astype(np.uint16)
+                order = np.argsort(ids, kind="stable")
+                ids = ids[order]
+                first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                parts = -(-np.diff(np.append(first, len(ids))) // LANE_ROWS)
+                start = np.repeat(first, parts) + LANE_ROWS * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+                # four 16-bit sums in each 64-bit one: terms lie in 3..13, so LANE_ROWS of them fit
+                lanes = (near + mine + np.int8(8)).astype(np.uint16)[order].view(np.uint64)
+                sums = np.add.reduceat(lanes, start, axis=0).view(np.uint16).astype(np.int64)
+                rows = np.diff(np.append(start, len(ids)))
+                np.add.at(total, ids[start], sums - 8 * rows[:, None])
+                np.add.at(size, ids[start], rows)
 
         waiting = 0
         for batch in batches:
