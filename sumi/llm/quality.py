@@ -4,10 +4,11 @@ Every token and every token shape (case, length, symbols, repeats) has a cell in
 random index vector. One pass over all documents adds up, for each cell, the index vectors of its neighbours: the
 context vectors, summed by Spark as one row for each cell and task. A second pass pools the centred, normalised
 context vectors of each document's words and shapes, with a few rates (repeats, symbols, capitals). A two-layer
-network is fitted in numpy on at most `max_train` labelled training rows, chosen by hash; a part of them that the
-network does not see sets the temperature that turns its margin into a probability.
+network is fitted in numpy on at most `max_train` labelled training ids, chosen by hash, one row for each; a part of
+them that the network does not see sets the temperature that turns its margin into a probability.
 
-The model's size is fixed; documents are not shuffled; the driver holds the table and the training rows only.
+The model's size is fixed; documents are not shuffled; the driver holds the table and the training rows only. All sums
+are whole numbers and no word is a neighbour of another document's, so scores do not depend on how rows lie.
 
 Edge cases: null and empty texts pool to zeros and get the score of that point; a null id has no label; repeated
 labels of one id count as the larger; without labels of both classes all scores are the base rate.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import held_out, join_checked, materialize, text_batches
+from .base import held_out, materialize, text_batches, training_labels
 
 TABLE_BITS = 14
 DIMS = 32
@@ -83,9 +84,11 @@ def context_vectors(docs: DataFrame, bits: int = TABLE_BITS, dims: int = DIMS) -
     names = [f"v{d}" for d in range(dims)]
 
     def run(batches):
-        cells, index = TokenCells(bits), index_vectors(bits, dims)
-        total, size = np.zeros((1 << bits, dims), np.int64), np.zeros(1 << bits, np.int64)
+        # one more cell, with a vector of zeros, stands between documents
+        cells, index = TokenCells(bits), np.vstack([index_vectors(bits, dims), np.zeros((1, dims), np.int8)])
+        total, size = np.zeros(((1 << bits) + 1, dims), np.int64), np.zeros((1 << bits) + 1, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        between = np.array([1 << bits])
 
         def flush():
             words, shapes = (np.concatenate([h[i] for h in held]) for i in range(2))
@@ -113,20 +116,21 @@ def context_vectors(docs: DataFrame, bits: int = TABLE_BITS, dims: int = DIMS) -
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 one = cells.of(text)
-                held.append(one)
+                held += [one, (between, between)]
                 waiting += len(one[0])
                 if waiting > 200_000:
                     flush()
                     waiting = 0
         if held:
             flush()
-        used = np.flatnonzero(size)
+        used = np.flatnonzero(size[:-1])
         for at in range(0, len(used), 10_000):
             part = used[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(total[part, d]) for d in range(dims))], names=["cell", *names])
 
-    each = text_batches(docs.select("text")).mapInArrow(run, "cell long, " + ", ".join(f"{n} long" for n in names))
-    rows = each.groupBy("cell").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    each = docs.select("text").mapInArrow(run, "cell long, " + ", ".join(f"{n} long" for n in names))
+    with text_batches(docs.sparkSession):
+        rows = each.groupBy("cell").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
     out = np.zeros((1 << bits, dims))
     out[rows["cell"].to_numpy()] = np.column_stack([rows[n].to_numpy() for n in names]) if rows.num_rows else 0
     return out
@@ -177,7 +181,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, keep: tuple[str, ...] = ("doc_i
             offsets = np.arange(len(found) + 1, dtype=np.int32) * (2 * dims + N_RATES)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*keep, "features"])
 
-    return text_batches(rows).mapInArrow(run, f"{schema}, features array<float>")
+    return rows.mapInArrow(run, f"{schema}, features array<float>")
 
 
 class Network:
@@ -225,18 +229,14 @@ class Network:
 
 def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("__y"))
-    known = materialize(known.where(~held_out()), "quality-labels")
+    few = training_labels(labels, "quality", max_train)
     vectors = normalised(context_vectors(docs))
     rows = materialize(pooled(docs, vectors), "pooled")
-    n = known.count()
-    share = min(1.0, max_train / max(1, n))
-    few = known.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    train = join_checked(rows, few, "doc_id", "inner").select("doc_id", "features", "__y").limit(int(1.2 * max_train) + 100).toArrow()
+    train = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.max("__y").alias("__y")).toArrow()
     width = 2 * DIMS + N_RATES
     x = train["features"].combine_chunks().flatten().to_numpy().reshape(-1, width).astype(np.float64) if train.num_rows else np.zeros((1, width))
     y = train["__y"].to_numpy().astype(np.float64) if train.num_rows else np.array([0.5])
-    order = np.lexsort((x[:, 0], train["doc_id"].to_numpy())) if train.num_rows else np.array([0])
+    order = train["doc_id"].to_pandas().argsort().to_numpy() if train.num_rows else np.array([0])
     network = Network(x[order], y[order])
 
     def run(batches):

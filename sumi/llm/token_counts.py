@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import text_batches
+from .base import materialize
 
 #: Units kept in a worker's cache; beyond it the cache restarts from the proven whole tokens.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 200_000
 CHUNK_TEXTS = 200
 SPACES = re.compile(" +[^ ]*")
 
@@ -85,13 +85,23 @@ class UnitCounter:
         return out
 
 
+_loaded: dict[str, UnitCounter] = {}
+
+
+def unit_counter(model_file: str) -> UnitCounter:
+    """One for each Python worker, so the proofs run once there and tasks that follow each other share its cache."""
+    if model_file not in _loaded:
+        _loaded[model_file] = UnitCounter(model_file)
+    return _loaded[model_file]
+
+
 def count_tokens(docs: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, n_bytes (UTF-8) and n_tokens of every whole text. One pass, no shuffle."""
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", n_bytes long, n_tokens long"
 
     def run(batches):
-        counter = UnitCounter(model_file)
+        counter = unit_counter(model_file)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             n_bytes = pc.binary_length(texts).cast(pa.int64())
@@ -99,4 +109,4 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", keep: tup
             columns += [n_bytes, pa.array(counter.counts(texts.to_pylist()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_bytes", "n_tokens"])
 
-    return text_batches(rows).mapInArrow(run, schema)
+    return materialize(rows.mapInArrow(run, schema), "token-counts")

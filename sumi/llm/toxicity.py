@@ -11,7 +11,8 @@ ln K of the extreme-value law is fitted to those documents, the passages of a do
 a logistic curve over all training documents turns it into a probability of label 1.
 
 The model has a fixed size (2 ** TABLE_BITS cells); nothing else leaves the executors but histograms of fixed size.
-Documents are not shuffled: the labels are broadcast if counted small, else joined.
+At most MAX_LABELS labelled ids are learnt from, so they are broadcast at any size and documents are never shuffled;
+the prior's counts and the scores are those of all documents.
 
 Edge cases: null and empty texts get the score of no tokens; a null id is a training candidate without a label;
 repeated labels of one id count as the larger; without labels of both classes all scores are the base rate.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import held_out, join_checked, materialize, row_key, text_batches
+from .base import held_out, materialize, text_batches, training_labels
 
 TABLE_BITS = 18
 STEMS = (4, 5, 6, 7)
@@ -40,6 +41,7 @@ EDGES = np.linspace(-20.0, 60.0, 801)
 SCORE_EDGES = np.linspace(-15.0, 15.0, 1201)
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 150_000
+MAX_LABELS = 1_000_000
 
 
 class Words(dict):
@@ -107,8 +109,9 @@ def count_cells(docs: DataFrame, label: str, bits: int = TABLE_BITS) -> tuple[di
             part = used[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(t[part]) for t in total)], names=["cell", "n", "n0", "n1"])
 
-    each = text_batches(docs.select("text", F.col(label).cast("int"))).mapInArrow(run, "cell long, n long, n0 long, n1 long")
-    rows = each.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "n0", "n1"))).toArrow()
+    each = docs.select("text", F.col(label).cast("int")).mapInArrow(run, "cell long, n long, n0 long, n1 long")
+    with text_batches(docs.sparkSession):
+        rows = each.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "n0", "n1"))).toArrow()
     out = {}
     for c in ("n", "n0", "n1"):
         out[c] = np.zeros(size + 1)
@@ -147,30 +150,33 @@ def word_scorer(ratio: np.ndarray, z: np.ndarray, z_min: float = Z_MIN, drift: f
 SEGMENT = "array<struct<score:double,start:int,end:int>>"
 
 
-def segment_rows(docs: DataFrame, label: str, ratio: np.ndarray, z: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens and all maximal segments of each document; and, with `bin`, how many words of the documents
-    with label 0 have a score in each bin."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+def segment_rows(docs: DataFrame, label: str, ratio: np.ndarray, z: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, n_tokens and all maximal segments of each document; and, with `bin`, how many words of the
+    documents with label 0 have a score in each bin."""
+    rows = docs.select(*keep, F.col("text").alias("__text"), F.col(label).cast("int").alias("__label"))
     segment = pa.struct([("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
-    kinds = (arrow_kind, pa.int64(), pa.int64(), pa.list_(segment), pa.int32(), pa.int64())
-    names = ["doc_id", "row_key", "n_tokens", "segments", "bin", "bin_words"]
+    kinds, names = (pa.int64(), pa.list_(segment), pa.int32(), pa.int64()), [*keep, "n_tokens", "segments", "bin", "bin_words"]
+
+    def arrays(found):
+        return [pa.array(c, k) for c, k in zip(list(zip(*found, strict=True)) or [()] * 4, kinds, strict=True)]
 
     def run(batches):
-        memo, seen = Words(word_scorer(ratio, z)), np.zeros(len(SCORE_EDGES) + 1, np.int64)
+        memo, seen, kept = Words(word_scorer(ratio, z)), np.zeros(len(SCORE_EDGES) + 1, np.int64), None
         for batch in batches:
-            rows = []
-            for doc_id, row_key, text, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                found = words(text)
-                scores = np.fromiter(map(memo.__getitem__, found), np.float64, len(found))
+            found, kept = [], [batch.column(i).type for i in range(len(keep))]
+            for text, y in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True):
+                tokens = words(text)
+                scores = np.fromiter(map(memo.__getitem__, tokens), np.float64, len(tokens))
                 if y == 0:
                     seen += np.bincount(np.searchsorted(SCORE_EDGES, scores), minlength=len(seen))
-                rows.append((doc_id, row_key, len(found), [{"score": s, "start": a, "end": b} for s, a, b in segments(scores)], None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], names=names)
-        rows = [(None, None, None, None, int(k), int(seen[k])) for k in np.flatnonzero(seen)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], names=names)
+                found.append((len(tokens), [{"score": s, "start": a, "end": b} for s, a, b in segments(scores)], None, None))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays(found)], names=names)
+        used = np.flatnonzero(seen)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(used), k) for k in kept), *arrays([(None, None, int(k), int(seen[k])) for k in used])], names=names)
 
-    return text_batches(docs.select("doc_id", "row_key", "text", F.col(label).cast("int"))).mapInArrow(run, f"doc_id {kind}, row_key long, n_tokens long, segments {SEGMENT}, bin int, bin_words long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    return rows.mapInArrow(run, f"{schema}, n_tokens long, segments {SEGMENT}, bin int, bin_words long")
 
 
 def karlin_lambda(scores: np.ndarray, counts: np.ndarray) -> float:
@@ -201,29 +207,27 @@ def fit_logistic(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float,
     return float(a), float(b)
 
 
-def score(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_tokens, n_passages and passages (word ranges `start:end`) of every row, with the
-    `row_key` of `base.row_key`."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__y"))
-    known = materialize(known.where(~held_out()), "toxic-labels")
-    marked = join_checked(docs.select("doc_id", row_key(docs).alias("row_key"), "text"), known, "doc_id")
+def score(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, keep: tuple[str, ...] = ("doc_id",), max_labels: int = MAX_LABELS) -> DataFrame:
+    """The columns `keep` (doc_id among them), held_out, score, predicted, n_tokens, n_passages and passages (word
+    ranges `start:end`) of every row."""
+    known = training_labels(labels, "toxic", max_labels)
+    marked = docs.join(F.broadcast(known), "doc_id", "left")
     ratio, z = cell_scores(*count_cells(marked, "__y"))
-    found = materialize(segment_rows(marked, "__y", ratio, z), "segments")
+    found = materialize(segment_rows(marked, "__y", ratio, z, keep), "segments")
     bins = found.where("bin is not null").groupBy("bin").agg(F.sum("bin_words").alias("n")).collect()  # 1,202 rows at most
     centres = np.concatenate([SCORE_EDGES[:1], (SCORE_EDGES[:-1] + SCORE_EDGES[1:]) / 2, SCORE_EDGES[-1:]])
     lam = karlin_lambda(centres[[r["bin"] for r in bins]], np.array([float(r["n"]) for r in bins]))
     ln_n = F.log(F.greatest(F.col("n_tokens"), F.lit(1)))
     bits = F.transform("segments", lambda s: F.lit(lam) * s["score"] - ln_n)
     rows = found.where("bin is null").select(
-        "doc_id",
-        "row_key",
+        *keep,
         "n_tokens",
         F.coalesce(F.array_max(bits), -ln_n - 1.0).alias("best"),
         F.aggregate(F.filter(bits, lambda x: x >= math.log(1 / alpha)), F.lit(0.0), lambda a, x: a + x).alias("sum"),
         F.filter("segments", lambda s: F.lit(lam) * s["score"] - ln_n >= math.log(1 / alpha)).alias("strong"),
     )
     rows = rows.withColumns({"n_passages": F.size("strong").cast("long"), "rest": F.when(F.size("strong") > 0, F.col("sum") - F.col("best")).otherwise(0.0)})
-    seen = join_checked(rows, known, "doc_id", "inner")
+    seen = rows.join(F.broadcast(known), "doc_id")
     # the mean of the Gumbel law is ln K + 0.5772 here
     null = seen.where(F.col("__y") == 0).agg(F.avg("best")).first()[0]
     ln_k = (null if null is not None else 0.0) - 0.5772156649
@@ -236,8 +240,7 @@ def score(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA) -> DataFrame
         n[r["__y"], r["bin"]] += r["count"]
     a, b = fit_logistic(EDGES + width / 2, n[0], n[1])
     out = rows.select(
-        "doc_id",
-        "row_key",
+        *keep,
         held_out().alias("held_out"),
         (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * stat)))).alias("score"),
         "n_tokens",

@@ -6,23 +6,119 @@ import pytest
 from sumi.llm import quality, toxicity
 
 
-def best_by_brute_force(x):
-    return max((x[i:j].sum() for i in range(len(x)) for j in range(i + 1, len(x) + 1)), default=0)
+def maximal_by_brute_force(x, low=0):
+    """The best segment (the shortest of equal ones), then the same left and right of it."""
+    best = max(((x[i:j].sum(), i - j, i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1)), default=(0,))
+    if best[0] <= 0:
+        return []
+    _, _, i, j = best
+    return [*maximal_by_brute_force(x[:i], low), (best[0], low + i, low + j), *maximal_by_brute_force(x[j:], low + j)]
 
 
 def test_segments():
+    """All maximal segments, against the definition."""
     rng = np.random.default_rng(0)
-    for n in (0, 1, 5, 40, 40, 40):
-        x = rng.normal(-0.3, 1, n)
-        found = toxicity.segments(x)
-        for score, a, b in found:
-            assert score == pytest.approx(x[a:b].sum())
-            assert (np.cumsum(x[a:b]) > -1e-12).all() and (np.cumsum(x[a:b][::-1]) > -1e-12).all()
-        assert all(b1 <= a2 for (_, _, b1), (_, a2, _) in zip(found, found[1:], strict=False))
-        if found:
-            assert max(s for s, _, _ in found) == pytest.approx(best_by_brute_force(x))
-        else:
-            assert (x <= 0).all()
+    for n, shift in [(0, 0), (1, 0), (5, 0), (40, 0.3), (40, 0.0), (40, -0.2), (30, 0.8)]:
+        for _ in range(4):
+            x = rng.normal(-shift, 1, n)
+            got, want = toxicity.segments(x), maximal_by_brute_force(x)
+            assert [g[1:] for g in got] == [w[1:] for w in want]
+            assert [g[0] for g in got] == pytest.approx([w[0] for w in want])
+
+
+def test_counts_and_log_odds(spark):
+    rows = [(1, "Bad bad word", 1), (2, "good word", 0), (3, "word", None), (4, None, 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    counts, docs0, docs1 = toxicity.count_cells(frame, "y", 10)
+    assert (docs0, docs1) == (2, 1)
+    want = {k: np.zeros(1 << 10) for k in ("n", "n0", "n1")}
+    for _, text, y in rows:
+        for c in {c for w in toxicity.words(text) for c in toxicity.cells(w, 1023)}:
+            want["n"][c] += 1
+            if y is not None:
+                want[f"n{y}"][c] += 1
+    assert all((counts[k] == want[k]).all() for k in want)
+    ratio, z = toxicity.cell_scores(counts, docs0, docs1, prior=10.0)
+    total = sum(n + 0.01 for n in want["n"])
+    for w in ("bad", "good", "word"):
+        c = toxicity.cells(w, 1023)[0]
+        share = [(want[k][c] + 10 * (want["n"][c] + 0.01) / total) / (want[k].sum() + 10) for k in ("n0", "n1")]
+        assert ratio[c] == pytest.approx(np.log(share[1] / share[0]))
+    assert z[toxicity.cells("bad", 1023)[0]] > 0 > z[toxicity.cells("good", 1023)[0]]
+
+
+def test_karlin_lambda():
+    scores, counts = np.array([-1.0, 0.5, 2.0]), np.array([90.0, 8.0, 2.0])
+    root = toxicity.karlin_lambda(scores, counts)
+    assert (counts / 100) @ np.exp(root * scores) == pytest.approx(1) and root > 0
+    assert toxicity.karlin_lambda(scores, counts * 0) == 1.0
+
+
+def test_logistic_fit_finds_the_curve():
+    x = np.linspace(-4, 4, 81)
+    p = 1 / (1 + np.exp(-(0.5 + 1.5 * x)))
+    a, b = toxicity.fit_logistic(x, 1e5 * (1 - p), 1e5 * p)
+    assert (a, b) == (pytest.approx(0.5, abs=1e-2), pytest.approx(1.5, abs=1e-2))
+
+
+def test_context_vectors_by_brute_force(spark):
+    """Neighbours within a document only, whatever lies beside it."""
+    texts = ["A red fox, a RED fox!", "one", "", None, "red 12 fox", "fox"]
+    index, want = quality.index_vectors(8, 8).astype(int), np.zeros((256, 8), int)
+    for t in texts:
+        words, shapes = quality.TokenCells(8).of(t)
+        for i in range(len(words)):
+            near = sum((index[words[j]] + index[shapes[j]] for j in (i - 1, i + 1) if 0 <= j < len(words)), np.zeros(8, int))
+            want[words[i]] += near + index[shapes[i]]
+            want[shapes[i]] += near + index[words[i]]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for some in (frame.coalesce(1), frame.repartition(3)):
+        assert (quality.context_vectors(some, 8, 8) == want).all()
+
+
+def test_pooling_by_brute_force(spark):
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(256, 4)).astype(np.float32)
+    texts = ["A red fox, a RED fox!", "", None, "one\ntwo"]
+    got = quality.pooled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vectors).collect()
+    for r, t in zip(sorted(got), texts, strict=True):
+        words, shapes = quality.TokenCells(8).of(t)
+        if not len(words):
+            assert not any(r.features)
+            continue
+        n, pairs = len(words), list(zip(words, words[1:], strict=False))
+        rates = [np.log1p(n), np.mean([a == b for a, b in pairs]), len(set(pairs)) / (n - 1), len(set(words)) / n, t.count("\n") / n, len(t) / n, len(set(shapes)) / n, np.mean([vectors[a] @ vectors[b] for a, b in pairs])]
+        assert r.features == pytest.approx([*np.mean([vectors[w] for w in words], axis=0), *np.mean([vectors[s] for s in shapes], axis=0), *rates], abs=1e-5)
+
+
+def test_network_by_brute_force():
+    """The forward pass as loops, on a task that is easy to learn."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 5))
+    y = (x[:, 0] + 0.1 * rng.normal(size=400) > 0).astype(float)
+    net = quality.Network(x, y, hidden=6, epochs=150)
+    z = (x[0] - net.mean) / net.scale
+    hidden = [np.tanh(sum(z[i] * net.w[0][i, j] for i in range(5)) + net.w[1][j]) for j in range(6)]
+    logit = (sum(h * w for h, w in zip(hidden, net.w[2], strict=True)) + net.w[3]) / net.temperature
+    assert net.probability(x[:1])[0] == pytest.approx(1 / (1 + np.exp(-logit)))
+    assert ((net.probability(x) > 0.5) == y).mean() > 0.85
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_scores_do_not_depend_on_layout(spark, module):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    one, other = (dict(module.score(d, labels).select("doc_id", "score").collect()) for d in (docs, docs.repartition(7)))
+    assert one.keys() == other.keys()
+    assert max(abs(one[k] - other[k]) for k in one) < 1e-9
+
+
+def test_string_and_decimal_ids(spark, odd):
+    labels = spark.createDataFrame([(4, 1), (8, 0)], "doc_id long, toxic int")
+    for kind in ("string", "decimal(20,0)"):
+        d, y = odd.withColumn("doc_id", odd.doc_id.cast(kind)), labels.withColumn("doc_id", labels.doc_id.cast(kind))
+        assert toxicity.score(d, y).count() == 10
+        assert quality.score(d, y.withColumnRenamed("toxic", "quality")).count() == 10
 
 
 def auc(y, p):
