@@ -1,9 +1,15 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
-A document is its five-word shingles (lower-case words), each weighted by how often it occurs there (TF) times
-1 + idf_weight * idf. idf is ln((1 + docs) / (1 + df)) / ln(1 + docs), df the shingle's document count over all
-documents from a hashed table of fixed size, less the table's mean load. Its share stays small on purpose: with raw
-IDF, one changed word would outweigh hundreds that a large group of copies shares.
+A document is its five-word shingles (lower-case words), each weighted by how often it occurs there (TF) times its
+IDF. Counting all different five-word strings of a corpus takes a table that grows with it, and a table of fixed size
+counts collisions in the end; so a shingle's IDF is the mean of its words', which is what its own document count would
+say if words were independent. A word's IDF is ln((1 + docs) / (1 + df)) / ln(1 / RARE) up to 1, df its document count
+over all documents: it depends on the share of documents that have the word, not on how many there are. Words rarer
+than RARE count alike; what unlike rare words add to one cell of the hashed table of 2 ** TABLE_BITS is the rare words
+of a document / 2 ** TABLE_BITS of all documents, below RARE at any corpus size. A passage that many documents share
+keeps its weight, so copies in a large group are not told apart by the one word that they do not share.
+
+The IDF is rounded to one of 16 levels, which are part of the shingle's hash: weights need no table later on.
 
 Sampling (Ioffe 2010): for hash i and shingle k with weight S, r and c are Gamma(2, 1), b uniform, all fixed by
 (i, k); t = floor(ln S / r + b), ln a = ln c - r (t - b) - r; the shingle with the smallest a, with its t, is the
@@ -42,13 +48,16 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 5
-IDF_WEIGHT = 0.5
 TABLE_BITS = 18
+RARE = 1e-3  # words in a smaller share of documents have the IDF 1
 POOL_BITS = 16
-GRID = 16.0  # steps of the weight grid for each unit of ln S
+STEP = 3 / 16  # of ln weight, for levels of IDF and for the grid of sampling
+LEVEL_BITS = 4
+LEVELS = np.exp(-STEP * np.arange(1 << LEVEL_BITS))  # the IDF of each level, 0.06 at least
+UNIT = 1024  # a word's IDF is a whole number of these parts, so that sums are exact
 SEED = 5
 WORD = re.compile(r"\w+")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 CHUNK = 1024  # shingles that are drawn for at once
 BLOCK = 512  # members of a bucket in a block
 COLUMNS = 4096
@@ -60,12 +69,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Shingler(dict):
-    """Words to hashes, remembered; texts to sorted 32-bit shingle hashes, one for each occurrence."""
-
-    def __init__(self, words: int = WORDS):
-        super().__init__()
-        self.words = words
+class WordHashes(dict):
+    """Words to 64-bit hashes, remembered."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > CACHE_WORDS:
@@ -74,68 +79,78 @@ class Shingler(dict):
         h = self[word] = zlib.crc32(raw) << 32 | zlib.adler32(raw)
         return h
 
-    def of(self, text: str | None) -> tuple[bytes, np.ndarray]:
-        """A digest of the word sequence (without words, of the text less outer blanks), and the shingles."""
-        found = WORD.findall((text or "").lower())
-        h = np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
-        if not len(h):
-            blank = (text or "").strip().encode("utf-8", "surrogatepass")
-            return hashlib.blake2b(blank, digest_size=16, person=b"no words").digest(), np.zeros(0, np.uint32)
-        digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
-        k = min(self.words, len(h))
-        total = np.zeros(len(h) - k + 1, np.uint64)
-        for i in range(k):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(total)]
-        return digest, np.sort((_mix(total) >> np.uint64(32)).astype(np.uint32))
+
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
 
 
-def document_frequency(docs: DataFrame, bits: int = TABLE_BITS, words: int = WORDS) -> tuple[np.ndarray, int]:
-    """Documents for each cell of the hashed table less its mean load, and the number of documents."""
-    size, shift = 1 << bits, 32 - bits
+def word_idf(docs: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
+    """The IDF of each cell of the hashed table of words, in whole parts of 1 / UNIT."""
+    size, shift = 1 << bits, 64 - bits
 
     def run(batches):
-        shingler, total = Shingler(words), np.zeros(size + 1, np.int64)
+        hashes, total = WordHashes(), np.zeros(size + 1, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                cells = shingler.of(text)[1] >> np.uint32(shift)  # sorted, so equal cells adjoin
-                total[cells[np.flatnonzero(np.diff(cells, prepend=np.uint32(size)))]] += 1
+                found = set(words_of(text))
+                h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
+                total[np.unique(h >> np.uint64(shift)).astype(np.intp)] += 1
                 total[size] += 1
         used = np.flatnonzero(total)
         for at in range(0, len(used), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(used[at : at + 10_000]), pa.array(total[used[at : at + 10_000]])], names=["cell", "n"])
 
-    rows = text_batches(docs.select("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(size + 1)
-    table[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return np.maximum(table[:-1] - np.median(table[:-1]), 1.0).astype(np.float32), int(table[-1])
+    with text_batches(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(size + 1)
+    df[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) / math.log(1 / RARE)
+    return np.rint(UNIT * np.clip(idf, 0, 1)).astype(np.uint16)
+
 
+class Shingler:
+    """Texts to sorted 32-bit shingles, one for each occurrence: 28 bits of hash, then the level of the IDF."""
 
-class Weights:
-    """Shingle weights from the table of document frequencies; picklable, 1 MB."""
+    def __init__(self, idf: np.ndarray, words: int = WORDS):
+        self.hashes, self.idf, self.words = WordHashes(), idf.astype(np.int64), words
+        self.shift = np.uint64(64 - int(math.log2(len(idf))))
+        mean = np.maximum(np.arange(UNIT + 1) / UNIT, 1e-9)
+        self.level = np.clip(np.rint(-np.log(mean) / STEP), 0, len(LEVELS) - 1).astype(np.uint64)
+
+    def of(self, text: str | None) -> tuple[bytes, np.ndarray]:
+        """A digest of the word sequence (without words, of the text less outer blanks), and the shingles."""
+        found = words_of(text)
+        h = np.fromiter(map(self.hashes.__getitem__, found), np.uint64, len(found))
+        if not len(h):
+            blank = (text or "").strip().encode("utf-8", "surrogatepass")
+            return hashlib.blake2b(blank, digest_size=16, person=b"no words").digest(), np.zeros(0, np.uint32)
+        digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+        k = min(self.words, len(h))
+        total = np.zeros(len(h) - k + 1, np.uint64)
+        for i in range(k):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(total)]
+        sums = np.concatenate([[0], np.cumsum(self.idf[(h >> self.shift).astype(np.intp)])])
+        level = self.level[(sums[k:] - sums[:-k]) // k]
+        both = _mix(total) >> np.uint64(32 + LEVEL_BITS) << np.uint64(LEVEL_BITS) | level
+        return digest, np.sort(both.astype(np.uint32))
 
-    def __init__(self, df: np.ndarray, n_docs: int, idf_weight: float = IDF_WEIGHT):
-        idf = np.log((1.0 + n_docs) / (1.0 + np.minimum(df, n_docs))) / max(math.log(1.0 + n_docs), 1e-9)
-        self.cell = (1.0 + idf_weight * idf).astype(np.float32)
-        self.shift = np.uint32(32 - int(math.log2(len(df))))
 
-    def of(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles and their weights."""
-        if not len(shingles):
-            return shingles, np.zeros(0, np.float32)
-        first = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
-        tf = np.diff(np.append(first, len(shingles)))
-        return shingles[first], tf * self.cell[shingles[first] >> self.shift]
+def weigh(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of a sorted array, how often each occurs, and its level."""
+    first = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])) if len(shingles) else np.zeros(0, np.intp)
+    kinds = shingles[first]
+    return kinds, np.diff(np.append(first, len(shingles))), (kinds & np.uint32(len(LEVELS) - 1)).astype(np.intp)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, weights: Weights) -> float:
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two sorted shingle arrays."""
-    (ka, wa), (kb, wb) = weights.of(a), weights.of(b)
+    (ka, na, la), (kb, nb, lb) = weigh(a), weigh(b)
     if not len(ka) or not len(kb):
         return float(len(ka) == len(kb))
     at = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
     both = kb[at] == ka
-    common = float(np.minimum(wa[both], wb[at[both]]).sum())
-    return common / (float(wa.sum()) + float(wb.sum()) - common)
+    common = float((np.minimum(na[both], nb[at[both]]) * LEVELS[la[both]]).sum())
+    return common / (float((na * LEVELS[la]).sum()) + float((nb * LEVELS[lb]).sum()) - common)
 
 
 class Sampler:
@@ -148,23 +163,24 @@ class Sampler:
         self.mul = rng.integers(1, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
         self.space = np.empty(n * CHUNK, np.uint32), np.empty(n * CHUNK, np.intp), np.empty(n * CHUNK, np.float32)
         self.levels: dict[int, int] = {}
-        self.ln_a, self.t = np.zeros((0, pool), np.float32), np.zeros((0, pool), np.int32)
+        self.ln_a = np.zeros((0, pool), np.float32)
+
+    def _t(self, step, at=slice(None)) -> np.ndarray:
+        return np.floor(step * STEP / self.r[at] + self.b[at])
 
     def _level(self, step: int) -> int:
-        """The place of a step of the weight grid in the look-up tables, made when it first occurs."""
+        """The place of a step of the weight grid in the look-up table, made when it first occurs."""
         if step not in self.levels:
-            t = np.floor(step / GRID / self.r + self.b)
-            ln_a = np.log(self.c) - self.r * (t - self.b) - self.r
+            ln_a = np.log(self.c) - self.r * (self._t(step) - self.b) - self.r
             self.levels[step] = len(self.ln_a)
-            self.ln_a, self.t = np.vstack([self.ln_a, ln_a.astype(np.float32)]), np.vstack([self.t, t.astype(np.int32)])
+            self.ln_a = np.vstack([self.ln_a, ln_a.astype(np.float32)])
         return self.levels[step]
 
-    def keys(self, shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """One 64-bit key for each band."""
-        steps = np.rint(np.log(weights) * GRID).astype(np.int64)
+    def keys(self, shingles: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """One 64-bit key for each band; `steps` are the weights on the grid, ln weight / STEP."""
         kinds, which = np.unique(steps, return_inverse=True)
         level = np.array([self._level(int(s)) for s in kinds], np.intp)[which] << POOL_BITS
-        ln_a, t, n = self.ln_a.reshape(-1), self.t.reshape(-1), len(self.mul)
+        ln_a, n = self.ln_a.reshape(-1), len(self.mul)
         best, pick, cell, row = np.full(n, np.inf, np.float32), np.zeros(n, np.intp), np.zeros(n, np.intp), np.arange(n)
         for at in range(0, len(shingles), CHUNK):
             some = shingles[at : at + CHUNK]
@@ -179,7 +195,8 @@ class Sampler:
             better = low < best
             best[better], pick[better] = low[better], k[better] + at
             cell[better] = index[row, k][better]
-        sample = _mix(shingles[pick].astype(np.uint64) << np.uint64(32) | t[cell].astype(np.uint32).astype(np.uint64))
+        t = self._t(steps[pick], cell & ((1 << POOL_BITS) - 1)).astype(np.int64).astype(np.uint32)
+        sample = _mix(shingles[pick].astype(np.uint64) << np.uint64(32) | t.astype(np.uint64))
         sample = sample.reshape(self.bands, self.rows)
         key = np.arange(self.bands, dtype=np.uint64)
         for i in range(self.rows):
@@ -187,18 +204,24 @@ class Sampler:
         return key.view(np.int64)
 
 
-def sample(docs: DataFrame, weights: Weights, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def grid_steps(n: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """ln weight in steps of the grid."""
+    return np.rint(np.log(n) / STEP).astype(np.int64) - level
+
+
+def sample(docs: DataFrame, idf: np.ndarray, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """uid, doc_id, row_key, node (digest of the words), keys (one for each band; none without words), shingles."""
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), row_key(docs).alias("row_key"), "text")
+    source = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", row_key(docs).alias("row_key"), "text")
 
     def run(batches):
-        shingler, sampler = Shingler(words), Sampler(bands, rows)
+        shingler, sampler = Shingler(idf, words), Sampler(bands, rows)
         for batch in batches:
             nodes, keys, shingles, known = [], [], [], {}
             for text in batch.column(3).to_pylist():
                 node, found = shingler.of(text)
                 if node not in known:
-                    known[node] = sampler.keys(*weights.of(found)) if len(found) else np.zeros(0, np.int64)
+                    kinds, n, level = weigh(found)
+                    known[node] = sampler.keys(kinds, grid_steps(n, level)) if len(found) else np.zeros(0, np.int64)
                 nodes.append(node)
                 shingles.append(found.tobytes())
                 keys.append(known[node])
@@ -209,17 +232,18 @@ def sample(docs: DataFrame, weights: Weights, words: int = WORDS, bands: int = B
                 names=["uid", "doc_id", "row_key", "node", "keys", "shingles"],
             )
 
-    return text_batches(source).mapInArrow(run, "uid long, doc_id long, row_key long, node binary, keys array<long>, shingles binary")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"uid long, doc_id {kind}, row_key struct<a:long,b:long>, node binary, keys array<long>, shingles binary")
 
 
-def verified(pairs: DataFrame, shingles: DataFrame, weights: Weights) -> DataFrame:
+def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     """(leader, uid, d): the weighted Jaccard distance of each pair."""
     both = pairs.join(shingles.select(F.col("uid").alias("leader"), F.col("shingles").alias("x")), "leader").join(shingles.withColumnRenamed("shingles", "y"), "uid")
 
     def run(batches):
         for batch in batches:
             xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            d = [1.0 - similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), weights) for x, y in zip(xs, ys, strict=True)]
+            d = [1.0 - similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(xs, ys, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64())], names=["leader", "uid", "d"])
 
     return both.select("leader", "uid", "x", "y").mapInArrow(run, "leader long, uid long, d double")
@@ -229,38 +253,38 @@ def _unresolved(members: DataFrame, checked: DataFrame, far: float) -> DataFrame
     """(bucket, uid) that the star around each bucket's leader leaves open: members that are not similar to it, and
     similar ones that may yet link with those by the triangle inequality. `members` has bucket, uid and leader."""
     at = members.where("uid <> leader").join(checked, ["leader", "uid"])
-    nearest = at.where(F.col("d") > far).groupBy("bucket").agg(F.min("d").alias("nearest"))
-    return at.join(nearest, "bucket").where((F.col("d") > far) | (F.col("d") >= F.col("nearest") - far)).select("bucket", "uid")
+    nearest = materialize(at.where(F.col("d") > far).groupBy("bucket").agg(F.min("d").alias("nearest")), "nearest")
+    return join_checked(at, nearest, "bucket", "inner").where((F.col("d") > far) | (F.col("d") >= F.col("nearest") - far)).select("bucket", "uid")
 
 
 def _grouped(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, uid, root) in buckets whose members have several components yet."""
+    """(bucket, uid) in buckets whose members have several components yet."""
     rooted = members.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    return rooted.join(several, "bucket").select("bucket", "uid", "root")
+    return join_checked(rooted, materialize(several, "several"), "bucket", "inner").select("bucket", "uid")
 
 
-def links(nodes: DataFrame, shingles: DataFrame, weights: Weights, least: float = SIMILARITY) -> DataFrame:
+def links(nodes: DataFrame, shingles: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(node, root): the components of all verified links; `nodes` has uid and keys, `shingles` uid and shingles."""
     far = 1.0 - least
     exploded = nodes.select("uid", F.posexplode("keys").alias("band", "key"))
     buckets = exploded.groupBy("band", "key").agg(F.min("uid").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = materialize(exploded.join(buckets.select("band", "key", "leader"), ["band", "key"]), "members")
     candidates = materialize(join_checked(shingles, members.select("uid").distinct(), "uid", "inner"), "candidates")
-    checked = materialize(verified(members.where("uid <> leader").select("leader", "uid").distinct(), candidates, weights), "verified")
+    checked = materialize(verified(members.where("uid <> leader").select("leader", "uid").distinct(), candidates), "verified")
     near = lambda found: found.where(F.col("d") <= far).select(F.col("leader").alias("a"), F.col("uid").alias("b"))
     roots = components(near(checked))
     open_ = materialize(_unresolved(members.select(F.struct("band", "key").alias("bucket"), "uid", "leader"), checked, far), "open")
-    open_ = _grouped(open_, roots)
-    return _merged(roots, _within(open_, candidates, weights, least))
+    open_ = materialize(_grouped(open_, roots), "open-groups")
+    return _merged(roots, _within(open_, candidates, least))
 
 
-def _within(open_: DataFrame, shingles: DataFrame, weights: Weights, least: float, block: int = BLOCK) -> DataFrame:
+def _within(open_: DataFrame, shingles: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(a, b): a spanning forest of the links between the members of each bucket. Buckets are cut into blocks, and a
     task gets two blocks at most, so its size is bounded; it sends no more rows than it has members."""
     buckets = open_.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
     mine = F.pmod(F.xxhash64("uid"), F.col("n_blocks")).cast("int")
-    dealt = open_.join(buckets, "bucket").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    dealt = join_checked(open_, materialize(buckets, "open-sizes"), "bucket", "inner").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     tasks = dealt.select("uid", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"))
 
     def run(table: pa.Table) -> pa.Table:
@@ -271,7 +295,7 @@ def _within(open_: DataFrame, shingles: DataFrame, weights: Weights, least: floa
         nth = [np.arange(len(x)) - np.repeat(f, np.diff(np.append(f, len(x)))) for x, f in zip(found, first, strict=True)]
         features = np.concatenate(found).astype(np.uint64) << np.uint64(32) | np.concatenate(nth).astype(np.uint64)
         owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        weight = weights.cell[(features >> np.uint64(32)).astype(np.uint32) >> weights.shift].astype(np.float64)
+        weight = LEVELS[(features >> np.uint64(32)).astype(np.intp) & (len(LEVELS) - 1)]
         total = np.bincount(owner, weight, len(found))
         kinds, column, seen = np.unique(features, return_inverse=True, return_counts=True)
         shared = seen[column] > 1
@@ -286,7 +310,7 @@ def _within(open_: DataFrame, shingles: DataFrame, weights: Weights, least: floa
             common += has @ has.T
         sim = common / (total[:, None] + total[None, :] - common)
         i, j = np.nonzero(np.triu(sim >= least - 1e-4, 1))
-        sure = np.array([s > least + 1e-4 or similarity(found[a], found[b], weights) >= least for a, b, s in zip(i, j, sim[i, j], strict=True)], bool)
+        sure = np.array([s > least + 1e-4 or similarity(found[a], found[b]) >= least for a, b, s in zip(i, j, sim[i, j], strict=True)], bool)
         label = np.arange(len(found))
         i, j = i[sure], j[sure]
         while True:
@@ -314,15 +338,15 @@ def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(new), "roots")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, idf_weight: float = IDF_WEIGHT) -> DataFrame:
-    """doc_id, class_id (the class's smallest id), class_size and kept (one row of each class) of every row, with the `row_key` of `base.row_key`."""
-    weights = Weights(*document_frequency(docs), idf_weight)
-    rows = materialize(sample(docs, weights), "samples")
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, samples: int = ROWS) -> DataFrame:
+    """doc_id, class_id (the class's smallest id), class_size and kept (one row of each class) of every row, with the
+    `row_key` of `base.row_key`; `bands` of `samples` each."""
+    rows = materialize(sample(docs, word_idf(docs), bands=bands, rows=samples), "samples")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid")))
     groups = materialize(rows.groupBy("node").agg(F.min("uid").alias("uid"), first.alias("first"), F.count("*").alias("n")), "nodes")
     whole = rows.where(F.size("keys") > 0)
     alone = groups.select("uid")
-    roots = links(join_checked(whole.select("uid", "keys"), alone, "uid", "inner"), whole.select("uid", "shingles"), weights, least)
+    roots = links(join_checked(whole.select("uid", "keys"), alone, "uid", "inner"), whole.select("uid", "shingles"), least)
     classed = groups.join(roots, groups["uid"] == roots["node"], "left").select(groups["node"].alias("words"), F.coalesce("root", "uid").alias("root"), "first", "n")
     classes = classed.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
     by_node = classed.select("words", "root").join(classes, "root").select(F.col("words").alias("node"), "first", "class_size")

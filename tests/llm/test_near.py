@@ -52,8 +52,9 @@ def test_odd_vectors(spark):
     assert vectors.near_vectors(frame.limit(0)).count() == 0
 
 
-def groups_by_brute_force(frame, weights):
-    rows = [(r.doc_id, minhash.Shingler().of(r.text)) for r in frame.select("doc_id", "text").collect()]
+def groups_by_brute_force(frame):
+    shingler = minhash.Shingler(minhash.word_idf(frame))
+    rows = [(r.doc_id, shingler.of(r.text)) for r in frame.select("doc_id", "text").collect()]
     low = list(range(len(rows)))
 
     def root(i):
@@ -64,7 +65,7 @@ def groups_by_brute_force(frame, weights):
     for i in range(len(rows)):
         for j in range(i):
             (x, a), (y, b) = rows[i][1], rows[j][1]
-            if x == y or (len(a) and len(b) and minhash.similarity(a, b, weights) >= 0.8):
+            if x == y or (len(a) and len(b) and minhash.similarity(a, b) >= 0.8):
                 p, q = sorted((root(i), root(j)))
                 low[q] = p
     members = {}
@@ -91,9 +92,8 @@ def copies(spark):
 
 def test_near_duplicates(spark, docs):
     for frame in (copies(spark), docs):
-        weights = minhash.Weights(*minhash.document_frequency(frame))
         got = minhash.near_duplicates(frame).toPandas()
-        assert sorted(sorted(x) for x in got.groupby("class_id").doc_id.apply(list)) == groups_by_brute_force(frame, weights)
+        assert sorted(sorted(x) for x in got.groupby("class_id").doc_id.apply(list)) == groups_by_brute_force(frame)
         assert (got[got.kept].doc_id == got[got.kept].class_id).all()
         assert got.kept.sum() == got.class_id.nunique()
 
@@ -115,12 +115,46 @@ def test_texts_without_words(spark):
 def test_sampling_estimates_weighted_similarity():
     rng = np.random.default_rng(4)
     sampler = minhash.Sampler(bands=400, rows=1)
-    a = np.unique(rng.integers(0, 1 << 32, 600, dtype=np.uint64).astype(np.uint32))
-    b = np.unique(np.concatenate([a[:400], rng.integers(0, 1 << 32, 200, dtype=np.uint64).astype(np.uint32)]))
-    wa, wb = np.exp(rng.integers(0, 8, len(a)) / minhash.GRID), None
-    weight = dict(zip(a.tolist(), wa, strict=True))
-    wb = np.array([weight.get(k, 1.0) for k in b.tolist()])
-    common = sum(weight[k] for k in set(a.tolist()) & set(b.tolist()))
-    want = common / (wa.sum() + wb.sum() - common)
-    got = (sampler.keys(a, wa) == sampler.keys(b, wb)).mean()
-    assert abs(got - want) < 0.09
+    draw = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+    a = np.sort(np.repeat(draw(600), rng.integers(1, 4, 600)))
+    b = np.sort(np.concatenate([np.unique(a)[:400], np.unique(a)[:100], draw(200)]))
+    keys = [sampler.keys(kinds, minhash.grid_steps(n, level)) for kinds, n, level in map(minhash.weigh, (a, b))]
+    assert abs((keys[0] == keys[1]).mean() - minhash.similarity(a, b)) < 0.09
+
+
+def test_similarity_by_brute_force():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 32, 40, dtype=np.uint64).astype(np.uint32)
+    for _ in range(20):
+        a, b = (np.sort(rng.choice(pool, n)) for n in rng.integers(1, 60, 2))
+        weight = lambda k: float(minhash.LEVELS[k & 15])
+        counts = [{k: int((x == k).sum()) for k in pool} for x in (a, b)]
+        low, high = (sum(f(counts[0][k], counts[1][k]) * weight(k) for k in pool) for f in (min, max))
+        assert minhash.similarity(a, b) == pytest.approx(low / high)
+
+
+def test_idf_depends_on_shares_not_on_counts(spark):
+    """Weights of a corpus and of the same ten times over are alike."""
+    rows = [(i, f"the common word {'often' if i % 3 else 'seldom'} w{i} and the end of it", "a") for i in range(300)]
+    one, ten = make(spark, rows), make(spark, rows * 10)
+    a, b = minhash.word_idf(one).astype(int), minhash.word_idf(ten).astype(int)
+    cell = lambda w: minhash.WordHashes()[w] >> (64 - minhash.TABLE_BITS)
+    assert a[cell("common")] == b[cell("common")] == 0
+    assert abs(a[cell("often")] - b[cell("often")]) < 5 and abs(a[cell("seldom")] - b[cell("seldom")]) < 5
+    assert a[cell("common")] < a[cell("often")] < a[cell("seldom")] < a[cell("w7")]
+
+
+def test_one_bucket_of_unlike_members(spark):
+    """Documents that share a passage of half their words, dealt into small blocks; a few are copies."""
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"u{k}" for k in rng.integers(0, 10**6, n)]
+    passage, rows = word(40), []
+    for i in range(700):
+        rows.append([*word(12), *passage, *word(12)])
+    for i in range(0, 700, 100):
+        rows.append([*rows[i][:-1], "changed"])
+    frame = make(spark, [(i, " ".join(t), "a") for i, t in enumerate(rows)])
+    got = minhash.near_duplicates(frame, bands=6, samples=1).toPandas()
+    want = groups_by_brute_force(frame)
+    assert sorted(sorted(x) for x in got.groupby("class_id").doc_id.apply(list)) == want
+    assert len(want) == 700
