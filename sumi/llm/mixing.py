@@ -4,17 +4,20 @@ Each source gets a target in words: a share of all words by weight, stopped at `
 the excess reshared by weight among the others. Sorted by the ratio of stop to weight the stopped sources are a
 prefix, so one running sum over the sources (not the documents) finds all targets.
 
-The whole part of target / source words is taken as certain copies of every document. The rest is a sample of
-fixed size: documents are ranked by their random odds u/(1-u) divided by their inclusion odds, and taken in that
-order as long as the source's words allow; one more, the one that comes nearest, closes the gap. Inclusion odds are f/(1-f) times
-(size / mean size) ** tilt, f the part of the source that is left to take, so longer documents are likelier;
-tilt = 0 makes a source's documents alike. u comes from a hash of document and source, so reruns agree.
-
-No task holds a source: the ranking key is cut into bins, bin sums locate the cut, and only the rows of the one
-bin in which the cut falls are sorted. Sources may be of any size; words are summed before anything is shuffled.
-
-Edge cases: null texts have size 0 and are not taken; a null source is a source of its own, last; repeated rows
-are taken each on their own, equal ones in any order; an empty table gives no rows.
+The whole part of target / source words is taken as certain copies of every document. The rest is a sample of fixed
+size with unequal probabilities: a document's inclusion probability p is min(1, c * size ** tilt), c solved for each
+source so that the words expected of the sample are the words that are left to take; longer documents are likelier and
+tilt = 0 makes a source's documents alike. Documents are ranked by their random odds u/(1-u) divided by their inclusion
+odds p/(1-p), certain ones first, and taken in that order as long as the words allow; one more, the one that comes
+nearest, closes the gap. u comes from a hash of id, source, text and, of rows that are alike in these, their number, so
+reruns agree, however the rows lie, and rows that share an id or have none are sampled each on their own.
+
+No task holds a source: c comes from the sizes' histogram, the ranking is cut into bins, bin sums locate the cut, and
+only the rows of the one bin in which the cut falls are sorted. What is decided is one row for each source: the last
+row taken, and the one that closes the gap. `mix` applies these to the documents themselves, row by row.
+
+Edge cases: null texts have size 0 and are not taken; a null source is a source of its own, last; an empty table gives
+no rows; columns with clashing names are kept (names that begin with two underscores are not allowed).
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import join_checked, materialize
+from .base import join_checked, materialize, row_key, times
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -30,16 +33,31 @@ CAP = 2.0
 TILT = 0.5
 BINS = 4096
 SEED = "mix"
-TIES = ("rank", "doc_id", "size", "row")
 
 
 def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def _key(source: str = "source") -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+
+
+def _content(seed: str) -> Column:
+    """A digest of id, source and text."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}|"), text("doc_id"), F.lit("|"), text("source"), F.lit("|"), F.md5(text("text").cast("binary"))).cast("binary"))
+
+
+def _random(content: Column, number: Column) -> Column:
+    """Between 0 and 1, from the digest and the row's number among rows that are alike."""
+    digest = F.md5(F.concat(content, F.lit("|"), number.cast("string")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+
+
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """key, source_size, n_docs, target of each source. Windows here run over one row for each source."""
-    each = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_docs"))
+    """key, source_size, target of each source. Windows here run over one row for each source."""
+    each = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
     each = each.withColumn("weight", weight.cast("double")).withColumn("stop", F.lit(float(cap)) * F.col("source_size"))
@@ -55,57 +73,127 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     stopped = F.coalesce(F.sum(F.when(F.col("stopped"), F.col("stop"))).over(everywhere), F.lit(0.0))
     free = F.sum(F.when(~F.col("stopped"), F.col("weight"))).over(everywhere)
     level = F.try_divide(F.col("total") - stopped, free)
-    return each.withColumn("target", F.when(F.col("stopped"), F.col("stop")).otherwise(F.col("weight") * level)).select("key", "source_size", "n_docs", "target")
-
-
-def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, tilt: float = TILT, bins: int = BINS, seed: str = SEED, sizes: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the columns `keep` of every document."""
-    text_id = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("source"), F.lit("")))
-    sized = docs.select(
-        "doc_id",
-        "source",
-        F.monotonically_increasing_id().alias("row"),
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"),
-        (words(F.col("text")) if sizes is None else sizes).alias("size"),
-        ((F.conv(F.substring(F.md5(text_id.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)).alias("u"),
-        *keep,
-    )
-    sized = materialize(sized, "sizes")
-    sources = targets(sized, weights, share, cap)
-    sources = sources.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
-    sources = sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    tilted = F.pow(F.try_divide((F.col("size") * F.col("n_docs")).cast("double"), F.col("source_size")), F.lit(float(tilt)))
-    left = F.try_divide("rest", "source_size")
-    ranked = join_checked(sized, sources, "key").withColumn("order", F.when(F.col("size") > 0, F.col("u") / (1 - F.col("u")) / tilted))
-    # f/(1-f) is the same for a source's documents, so the bins need not have it; the ranking below does
-    ranked = ranked.withColumns({"bin": F.floor(F.col("order") / (1 + F.col("order")) * bins), "rank": F.try_divide(F.col("order"), F.try_divide(left, 1 - left))})
-    bin_sums = ranked.where(F.col("size") > 0).groupBy("key", "bin").agg(F.sum("size").alias("n"), F.max("rest").alias("rest"))
+    return each.withColumn("target", F.when(F.col("stopped"), F.col("stop")).otherwise(F.col("weight") * level)).select("key", "source_size", "target")
+
+
+def inclusion(sized: DataFrame, sources: DataFrame, tilt: float = TILT) -> DataFrame:
+    """key and c of each source: p = min(1, c * size ** tilt), so that the expected words are what is left to take.
+
+    From the largest size on, sizes are certain as long as c of what remains would exceed 1 there; a window holds the
+    different sizes of one source, not its documents. c is null where all documents are certain."""
+    sizes = join_checked(sized.where("size > 0").groupBy("key", "size").agg(F.count("*").alias("n")), sources.select("key", "rest"), "key")
+    down = Window.partitionBy("key").orderBy(F.col("size").desc())
+    larger = F.coalesce(F.sum(F.col("size") * F.col("n")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    weight = F.pow(F.col("size").cast("double"), F.lit(float(tilt)))
+    others = F.sum(F.col("n") * F.col("size") * weight).over(down.rowsBetween(0, Window.unboundedFollowing))
+    solved = sizes.withColumn("c", (F.col("rest") - larger) / others)
+    return solved.where(F.col("c") * weight < 1).groupBy("key").agg(F.max_by("c", "size").alias("c"))
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """`number`: 1, 2, ... among the rows of one content. Rows are counted where they lie and what lies before is
+    added, so many equal rows do not meet in one task."""
+    sized = sized.withColumn("part", F.shiftright("row", 33))
+    counts = sized.groupBy("content", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("content").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = materialize(counts.withColumn("before", before).where("before > 0").select("content", "part", "before"), "numbers-before")
+    here = sized.withColumn("here", F.row_number().over(Window.partitionBy("content", "part").orderBy("row")))
+    return join_checked(here, before, ["content", "part"]).withColumn("number", F.col("here") + F.coalesce("before", F.lit(0))).drop("part", "here", "before")
+
+
+def _order(get, tilt: float) -> Column:
+    """The rank: null where nothing is to be drawn, 0 where inclusion is certain. `get` gives a column by its name."""
+    p = F.least(F.lit(1.0), F.coalesce(get("c") * F.pow(get("size").cast("double"), F.lit(float(tilt))), F.lit(1.0)))
+    u = _random(get("content"), get("number"))
+    return F.when(get("size") > 0, F.when(p >= 1, F.lit(0.0)).when(p > 0, u / (1 - u) / (p / (1 - p))))
+
+
+def _bin(order: Column, bins: int) -> Column:
+    return F.floor(order / (1 + order) * bins)
+
+
+#: The order of a source's documents: by rank, and ties by what does not depend on how rows lie.
+PLACE = ("order", "size", "content", "number")
+
+
+def _sampled(sized: DataFrame, sources: DataFrame, tilt: float, bins: int) -> tuple[DataFrame, DataFrame]:
+    """The ranked rows, and one row for each source with `last` (place of the last row that the words allow) and
+    `filler` (place of the row that closes the gap); null where there is none."""
+    ranked = join_checked(sized, sources, "key").withColumn("order", _order(F.col, tilt)).withColumn("bin", _bin(F.col("order"), bins))
+    ranked = materialize(ranked, "ranked-sizes")
+    live = ranked.where(F.col("order").isNotNull())
+    place = F.struct(*PLACE)
+    bin_sums = live.groupBy("key", "bin").agg(F.sum("size").alias("n"), F.max("rest").alias("rest"))
     so_far = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cuts = bin_sums.withColumn("before", so_far).where(F.col("before") < F.col("rest")).groupBy("key").agg(F.max("bin").alias("cut"), F.max("before").alias("before"))
-    marked = join_checked(ranked, cuts, "key")
-    columns = ["key", "row", "doc_id", "size", "source_size", "target", "whole", "rest", "rank", *keep]
-    at_cut = F.coalesce(F.col("bin") == F.col("cut"), F.lit(False))
-    sure = marked.where(~at_cut).select(*columns, F.coalesce((F.col("size") > 0) & (F.col("bin") < F.col("cut")), F.lit(False)).alias("extra"))
-    taken_to = F.col("before") + F.sum("size").over(Window.partitionBy("key").orderBy(*TIES).rowsBetween(Window.unboundedPreceding, 0))
-    cut = marked.where(at_cut & (F.col("size") > 0)).withColumn("to", taken_to).select(*columns, (F.col("to") <= F.col("rest")).alias("extra"))
-    sampled = materialize(sure.unionByName(cut), "sampled")
-    # what the sample leaves open is closed by the one document whose size comes nearest
-    gaps = sampled.groupBy("key").agg((F.first("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("gap"))
+    at_cut = join_checked(live, cuts, "key", "inner").where(F.col("bin") == F.col("cut"))
+    to = F.col("before") + F.sum("size").over(Window.partitionBy("key").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0))
+    fits = at_cut.withColumn("to", to).where(F.col("to") <= F.col("rest")).groupBy("key").agg(F.max(place).alias("last_at_cut"), F.max("to").alias("to"))
+    ends = cuts.join(fits, "key", "left").select("key", "cut", "last_at_cut", F.coalesce("to", "before").alias("words"))
+    ends = materialize(ends, "cuts")
+    left = join_checked(live, ends, "key", "inner").withColumn("gap", F.col("rest") - F.col("words")).where(~_sampled_row(F.col, place))
     off = F.abs(F.col("size") - F.col("gap"))
-    fillers = join_checked(sampled.where(~F.col("extra") & (F.col("size") > 0)), gaps, "key").where(off < F.col("gap"))
-    fillers = fillers.groupBy("key").agg(F.min_by("row", F.struct(off, *TIES)).alias("filler"))
-    closed = join_checked(sampled, fillers, "key").withColumn("more", F.col("extra") | F.coalesce(F.col("row") == F.col("filler"), F.lit(False)))
-    taken = F.col("whole") * F.col("size") + F.when(F.col("more"), F.col("size")).otherwise(0)
-    return closed.select("doc_id", "size", "source_size", "target", *keep, F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("taken"))
+    fillers = left.where(off < F.col("gap")).groupBy("key").agg(F.min_by(place, F.struct(off, *PLACE)).alias("filler"))
+    return ranked, ends.join(fillers, "key", "left").select("key", "cut", "last_at_cut", "filler")
+
+
+def _sampled_row(get, place: Column) -> Column:
+    """Whether the row stands before the cut of its source."""
+    last = F.coalesce(place <= get("last_at_cut"), F.lit(False))
+    return F.coalesce((get("bin") < get("cut")) | (get("bin") == get("cut")) & last, F.lit(False))
+
+
+def _copies(get, place: Column) -> Column:
+    """How often the mix takes a row, which stands beside what is decided for its source."""
+    more = _sampled_row(get, place) | F.coalesce(place == get("filler"), F.lit(False))
+    return F.when(get("size") > 0, get("whole") + more.cast("long")).otherwise(0).cast("long")
+
+
+def _decided(docs: DataFrame, weights, share, cap, tilt, bins, seed, keep: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """All rows (narrow) with `copies`, and the sources with what is decided for each."""
+    sized = docs.select("doc_id", "source", F.monotonically_increasing_id().alias("row"), _key().alias("key"), words(F.col("text")).alias("size"), _content(seed).alias("content"), *keep)
+    sized = materialize(_numbered(materialize(sized, "sizes")), "numbered")
+    sources = targets(sized, weights, share, cap).withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
+    sources = sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    sources = materialize(sources, "targets")
+    sources = materialize(sources.join(inclusion(sized, sources, tilt), "key", "left"), "sources")
+    ranked, ends = _sampled(sized, sources, tilt, bins)
+    ends = materialize(ends, "mix-ends")
+    return join_checked(ranked, ends, "key").withColumn("copies", _copies(F.col, F.struct(*PLACE))), materialize(sources.join(ends, "key", "left"), "mix-sources")
+
+
+def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, tilt: float = TILT, bins: int = BINS, seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document."""
+    rows, _ = _decided(docs, weights, share, cap, tilt, bins, seed)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, tilt: float = TILT, bins: int = BINS, seed: str = SEED) -> DataFrame:
+    """The documents of the mix, each as often as it is taken.
+
+    A row finds its copies from its own columns and its source's row; only rows that are alike in id, source and text
+    are numbered, so these go by the plan, through `base.times`. Texts are not moved for it."""
+    rows, sources = _decided(docs, weights, share, cap, tilt, bins, seed, (row_key(docs).alias("row_key"),))
+    alike = rows.groupBy("content").agg(F.max("number").alias("n")).where("n > 1").select("content")
+    planned = join_checked(rows.select("content", "row_key", "copies"), materialize(alike, "alike"), "content", "inner")
+    mine = {"size": words(F.col("text")), "content": _content(seed), "number": F.lit(1).cast("long")}
+    each = docs.withColumns({"__key": _key(), "__row": F.struct(*(v.alias(k) for k, v in mine.items()))})
+    table = sources.select(F.col("key").alias("__key"), F.struct("c", "whole", "cut", "last_at_cut", "filler").alias("__source"))
+    each = join_checked(each, table, "__key")
+    get = lambda name: F.col(f"__{name}") if name in ("order", "bin") else F.col("__row" if name in mine else "__source")[name]
+    each = each.withColumn("__order", _order(get, tilt)).withColumn("__bin", _bin(F.col("__order"), bins))
+    return times(each, planned, _copies(get, F.struct(*(get(c).alias(c) for c in PLACE))))
 
 
 SQL = r"""
-WITH d AS (
+WITH d0 AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(source, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+         md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(source, '') || '|' || md5(coalesce(text, ''))) AS content
   FROM documents),
+d1 AS (SELECT *, row_number() OVER (PARTITION BY content) AS number FROM d0),
+d AS (SELECT *, (('0x' || substr(md5(content || '|' || number), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM d1),
 s0 AS (
-  SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (WHERE size > 0) AS n_docs,
+  SELECT source, sum(size)::BIGINT AS source_size,
          CAST([5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS DOUBLE) AS weight
   FROM d GROUP BY source),
 s1 AS (
@@ -119,19 +207,25 @@ s4 AS (
   SELECT *, CASE WHEN stopped THEN stop ELSE weight * ((total - coalesce(sum(stop) FILTER (WHERE stopped) OVER (), 0)) / sum(weight) FILTER (WHERE NOT stopped) OVER ()) END AS target
   FROM s3),
 s5 AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS whole FROM s4),
-s AS (SELECT *, target - whole * source_size AS rest FROM s5),
-r AS (
-  SELECT d.doc_id, d.size, s.source_size, s.target, s.whole, s.rest, d.source,
-         CASE WHEN d.size > 0 THEN d.u / (1 - d.u) / pow((d.size * s.n_docs)::DOUBLE / s.source_size, 0.5::DOUBLE) END AS ord
+s6 AS (SELECT *, target - whole * source_size AS rest FROM s5),
+h0 AS (SELECT s6.source, size, any_value(rest) AS rest, count(*) AS n FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source WHERE size > 0 GROUP BY s6.source, size),
+h1 AS (
+  SELECT *, (rest - coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(n * size * pow(size::DOUBLE, 0.5::DOUBLE)) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM h0),
+h AS (SELECT source, arg_max(c, size) AS c FROM h1 WHERE c * pow(size::DOUBLE, 0.5::DOUBLE) < 1 GROUP BY source),
+s AS (SELECT s6.*, h.c FROM s6 LEFT JOIN h ON h.source IS NOT DISTINCT FROM s6.source),
+r0 AS (
+  SELECT d.*, s.source_size, s.target, s.whole, s.rest, least(1.0::DOUBLE, coalesce(s.c * pow(d.size::DOUBLE, 0.5::DOUBLE), 1.0::DOUBLE)) AS p
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+r AS (SELECT *, CASE WHEN size > 0 THEN CASE WHEN p >= 1 THEN 0.0::DOUBLE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END END AS ord FROM r0),
 c AS (
-  SELECT *, row_number() OVER (ORDER BY ord, doc_id, size) AS k,
-         coalesce(size > 0 AND sum(size) OVER (PARTITION BY source ORDER BY ord NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest, false) AS extra
+  SELECT *, row_number() OVER (ORDER BY ord, size, content, number) AS k,
+         coalesce(ord IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY ord NULLS LAST, size, content, number ROWS UNBOUNDED PRECEDING) <= rest, false) AS extra
   FROM r),
 g AS (SELECT source, any_value(rest) - coalesce(sum(size) FILTER (WHERE extra), 0) AS gap FROM c GROUP BY source),
 f AS (
-  SELECT c.k FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source WHERE NOT extra AND size > 0 AND abs(size - gap) < gap
-  QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY abs(size - gap), ord, doc_id, size) = 1)
+  SELECT c.k FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source WHERE NOT extra AND ord IS NOT NULL AND abs(size - gap) < gap
+  QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY abs(size - gap), ord, size, content, number) = 1)
 SELECT doc_id, size, source_size, target,
        CASE WHEN size > 0 THEN whole * size + CASE WHEN extra OR k IN (SELECT k FROM f) THEN size ELSE 0 END ELSE 0 END::BIGINT AS taken
 FROM c
