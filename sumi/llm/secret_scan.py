@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns plus sliding-window Shannon entropy, in DataFrame functions only.
 
 `splits` of a text around a pattern and the matches themselves alternate, so summing their lengths gives every
-match's place in code points without a Python function. Candidate strings are runs of key characters with a digit
-in them. Each is scanned once with a window of fixed width: a step takes one character out and one in, and updates
-the sum of n*log2(n) over the window's counts by those two characters only. The largest entropy of any window is
-held against the limit of the candidate's character class (hex, one-case, mixed). Allow-listed shapes (UUIDs,
-plain sequences, placeholders, one repeated block) are suppressed, and so is what a base span covers already.
+match's place in code points without a Python function. Candidate strings are runs of key characters. Each is
+scanned once with a window of fixed width, whose counts of characters are kept, five bits each, in a few whole
+numbers: a step takes one character out and one in, and changes those two counts and the sum of n*log2(n) by them.
+The largest entropy of any window is held against the limit of the candidate's character class (hex, letters of one
+case, letters of both, one case with digits, mixed). A candidate that is as a whole of an allow-listed shape (UUIDs,
+plain sequences, placeholders, one repeated block, numbers) is suppressed, and so is what a base span covers already.
 
 Edge cases: null and empty texts have no spans; equal starts are ordered as kinds are listed; repeated rows give
 repeated rows; very long texts are scanned whole, in one pass for each pattern.
@@ -21,14 +22,16 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Runs of key characters; without a digit a run is taken for words.
+#: Runs of key characters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ("assign", "access", "hex", "entropy")
 MIN_VALUE = 12
 WINDOW = 20
 #: Bits in any window of WINDOW characters from which a candidate of that class is a secret; the most is log2(20) = 4.32.
-LIMITS = {"hex": 3.1, "one_case": 3.6, "mixed": 3.8}
-ALLOW = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i:example|placeholder|changeme|x{6}|abcdefgh|12345678|00000000)|^(.{1,8})\2{2,}$|^[0-9/_=+-]+$"
+LIMITS = {"hex": 3.1, "one_case_letters": 3.9, "letters": 4.0, "one_case": 3.6, "mixed": 3.8}
+#: Shapes of whole candidates that are no secrets.
+ALLOW = r"^(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?i:(?:abcdefghijklmnopqrstuvwxyz|0123456789|1234567890|[-_=+/])+)|(?i:[a-z_-]*(?:example|placeholder|changeme|x{6})[a-z_-]*)|(.{1,8})\1{2,}|[0-9/_=+-]+)$"
 MASK = "[SECRET]"
 SPAN = "struct<start:bigint,kind:int,end:bigint,hit:string,value:string>"
 
@@ -50,29 +53,47 @@ def _spans(text: Column, kind: int, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+#: A lane holds the counts of LANE characters, COUNT_BITS bits each.
+COUNT_BITS, LANE = 5, 12
+
+
 def window_entropy(text: Column, width: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, of any window of `width` characters; 0 for shorter texts. ASCII."""
+    """The largest Shannon entropy, in bits, of any window of `width` characters, 31 at most; 0 for shorter texts.
+    Characters outside ALPHABET count as one."""
+    if not 0 < width < 1 << COUNT_BITS:
+        raise ValueError(f"width must be below {1 << COUNT_BITS}")
     terms = F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(width + 2)))
+    n_lanes = -(-(len(ALPHABET) + 1) // LANE)
+    codes = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c))
+    # each step's character and the one that leaves the window, -1 where none does
+    steps = F.arrays_zip(codes.alias("came"), F.slice(F.concat(F.array_repeat(F.lit(-1), width), codes), 1, F.size(codes)).alias("left"))
+
+    def at(code):
+        return (code % LANE * COUNT_BITS).cast("int")
+
+    def count(lanes, code):
+        lane = F.element_at(lanes, F.floor(code / LANE).cast("int") + 1)
+        return F.call_function("shiftright", lane, at(code)).bitwiseAND((1 << COUNT_BITS) - 1)
+
+    def changed(lanes, code, by):
+        one = F.call_function("shiftleft", F.lit(by).cast("long"), at(code))
+        return F.transform(lanes, lambda lane, k: F.when(k == F.floor(code / LANE), lane + one).otherwise(lane))
 
     def term(n):
         return F.element_at(terms, (n + 1).cast("int"))
 
-    def count(window, char):
-        return F.length(window) - F.length(F.replace(window, char, F.lit("")))
-
-    def step(acc, i):
-        """i counts from 1; the window before this step ends at character i - 1."""
-        full = i > width
-        out = F.when(full, F.substring(text, i - width, F.lit(1))).otherwise("")
-        kept = F.substring(text, F.greatest(i - width + 1, F.lit(1)), F.least(i - 1, F.lit(width - 1)))
-        char = F.substring(text, i, F.lit(1))
-        left, came = count(kept, out), count(kept, char)
-        total = acc["sum"] + F.when(full, term(left) - term(left + 1)).otherwise(0.0) + term(came + 1) - term(came)
-        bits = F.when(i >= width, math.log2(width) - total / width).otherwise(0.0)
-        return F.struct(total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
+    def step(acc, s):
+        full = s["left"] >= 0
+        was = count(acc["lanes"], F.greatest(s["left"], F.lit(0)))
+        lanes = F.when(full, changed(acc["lanes"], s["left"], -1)).otherwise(acc["lanes"])
+        gone = acc["sum"] + F.when(full, term(was - 1) - term(was)).otherwise(0.0)
+        now = count(acc["lanes"], s["came"]) - (full & (s["left"] == s["came"])).cast("long")
+        total = gone + term(now + 1) - term(now)
+        bits = F.when(acc["n"] + 1 >= width, math.log2(width) - total / width).otherwise(0.0)
+        return F.struct((acc["n"] + 1).alias("n"), changed(lanes, s["came"], 1).alias("lanes"), total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
 
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda acc: acc["best"])
+    start = F.struct(F.lit(0).alias("n"), F.array_repeat(F.lit(0).cast("long"), n_lanes).alias("lanes"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    return F.aggregate(steps, start, step, lambda acc: acc["best"])
 
 
 def scan(docs: DataFrame, allow: str = ALLOW, limits: dict[str, float] = LIMITS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -86,13 +107,14 @@ def scan(docs: DataFrame, allow: str = ALLOW, limits: dict[str, float] = LIMITS,
         F.filter(_spans(text, 0, ASSIGN, 1), lambda s: F.length(s["value"]) >= MIN_VALUE).alias("assign"),
         _spans(text, 1, ACCESS).alias("access"),
         _spans(text, 2, HEX).alias("hex"),
-        F.filter(_spans(text, 3, CANDIDATE), lambda s: s["hit"].rlike("[0-9]") & ~s["hit"].rlike(allow)).alias("candidates"),
+        F.filter(_spans(text, 3, CANDIDATE), lambda s: ~s["hit"].rlike(allow)).alias("candidates"),
     )
     rows = rows.select(*keep, F.array_sort(F.concat(bare(F.col("assign")), bare(F.col("access")), bare(F.col("hex")))).alias("base"), "candidates")
 
     def limit(hit):
-        one_case = ~(hit.rlike("[A-Z]") & hit.rlike("[a-z]"))
-        return F.when(hit.rlike("^[0-9a-fA-F]+$"), limits["hex"]).when(one_case, limits["one_case"]).otherwise(limits["mixed"])
+        one_case, letters = ~(hit.rlike("[A-Z]") & hit.rlike("[a-z]")), ~hit.rlike("[0-9]")
+        kinds = F.when(hit.rlike("^[0-9a-fA-F]+$"), limits["hex"]).when(letters & one_case, limits["one_case_letters"]).when(letters, limits["letters"])
+        return kinds.when(one_case, limits["one_case"]).otherwise(limits["mixed"])
 
     secret = F.filter(
         F.col("candidates"),
