@@ -16,7 +16,7 @@ shard alone, marked `oversized`; an empty table gives no rows; repeated rows are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import join_checked, materialize
@@ -26,12 +26,13 @@ STEP = 12
 ROUNDS = 10
 
 
-def shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
-    """doc_id, n_bytes, shard (its hash prefix in bits after a 'b'), depth, shard_bytes and oversized of every row."""
+def shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, keep: tuple[str, ...] = ("doc_id",), row: Column | None = None) -> DataFrame:
+    """The columns `keep`, n_bytes, shard (its hash prefix in bits after a 'b'), depth, shard_bytes and oversized of
+    every row; `row` tells rows of one key apart, by default by where they lie."""
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    row = F.md5(F.monotonically_increasing_id().cast("string").cast("binary"))
+    row = F.md5((F.monotonically_increasing_id() if row is None else row).cast("string").cast("binary"))
     rows = docs.select(
-        "doc_id",
+        *keep,
         F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"),
         # 60 bits each
         F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long").alias("key_bits"),
@@ -48,12 +49,13 @@ def shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
         levels = levels.withColumn("prefix", F.expr(f"shiftright(word, {STEP} - depth)"))
         sums = levels.groupBy("path", "depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("n_rows"))
         fits = sums.where((F.col("shard_bytes") <= limit_bytes) | (F.col("n_rows") == 1) | ((F.lit(k) == ROUNDS - 1) & (F.col("depth") == STEP)))
-        chosen = levels.select("path", "word", "depth", "prefix").join(fits.select("path", "depth", "prefix", "shard_bytes"), ["path", "depth", "prefix"])
+        fits = materialize(fits.select("path", "depth", "prefix", "shard_bytes"), "shard-fits")
+        chosen = join_checked(levels.select("path", "word", "depth", "prefix"), fits, ["path", "depth", "prefix"], "inner")
         directory = chosen.groupBy("path", "word").agg(F.min_by(F.struct("depth", "prefix", "shard_bytes"), "depth").alias("at"))
         joined = join_checked(open_rows, materialize(directory, "shard-directory"), ["path", "word"])
         bits = F.when(F.col("at.depth") > 0, F.expr("lpad(bin(at.prefix), at.depth, '0')")).otherwise("")
         placed = joined.where(F.col("at").isNotNull()).select(
-            "doc_id",
+            *keep,
             "n_bytes",
             F.concat("path", bits).alias("shard"),
             (F.col("at.depth") + STEP * k).cast("int").alias("depth"),
@@ -61,26 +63,33 @@ def shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
             (F.col("at.shard_bytes") > limit_bytes).alias("oversized"),
         )
         done = placed if done is None else done.unionByName(placed)
-        left = joined.where(F.col("at").isNull()).select("doc_id", "n_bytes", "key_bits", "row_bits", F.concat("path", F.expr(f"lpad(bin(word), {STEP}, '0')")).alias("path"))
+        left = joined.where(F.col("at").isNull()).select(*keep, "n_bytes", "key_bits", "row_bits", F.concat("path", F.expr(f"lpad(bin(word), {STEP}, '0')")).alias("path"))
         if left.isEmpty():
             break
         open_rows = materialize(left, "shard-open")
     return done
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """The documents in one folder for each shard; `placed` is what `shards` returned for them, ids unique."""
-    docs.join(placed.select("doc_id", "shard"), "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
+    """Write the documents, all their columns, in one folder for each shard; the result is the directory: shard,
+    n_rows, shard_bytes. Rows are numbered once, so null and repeated ids keep their rows; a task holds one shard, which
+    the limit bounds. A column `shard` of the documents is not allowed, as the folders are named by it."""
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "shard-documents")
+    placed = materialize(shards(numbered, limit_bytes, ("__row",), F.col("__row")), "shard-places")
+    numbered.join(placed.select("__row", "shard"), "__row").drop("__row").repartition("shard").write.partitionBy("shard").parquet(path)
+    return placed.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("n_bytes").alias("shard_bytes"))
 
 
-SQL = f"""
+def sql(limit_bytes: int) -> str:
+    """The same in SQL for tables whose ids are unique."""
+    return f"""
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS bits
   FROM documents),
 l AS (SELECT doc_id, n_bytes, depth, bits >> (60 - depth)::INT AS prefix FROM d, (SELECT unnest(range(0, 40))::INT AS depth)),
 s AS (SELECT *, (sum(n_bytes) OVER w)::BIGINT AS shard_bytes, count(*) OVER w AS n FROM l WINDOW w AS (PARTITION BY depth, prefix)),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM s WHERE shard_bytes <= {LIMIT_BYTES} OR n = 1)
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM s WHERE shard_bytes <= {limit_bytes} OR n = 1)
 SELECT doc_id, n_bytes, 'b' || CASE WHEN depth > 0 THEN right(lpad(bin(prefix), 64, '0'), depth) ELSE '' END AS shard, depth, shard_bytes,
-       shard_bytes > {LIMIT_BYTES} AS oversized
+       shard_bytes > {limit_bytes} AS oversized
 FROM f WHERE k = 1
 """
