@@ -1,21 +1,28 @@
 """Best-fit packing of token sequences, bulk-synchronous.
 
 Documents become ids of a public tokenizer plus an end id; longer ones are cut into full pieces. Pieces of one
-length are interchangeable, and so are open sequences with one gap, so both are kept sorted as classes: at most
-`capacity` lengths, and gap classes whose number is bounded by the lengths too, whatever the number of rows. In
-every superstep the next length class (long to short) sweeps over the sorted gaps for its successor, the smallest
-gap that holds it; ranks settle which piece takes which sequence, the gaps shrink, and the sweep repeats until
-no gap fits and new sequences open. The sweep exchanges class counts only; ranks and places of all pieces are
-computed where the pieces are. No step collects pieces or sorts them in one task.
+length are interchangeable, and so are open sequences with one gap, so both are kept as classes (size, first, number):
+at most `capacity` lengths, and gap classes whose number the lengths bound too, whatever the number of rows.
+
+A superstep is a DataFrame step over these classes. Both are sorted by size, long to short, a gap before a length of
+its size. In that order a length's best fit, the smallest gap that holds it and is not taken by a longer piece, is the
+last gap that is still open: gaps open brackets, pieces close them, and running sums of the numbers say at which ranks
+of depth. Cutting the depth at all these ranks makes cells in which each closing bracket's partner is the row before
+it, so conflicts are settled by rank and any number of pieces is matched at once. A sequence that got a piece takes
+more of the same length while they last and fit, as best fit would have it; gaps shrink; and the sweep is repeated.
+
+New sequences are opened only when the longest piece fits no gap: as many as the pieces above the largest gap need at
+least (at most k of more than capacity / (k + 1) share one; and their tokens fill it), where small pieces are left to
+fill the rest; else as many as the longest harmonic class needs. About twenty supersteps place everything. The last
+step computes ranks and places of all pieces where they are. No step collects pieces or sorts them in one task.
 
 Edge cases: null and empty texts are one piece that holds the end id; repeated rows are packed each on their own;
-an empty table gives no rows. A task that runs again writes its ranks again as one unit, so lost executors do no
-harm.
+an empty table gives no rows; ids may be of any type. A task that runs again writes its ranks again as one unit, so
+lost executors do no harm.
 """
 
 from __future__ import annotations
 
-import bisect
 import os
 import re
 import unicodedata
@@ -24,14 +31,14 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialize, text_batches
+from .base import join_checked, materialize, release
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: The split that the tokenizer makes, for characters that `WordIds` has proven to class alike in Python.
 PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
@@ -119,88 +126,171 @@ def word_ids(tokenizer_file: str) -> WordIds:
     return _loaded[tokenizer_file]
 
 
-def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, number, first sequence, offset) for all pieces of each length, by best fit.
-
-    Gaps are kept sorted by size; a class is a range of sequences that are filled alike.
-    """
-    gaps: list[tuple[int, int, int]] = []  # gap, first sequence, number; sorted
-    placed, opened = [], 0
-    for length in sorted((n for n in counts if counts[n] > 0), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(gaps, (length, -1, -1))
-            if at == len(gaps):
-                # new sequences take as many pieces of this length as fit, one layer in each superstep
-                layers = capacity // length
-                number = max(1, left // layers)
-                gap, first, opened = capacity, opened, opened + number
-            else:
-                gap, first, number = gaps.pop(at)
-            take = min(left, number)
-            placed.append((length, rank, take, first, capacity - gap))
-            rank, left = rank + take, left - take
-            if take < number:
-                bisect.insort(gaps, (gap, first + take, number - take))
-            if gap > length:
-                bisect.insort(gaps, (gap - length, first, take))
-    return placed
+#: Kinds of rows of the state: open gaps, lengths left, the number of sequences so far, and what was placed.
+GAP, LEFT, OPENED, PLACED = range(4)
+#: first: the first sequence of a gap class, the first rank of a length; seq and offset: where placed ranks stand.
+STATE = ("kind", "size", "first", "n", "seq", "offset")
+#: Where a sequence holds up to so many of the smallest piece left, one harmonic class after the other gets sequences.
+FEW = 5
+
+
+def _rows(df: DataFrame, kind: int, size: Column, first: Column, n: Column, seq: Column | None = None, offset: Column | None = None) -> DataFrame:
+    none = F.lit(None)
+    values = (size, first, n, none if seq is None else seq, none if offset is None else offset)
+    return df.select(F.lit(kind).alias("kind"), *(v.cast("long").alias(c) for v, c in zip(values, STATE[1:], strict=True)))
+
+
+def _opened(state: DataFrame, capacity: int) -> DataFrame:
+    """The state with as many new, empty sequences as the longest piece left asks for, if it fits no gap."""
+    whole, down = Window.partitionBy(), Window.orderBy(F.col("size").desc())
+    left = F.col("kind") == LEFT
+    seen = state.withColumn("top_gap", F.coalesce(F.max(F.when(F.col("kind") == GAP, F.col("size"))).over(whole), F.lit(0)))
+    big = seen.where(left & (F.col("size") > F.col("top_gap"))).withColumn("fit", F.floor(F.lit(capacity) / F.col("size")))
+    big = big.withColumns({"least": F.ceil(F.sum("n").over(down) / F.col("fit")), "longest": F.col("fit") == F.min("fit").over(whole)})
+    asked = big.agg(
+        F.greatest(F.max("least"), F.ceil(F.sum(F.col("size") * F.col("n")) / capacity)).alias("by_bounds"),
+        F.ceil(F.sum(F.when(F.col("longest"), F.col("n"))) / F.min("fit")).alias("by_class"),
+    )
+    now = state.agg(F.min(F.when(left, F.col("size"))).alias("smallest"), F.max(F.when(F.col("kind") == OPENED, F.col("first"))).alias("so_far"))
+    both = asked.withColumn("one", F.lit(1)).join(now.withColumn("one", F.lit(1)), "one")
+    more = F.when(F.floor(F.lit(capacity) / F.col("smallest")) <= FEW, F.col("by_class")).otherwise(F.col("by_bounds"))
+    both = both.withColumn("more", F.coalesce(more, F.lit(0)))
+    gap = _rows(both.where("more > 0"), GAP, F.lit(capacity), F.col("so_far"), F.col("more"))
+    counter = _rows(both, OPENED, F.lit(0), F.col("so_far") + F.col("more"), F.lit(0))
+    return state.where(F.col("kind") < OPENED).unionByName(gap).unionByName(counter).coalesce(1)
+
+
+def _brackets(state: DataFrame) -> DataFrame:
+    """Gaps and lengths in order, numbered (`at`), with the depths [lo, hi) that each opens or closes."""
+    order = Window.orderBy(F.col("size").desc(), "kind", "first")
+    till = order.rowsBetween(Window.unboundedPreceding, 0)
+    is_gap = F.col("kind") == GAP
+    events = state.where(F.col("kind") < OPENED)
+    events = events.withColumns({"at": F.row_number().over(order), "sum": F.sum(F.when(is_gap, F.col("n")).otherwise(-F.col("n"))).over(till)})
+    # where the sum falls below all before, a length finds no gap for so many of its pieces
+    events = events.withColumn("short", -F.least(F.lit(0), F.min("sum").over(till)))
+    events = events.withColumn("depth", F.col("sum") + F.col("short"))
+    before, lacking = F.coalesce(F.lag("depth").over(order), F.lit(0)), F.col("short") - F.coalesce(F.lag("short").over(order), F.lit(0))
+    events = events.withColumns({"before": before, "matched": F.when(is_gap, F.col("n")).otherwise(F.col("n") - lacking)})
+    low = F.when(is_gap, F.col("before")).otherwise(F.col("before") - F.col("matched"))
+    return events.select("at", "kind", "size", "first", "n", "matched", low.alias("lo"), (low + F.col("matched")).alias("hi"))
+
+
+def _matches(events: DataFrame) -> DataFrame:
+    """gap, gap_at, seq, at, size, rank, n: n ranks of a length from `rank` on go to n sequences from `seq` on."""
+    events = events.where("hi > lo")
+    by_value = Window.orderBy("v")
+    cuts = events.select(F.explode(F.array("lo", "hi")).alias("v")).distinct()
+    cuts = cuts.select("v", F.row_number().over(by_value).alias("cell"), (F.lead("v").over(by_value) - F.col("v")).alias("width"))
+    spans = events.join(cuts.select(F.col("v").alias("lo"), F.col("cell").alias("from")), "lo").join(cuts.select(F.col("v").alias("hi"), F.col("cell").alias("to")), "hi")
+    cells = spans.withColumn("cell", F.explode(F.sequence(F.col("from"), F.col("to") - 1))).join(cuts, "cell")
+    above = F.lag(F.struct("at", "size", "first", "lo")).over(Window.partitionBy("cell").orderBy("at"))
+    cells = cells.withColumn("gap", above).where(F.col("kind") == LEFT)
+    each = cells.groupBy("gap", "at", "size", "first", "lo").agg(F.min("v").alias("v"), F.sum("width").alias("n"))
+    seq, rank = F.col("gap.first") + F.col("v") - F.col("gap.lo"), F.col("first") + F.col("v") - F.col("lo")
+    return each.select(F.col("gap.size").alias("gap"), F.col("gap.at").alias("gap_at"), seq.alias("seq"), "at", "size", rank.alias("rank"), "n")
+
+
+def _again(events: DataFrame) -> DataFrame:
+    """The matches with `again`, how many more pieces of the same length each sequence takes: tightest gaps first, as
+    long as the length lasts and fits; and `next_rank`, where the ranks of these begin."""
+    lengths = events.where(F.col("kind") == LEFT).select("at", (F.col("n") - F.col("matched")).alias("over"), (F.col("first") + F.col("matched")).alias("over_rank"))
+    parts = _matches(events).join(lengths, "at").withColumn("room", F.floor((F.col("gap") - F.col("size")) / F.col("size")) * F.col("n"))
+    before = Window.partitionBy("at").orderBy("gap", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    free = F.greatest(F.col("over") - F.coalesce(F.sum("room").over(before), F.lit(0)), F.lit(0))
+    parts = parts.withColumn("again", F.floor(F.least(free, F.col("room")) / F.col("n")))
+    taken = F.coalesce(F.sum(F.col("again") * F.col("n")).over(before), F.lit(0))
+    return parts.withColumn("next_rank", F.col("over_rank") + taken)
+
+
+def _superstep(state: DataFrame, capacity: int) -> DataFrame:
+    """The state after one sweep, and the rows that it placed. One file is one partition, so nothing is shuffled."""
+    opened = materialize(_opened(state.where(F.col("kind") < PLACED).coalesce(1), capacity), "opened").coalesce(1)
+    events = materialize(_brackets(opened), "events").coalesce(1)
+    parts = materialize(_again(events), "matches").coalesce(1)
+    layers = parts.withColumn("layer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("again"))))
+    rank = F.when(F.col("layer") == 0, F.col("rank")).otherwise(F.col("next_rank") + (F.col("layer") - 1) * F.col("n"))
+    placed = _rows(layers, PLACED, F.col("size"), rank, F.col("n"), F.col("seq"), F.lit(capacity) - F.col("gap") + F.col("layer") * F.col("size"))
+    smaller = F.col("gap") - F.col("size") * (F.col("again") + 1)
+    shrunk = _rows(parts.where(smaller > 0), GAP, smaller, F.col("seq"), F.col("n"))
+    used = parts.groupBy(F.col("gap_at").alias("at")).agg(F.sum("n").alias("used"))
+    still = F.col("n") - F.coalesce("used", F.lit(0))
+    kept = _rows(events.where(F.col("kind") == GAP).join(used, "at", "left").where(still > 0), GAP, F.col("size"), F.col("first"), still)
+    more = parts.groupBy("at").agg(F.sum(F.col("again") * F.col("n")).alias("more"))
+    gone = F.col("matched") + F.coalesce("more", F.lit(0))
+    left = _rows(events.where(F.col("kind") == LEFT).join(more, "at", "left").where(F.col("n") > gone), LEFT, F.col("size"), F.col("first") + gone, F.col("n") - gone)
+    counter = opened.where(F.col("kind") == OPENED).select(*STATE)
+    stepped = materialize(placed.unionByName(shrunk).unionByName(kept).unionByName(left).unionByName(counter).coalesce(1), "state")
+    release(opened, events, parts)
+    return stepped
+
+
+def place_classes(lengths: DataFrame, capacity: int) -> DataFrame:
+    """size, first (rank among the pieces of that length), n, seq and offset: where all pieces of `lengths` (length,
+    n) go, n ranks from `first` on to n sequences from `seq` on."""
+    zero = F.lit(0)
+    start = _rows(lengths.sparkSession.range(1), OPENED, zero, zero, zero)
+    state = materialize(_rows(lengths.where("n > 0"), LEFT, F.col("length"), zero, F.col("n")).unionByName(start).coalesce(1), "state")
+    placed = state.where(F.col("kind") == PLACED)
+    while not state.where(F.col("kind") == LEFT).isEmpty():
+        state = _superstep(state, capacity)
+        placed = placed.unionByName(state.where(F.col("kind") == PLACED))
+    return placed.select("size", "first", "n", "seq", "offset")
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece, with its chunk and its rank by length there."""
     end = int(end_id).to_bytes(4, "little")
+    rows = docs.select("doc_id", "text")
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
 
     def run(batches):
         from pyspark import TaskContext
 
         chunk, ids, seen = TaskContext.get().partitionId(), word_ids(tokenizer_file), {}
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = []
-            for doc_id, packed in zip(doc_ids, ids.packed(texts), strict=True):
+            found, owner = [], []
+            for i, packed in enumerate(ids.packed(batch.column(1).to_pylist())):
                 packed += end
                 for start in range(0, len(packed), 4 * capacity):
                     part = packed[start : start + 4 * capacity]
                     n = len(part) // 4
                     rank = seen[n] = seen.get(n, -1) + 1
-                    rows.append((doc_id, start // (4 * capacity), start // 4, n, zlib.crc32(part), chunk, rank))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
+                    owner.append(i)
+                    found.append((start // (4 * capacity), start // 4, n, zlib.crc32(part), chunk, rank))
+            columns = list(zip(*found, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)],
+                [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "rank"],
             )
 
-    return text_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, rank long")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, chunk int, rank long")
 
 
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row for each piece with its sequence_id and its offset there."""
     cut = materialize(pieces(docs, tokenizer_file, capacity, end_id), "pieces")
-    by_chunk = cut.groupBy("chunk", "length").agg(F.count("*").alias("n"))
-    # `capacity` rows at most
-    counts = {r["length"]: r["n"] for r in by_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    placed = sweep(counts, capacity)
-    base, total = {}, 0
-    for length in sorted(counts):
-        base[length], total = total, total + counts[length]
-    order = sorted((base[length] + rank, first, offset) for length, rank, _, first, offset in placed)
-    starts, firsts, offsets = (np.array([x[i] for x in order], dtype=np.int64) for i in range(3))
-    bases = np.zeros(capacity + 1, dtype=np.int64)
-    for length, at in base.items():
-        bases[length] = at
+    by_chunk = materialize(cut.groupBy("chunk", "length").agg(F.count("*").alias("n")), "piece-counts")
+    placed = place_classes(by_chunk.groupBy("length").agg(F.sum("n").alias("n")), capacity)
+    # classes of placed ranks: their number depends on the lengths, not on the number of pieces
+    table = placed.orderBy("size", "first").toArrow()
+    sizes, starts, firsts, offsets = (table[c].to_numpy() for c in ("size", "first", "seq", "offset"))
+    stride = int((starts + table["n"].to_numpy()).max()) if len(starts) else 1
+    starts = sizes * stride + starts  # ranks of all lengths in one order
     before = F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    moved = by_chunk.select("chunk", "length", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = cut.join(moved, ["chunk", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+    moved = materialize(by_chunk.select("chunk", "length", F.coalesce(before, F.lit(0)).alias("before")), "ranks-before")
+    ranked = join_checked(cut, moved, ["chunk", "length"], "inner").select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
 
     def place(batches):
         for batch in batches:
             length, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
-            at = bases[length] + rank
+            at = length * stride + rank
             k = np.searchsorted(starts, at, side="right") - 1
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(5)), pa.array(firsts[k] + at - starts[k]), pa.array(offsets[k])],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    kind = cut.schema["doc_id"].dataType.simpleString()
+    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from sumi.llm import lz_fingerprint, mixing, secret_scan, sharding
+from pyspark.sql import functions as F
+
+from sumi.llm import base, lz_fingerprint, mixing, secret_scan, sharding
 
 from .conftest import make
 
@@ -61,6 +63,25 @@ def base_spans(text):
     return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16])
 
 
+def largest_entropy(t, width=20):
+    windows = [t[i : i + width] for i in range(len(t) - width + 1)]
+    return max((-sum(n / width * math.log2(n / width) for n in Counter(w).values()) for w in windows), default=0.0)
+
+
+def all_spans(text):
+    """Base spans and those of windows of high entropy, by plain loops."""
+    base, found = base_spans(text), []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        t = m[0]
+        if re.search(secret_scan.ALLOW, t) or any(a < m.end() and m.start() < b for a, _, b in base):
+            continue
+        upper, lower, digit = (any(f(c) for c in t) for f in (str.isupper, str.islower, str.isdigit))
+        kind = "hex" if set(t) <= set("0123456789abcdefABCDEF") else ("letters" if upper and lower else "one_case_letters") if not digit else "mixed" if upper and lower else "one_case"
+        if largest_entropy(t) >= secret_scan.LIMITS[kind]:
+            found.append((m.start(), 3, m.end()))
+    return sorted(base + found)
+
+
 def spelt(spans):
     return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -71,6 +92,9 @@ SECRETS = [
     'PASSWORD="short" passwd := nope-this-is-long-enough token=deadbeefdeadbeefdead',
     "key Xq7Zp2Lm9Vt4Rw8Ks1Nd6 here, and 123e4567-e89b-12d3-a456-426614174000, AKIAAKIA123",
     "abcdefghijklmnopqrstuvwxyz0123456789 aaaaaaaaaaaaaaaaaaaaaaa1 secret secret",
+    "QwErTyUiOpAsDfGhJkLzXcVbNmPlOkIjUh Zq8vX1example9Lm4Rt7Wp2Ks6Nd3Yb your-example-key-placeholder",
+    "well-known-hyphenated-compound-words Donaudampfschifffahrtsgesellschaft some/path/of/plain/words 0123456789/0123456789",
+    "7Fq2Zx" * 400 + " " + "".join(chr(97 + k * k % 26) for k in range(3000)) + " 9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B2B0B822CD15D6C15B0F00A08",
 ]
 
 
@@ -83,10 +107,11 @@ def test_secrets(spark, docs, odd, none):
             assert match, r.doc_id
             kinds = Counter(k for _, k, _ in base_spans(match[0]))
             assert (r.n_assign, r.n_access, r.n_hex) == (kinds[0], kinds[1], kinds[2])
-            assert set(filter(None, spelt(base_spans(match[0])).split(","))) <= set(r.spans.split(","))
+            assert r.spans == spelt(all_spans(match[0]))
     spans = {r.doc_id: r.spans for r in secret_scan.report(frame).collect()}
     assert "entropy:4:25" in spans[3] and spans[3].count("entropy") == 1
-    assert "entropy" not in spans[4]
+    assert "entropy" not in spans[4] and "entropy" not in spans[6]
+    assert spans[5] == "entropy:0:34,entropy:35:66"
     assert secret_scan.report(none).count() == 0
 
 
@@ -94,13 +119,8 @@ def test_window_entropy(spark):
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list("abcdefAB01"), n)) for n in (5, 19, 20, 21, 60, 200)]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
-
-    def largest(t):
-        windows = [t[i : i + 20] for i in range(len(t) - 19)]
-        return max((-sum(n / 20 * math.log2(n / 20) for n in Counter(w).values()) for w in windows), default=0.0)
-
     for t, r in zip(texts, frame.select(secret_scan.window_entropy(frame.t).alias("h")).collect(), strict=True):
-        assert r.h == pytest.approx(largest(t), abs=1e-9)
+        assert r.h == pytest.approx(largest_entropy(t), abs=1e-9)
 
 
 def test_redaction(spark, odd):
@@ -138,6 +158,58 @@ def test_mix(spark, odd, none):
     assert mixing.plan_mix(none).count() == 0
 
 
+def taken(frame, **how):
+    return sorted(Counter((r.doc_id if r.doc_id is not None else -1, r.size, r.taken) for r in mixing.plan_mix(frame, **how).collect()).items())
+
+
+def test_mix_does_not_depend_on_layout(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if k % 3 else k // 9, f"w{k % 50} " * int(rng.integers(1, 40)), f"s{k % 4}") for k in range(800)]
+    frame = make(spark, rows)
+    assert taken(frame) == taken(frame.repartition(7)) == taken(frame.orderBy("text").coalesce(2))
+
+
+def test_rows_without_ids_are_drawn_at_random(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None, " ".join(f"w{rng.integers(0, 9999)}" for _ in range(int(rng.integers(1, 61)))), "s") for _ in range(400)]
+    rows += [(k, "x " * 40, "t") for k in range(400)]
+    got = mixing.plan_mix(make(spark, rows), weights=(1, 3), share=1.0).toPandas()
+    got = got[got.doc_id.isna()]
+    some = got[got.taken > 0]
+    assert 0 < len(some) < len(got) and some["size"].min() < got[got.taken == 0]["size"].max()
+    assert abs(some.taken.sum() - got.target.iloc[0]) <= 30
+
+
+def test_inclusion_odds(spark):
+    """Expected words are those left to take; longer documents are likelier; the largest ones are certain."""
+    sizes = [*range(1, 41)] * 5 + [5000]
+    frame = make(spark, [(k, "w " * n, "s") for k, n in enumerate(sizes)])
+    sized = frame.select(mixing._key().alias("key"), mixing.words(frame.text).alias("size"))
+    rest = 0.95 * sum(sizes)
+    c = mixing.inclusion(sized, spark.createDataFrame([("=s", rest)], "key string, rest double")).first().c
+    p = np.minimum(1.0, c * np.sqrt(np.array(sizes)))
+    assert (p * np.array(sizes)).sum() == pytest.approx(rest) and p[-1] == 1.0 and p[0] < 0.9
+    small = mixing.inclusion(sized, spark.createDataFrame([("=s", 100.0)], "key string, rest double")).first().c
+    assert (small * np.sqrt(np.array(sizes)) * np.array(sizes)).sum() == pytest.approx(100.0)
+
+
+def test_mixed_rows_follow_the_plan(spark, monkeypatch):
+    rows = [(None if k % 5 == 0 else k % 90, f"w{k % 40} " * (1 + k % 30), None if k % 7 == 0 else f"s{k % 3}") for k in range(300)] + [(7, "same row", "s1")] * 40 + [(1, None, "s1")]
+    frame = make(spark, rows).withColumn("order", F.lit(1)).withColumn("size", F.lit("x"))
+    plan = Counter()
+    for r in mixing.plan_mix(frame).collect():
+        plan[(r.doc_id, r.size)] += r.taken
+    for limit in (None, 1):
+        if limit:
+            monkeypatch.setattr(base, "BROADCAST_ROWS", limit)
+        got = mixing.mix(frame)
+        assert got.columns == frame.columns
+        seen = Counter()
+        for r in got.collect():
+            seen[(r.doc_id, len(r.text.split()))] += len(r.text.split())
+        assert seen == Counter({k: v for k, v in plan.items() if v})
+
+
 def test_mix_of_equal_rows(spark):
     rows = [(1, "a b c", "s")] * 50 + [(2, "d " * 100, "t")] * 3
     got = mixing.plan_mix(make(spark, rows), weights=(1, 1), share=1.0).toPandas()
@@ -162,3 +234,16 @@ def test_shards(docs, odd, none, limit):
                 parent = got[got.shard.str.startswith(shard[:-1])]
                 assert parent.n_bytes.sum() > limit and len(parent) > 1
     assert sharding.shards(none).count() == 0
+
+
+def test_written_shards(spark, odd, none, docs, tmp_path):
+    for k, frame in enumerate((odd, docs, none)):
+        path = str(tmp_path / str(k))
+        directory = {r.shard: (r.n_rows, r.shard_bytes) for r in sharding.write_shards(frame, path, 9_000).collect()}
+        if k == 2:
+            assert not directory
+            continue
+        back = spark.read.parquet(path)
+        assert back.drop("shard").select(*frame.columns).exceptAll(frame).count() == 0 and back.count() == frame.count()
+        sizes = back.groupBy(F.col("shard").cast("string")).agg(F.count("*"), F.sum(F.octet_length(F.coalesce("text", F.lit(""))))).collect()
+        assert {r[0]: (r[1], r[2]) for r in sizes} == directory

@@ -1,7 +1,8 @@
 """Token counts and packing against the libraries."""
 
+import bisect
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from sumi.llm.packing import WordIds, pack, sweep
+from sumi.llm.packing import WordIds, pack, place_classes
 from sumi.llm.token_counts import UnitCounter, count_tokens
 
 MODEL, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -64,24 +65,61 @@ def test_pack_is_whole(odd, docs, capacity):
                 assert offset == at
                 at += length
             assert at <= capacity
-        total = sum(r.length for r in rows)
-        assert len(places) <= 1.25 * total / capacity + 2
+        assert len(places) <= 1.01 * best_fit(Counter(r.length for r in rows), capacity)
 
 
 def test_pack_of_nothing(none):
     assert pack(none, WORDS).count() == 0
 
 
-def test_sweep_places_every_rank_once():
-    rng = np.random.default_rng(1)
-    counts = {int(n): int(rng.integers(0, 40)) for n in rng.integers(1, 101, 60)}
-    placed = sweep(counts, 100)
-    for length, n in counts.items():
-        ranks = sorted((r, k) for size, r, k, _, _ in placed if size == length)
-        assert sum(k for _, k in ranks) == n
+def best_fit(counts, capacity):
+    """The number of sequences by sequential best fit, piece by piece, long to short."""
+    gaps, opened = [], 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            at = bisect.bisect_left(gaps, length)
+            gap = gaps.pop(at) if at < len(gaps) else capacity
+            opened += gap == capacity
+            if gap > length:
+                bisect.insort(gaps, gap - length)
+    return opened
+
+
+def lengths_of(kind, rng):
+    return {
+        "any": lambda: rng.integers(1, 257, 3000),
+        "long": lambda: rng.integers(100, 257, 900),
+        "middle": lambda: rng.integers(50, 140, 1500),
+        "short": lambda: rng.integers(1, 30, 4000),
+        "skewed": lambda: np.minimum(256, rng.lognormal(3.5, 1.2, 4000).astype(int) + 1),
+        "one": lambda: np.full(700, 87),
+        "few": lambda: rng.integers(1, 257, 7),
+    }[kind]()
+
+
+@pytest.mark.parametrize("kind", ["any", "long", "middle", "short", "skewed", "one", "few"])
+def test_supersteps_pack_like_sequential_best_fit(spark, kind):
+    """Every rank has one place, nothing overlaps or leaves a hole, and hardly a sequence more is opened."""
+    counts = Counter(lengths_of(kind, np.random.default_rng(1)).tolist())
+    frame = spark.createDataFrame(sorted(counts.items()), "length long, n long")
+    rows = place_classes(frame, 256).collect()
+    ranks, places = defaultdict(list), defaultdict(list)
+    for r in rows:
+        for k in range(r.n):
+            ranks[r.size].append(r.first + k)
+            places[r.seq + k].append((r.offset, r.size))
+    assert {size: sorted(found) for size, found in ranks.items()} == {size: list(range(n)) for size, n in counts.items()}
+    for found in places.values():
         at = 0
-        for r, k in ranks:
-            assert r == at
-            at += k
-    opened = max((f + k for _, _, k, f, _ in placed), default=0)
-    assert opened <= 1.1 * sum(n * k for n, k in counts.items()) / 100 + 2
+        for offset, size in sorted(found):
+            assert offset == at
+            at += size
+        assert at <= 256
+    assert len(places) <= 1.01 * best_fit(counts, 256) + 1
+    if kind in ("any", "long", "short", "one", "few"):
+        assert len(places) <= best_fit(counts, 256)
+
+
+def test_ids_of_any_kind(spark):
+    frame = spark.createDataFrame([("a", "some words"), (None, None), ("b", "x " * 3000)], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.piece) for r in pack(frame, WORDS).collect()) == [("", 0), ("a", 0), ("b", 0), ("b", 1)]
