@@ -15,39 +15,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumi.llm import minhash, mixing, packing, secret_scan, toxicity
-from sumi.llm.base import join_checked, materialize, row_key, times
+from sumi.llm.base import materialize, times
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = materialize(scored.where("predicted = 1").select("row_key").distinct(), "rejected")
-    kept = join_checked(docs.withColumn("row_key", row_key(docs)), rejected, "row_key", "left_anti")
-    return kept.select(*COLUMNS)
+    """Rows whose score is below the limit of rejection, with all their columns; repeated rows share their fate. Rows
+    carry their columns through the scoring pass, so nothing is joined or moved. No rows give no rows."""
+    scored = toxicity.score(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=COLUMNS)
+    return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies, the one of the smallest id (a null id is last); of repeated rows one stays."""
     docs = docs.select(*COLUMNS)
-    grouped = minhash.near_duplicates(docs)
-    return times(docs, grouped.select("row_key", F.col("kept").cast("int").alias("copies"))).select(*COLUMNS)
+    grouped = materialize(minhash.near_duplicates(docs), "near-duplicates")
+    gone = grouped.where(~F.col("kept")).select("row_key").distinct()
+    plan = grouped.join(gone, "row_key", "left_semi").select("row_key", F.col("kept").cast("int").alias("copies"))
+    return times(docs, plan).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows; every secret span of a text is masked and n_chars follows; null and empty texts stay as they are."""
     masked = secret_scan.redact(docs.select(*COLUMNS))
     return masked.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    keyed = docs.withColumn("row_key", row_key(docs))
-    plan = mixing.plan_mix(keyed, keep=("row_key",))
-    copies = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0).alias("copies")
-    return times(docs, plan.select("row_key", copies)).select(*COLUMNS)
+    """Each row as often as the mix takes it; rows without words are never taken; repeated rows are drawn each on
+    their own."""
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows with their places in sequences; a null or empty text is one piece that holds the end id."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -61,7 +63,7 @@ STAGES = [
     ("pack", pack_sequences),
 ]
 
-#: Learned scores, sampling hashes and tokenizers are beyond SQL; tests hold the stages against brute force.
+#: Learned scores, sampling hashes and tokenizers are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
