@@ -9,7 +9,11 @@ threshold follows from the number of vectors.
 Equal vectors are one class from the start, counted, never paired. A pair that an earlier pass compared is known
 from the block numbers its rows carry, so each pair is counted once without a list of pairs: tasks send the sums of
 links of each vector and a spanning forest of what they linked. Where links span a whole window (a group larger than
-a block), the blocks of that run are compared with each other in tasks of two blocks, so no window hides a link.
+a block), the blocks of that run are compared with each other in tasks of two blocks, so no window hides a link; rows
+that shared a run in an earlier pass are not multiplied again.
+
+A row that is moved holds its vector as it came (4 bytes a component of floats), its block in each pass (4 bytes) and
+its place; numbers of runs are carried by the rows in runs only.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; shorter
 vectors are filled up with zeros; repeated rows are equal vectors; an empty table gives no rows; a null id is kept.
@@ -29,7 +33,7 @@ from .graph import components
 
 COSINE = 0.95
 BLOCK = 1024
-BLOCKS_IN_TASK = 4
+BLOCKS_IN_TASK = 16
 MISS = 1e-4
 SEED = 3
 FOUND = "uid long, n long, other long, pass int, block long"
@@ -96,16 +100,17 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Rows:
-    """The rows of one task as arrays."""
+    """The rows of one task as arrays; `runs` only where the rows carry them."""
 
-    def __init__(self, table: pa.Table, dims: int, passes: int):
+    def __init__(self, table: pa.Table, dims: int, passes: int, block: int):
         table = table.combine_chunks()
         get = lambda name: table[name].combine_chunks() if isinstance(table[name], pa.ChunkedArray) else table[name]
-        self.uid, self.block, self.place, self.kind = (get(c).to_numpy() for c in ("uid", "block", "place", "pass"))
-        self.copies = get("copies").to_numpy()
+        self.uid, self.place, self.kind, self.copies = (get(c).to_numpy() for c in ("uid", "place", "pass", "copies"))
+        self.block = self.place // block
         self.x = _matrix(get("embedding"), dims)
         self.blocks = get("blocks").flatten().to_numpy().reshape(-1, passes)
-        self.runs = get("runs").flatten().to_numpy().reshape(-1, passes)
+        if "runs" in table.column_names:
+            self.runs = get("runs").flatten().to_numpy().reshape(-1, passes)
 
 
 def _result(rows: _Rows, pairs: list[tuple[np.ndarray, np.ndarray]], flags: set[tuple[int, int]]) -> pa.Table:
@@ -129,11 +134,12 @@ def _result(rows: _Rows, pairs: list[tuple[np.ndarray, np.ndarray]], flags: set[
 
 def _windows(items: DataFrame, dims: int, passes: int, cosine: float, block: int, together: int) -> DataFrame:
     """Compare each block with itself and the next; several blocks in a task."""
-    own = F.floor(F.col("block") / together)
-    tasks = F.when((F.col("block") % together == 0) & (F.col("block") > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    at = F.floor(F.col("place") / block)
+    own = F.floor(at / together)
+    tasks = F.when((at % together == 0) & (at > 0), F.array(own, own - 1)).otherwise(F.array(own))
 
     def run(table: pa.Table) -> pa.Table:
-        rows, pairs, flags = _Rows(table, dims, passes), [], set()
+        rows, pairs, flags = _Rows(table, dims, passes, block), [], set()
         task = table["task"][0].as_py()
         for k in range(task * together, (task + 1) * together):
             here, there = np.flatnonzero(rows.block == k), np.flatnonzero((rows.block == k) | (rows.block == k + 1))
@@ -153,32 +159,36 @@ def _windows(items: DataFrame, dims: int, passes: int, cosine: float, block: int
     return items.withColumn("task", F.explode(tasks)).groupBy("task").applyInArrow(run, FOUND)
 
 
-def _runs(items: DataFrame, runs: DataFrame, dims: int, passes: int, cosine: float) -> DataFrame:
+def _runs(items: DataFrame, runs: DataFrame, dims: int, passes: int, cosine: float, block: int) -> DataFrame:
     """Compare the blocks of a run that are not neighbours; two blocks in a task."""
-    mine = items.join(runs, (items["pass"] == runs["run_pass"]) & items["block"].between(runs["low"], runs["high"]))
+    at = F.floor(F.col("place") / block)
+    mine = items.withColumn("block", at).join(F.broadcast(runs) if runs.count() <= 10_000 else runs, (F.col("pass") == F.col("run_pass")) & F.col("block").between(F.col("low"), F.col("high")))
     others = F.sequence(F.col("low"), F.col("high"))
     other = mine.withColumn("other", F.explode(others)).where(F.abs(F.col("other") - F.col("block")) >= 2)
     tasks = other.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
 
     def run(table: pa.Table) -> pa.Table:
-        rows = _Rows(table, dims, passes)
-        left, right = table["left"][0].as_py(), table["right"][0].as_py()
+        rows = _Rows(table, dims, passes, block)
+        left, right, k = table["left"][0].as_py(), table["right"][0].as_py(), table["pass"][0].as_py()
         here, there = np.flatnonzero(rows.block == left), np.flatnonzero(rows.block == right)
+        one, other = rows.runs[here, :k], rows.runs[there, :k]
+        # a run that all of one block shared with rows of the other in an earlier pass
+        common = np.flatnonzero((one == one[0]).all(axis=0) & (one[0] >= 0)) if len(here) else []
+        there = there[~(other[:, common] == one[0][common]).any(axis=1)] if len(common) else there
         i, j = np.nonzero(rows.x[here] @ rows.x[there].T >= cosine)
         a, b = here[i], there[j]
-        windowed = (np.abs(rows.blocks[a] - rows.blocks[b]) <= 1).any(axis=1)
-        same = (rows.runs[a] == rows.runs[b]) & (rows.runs[a] >= 0)
-        earlier = (same & (np.arange(passes)[None, :] < rows.kind[a][:, None])).any(axis=1)
-        ok = ~windowed & ~earlier
+        same = ((rows.runs[a, :k] == rows.runs[b, :k]) & (rows.runs[a, :k] >= 0)).any(axis=1)
+        ok = ~same & ~(np.abs(rows.blocks[a] - rows.blocks[b]) <= 1).any(axis=1)
         return _result(rows, [(a[ok], b[ok])], set())
 
-    return tasks.drop("low", "high", "run_pass", "run", "other").groupBy("pass", "left", "right").applyInArrow(run, FOUND)
+    return tasks.drop("low", "high", "run_pass", "run", "other", "block").groupBy("pass", "left", "right").applyInArrow(run, FOUND)
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, miss: float = MISS, seed: int = SEED) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    base = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
+    base = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long"), (F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")).alias("embedding"))
     base = base.withColumn("embedding", F.when(F.coalesce(sound, F.lit(False)), F.col("embedding")))
     base = base.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
     base = materialize(base, "vectors")
@@ -190,10 +200,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     passes = n_passes(n, cosine, block, miss)
     placed = materialize(_places(_keys(classes, dims, passes, seed), block).withColumn("block", F.floor(F.col("place") / block)), "placed")
-    blocks = placed.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pass", "block", "place"))).alias("at"))
-    none = F.array_repeat(F.lit(-1).cast("long"), passes)
-    carried = classes.select("uid", "embedding", "copies").join(blocks, "uid").withColumns({"blocks": F.transform("at", lambda s: s["block"]), "runs": none})
-    items = carried.select("uid", "embedding", "copies", "blocks", "runs", F.explode("at").alias("s")).select("uid", "embedding", "copies", "blocks", "runs", F.col("s.pass").alias("pass"), F.col("s.block").alias("block"), F.col("s.place").alias("place"))
+    number = F.col("block") - F.col("pass") * F.lit(n // block)  # small numbers that tell neighbours of one pass
+    seats = placed.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pass", "place", number.cast("int").alias("block")))).alias("at"))
+    carried = classes.select("uid", "embedding", "copies").join(seats, "uid").withColumn("blocks", F.transform("at", lambda s: s["block"]))
+    items = carried.select("uid", "embedding", "copies", "blocks", F.explode("at").alias("s")).select("uid", "embedding", "copies", "blocks", F.col("s.pass").alias("pass"), F.col("s.place").alias("place"))
     found = materialize(_windows(items, dims, passes, cosine, block, BLOCKS_IN_TASK), "windows")
     flags = found.where("pass is not null").select("pass", "block").distinct()
     runs = flags.withColumn("run", F.col("block") - F.row_number().over(Window.partitionBy("pass").orderBy("block")))
@@ -203,7 +213,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
         of_pass = placed.join(runs, (placed["pass"] == runs["run_pass"]) & placed["block"].between(runs["low"], runs["high"]), "left")
         by_uid = of_pass.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pass", F.coalesce("run", F.lit(-1)).alias("run")))).alias("r"))
         by_uid = by_uid.select("uid", F.transform("r", lambda s: s["run"]).alias("runs"))
-        far = _runs(items.drop("runs").join(by_uid, "uid"), runs, dims, passes, cosine)
+        far = _runs(items.join(by_uid, "uid"), runs, dims, passes, cosine, block)
         found = found.unionByName(materialize(far, "far"))
     links = found.where("n is not null").groupBy("uid").agg(F.sum("n").alias("n"))
     roots = components(found.where("other is not null").select(F.col("uid").alias("a"), F.col("other").alias("b")))
