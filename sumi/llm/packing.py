@@ -31,6 +31,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +39,15 @@ from .base import join_checked, materialize, release
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 150_000
+CACHE_WORDS = 200_000
 #: The split that the tokenizer makes, for characters that `WordIds` has proven to class alike in Python.
 PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
+#: What splits words, of one byte each.
+BLANKS = " \t\n\v\f\r"
+
+
 class WordIds:
     """Ids of whole texts as packed little-endian 32-bit numbers. Nothing is merged across blanks, so ids are kept
     by word, and a new word's by pre-token; the library's merges run on what is new, once while it stays cached."""
@@ -52,9 +57,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(tokenizer_file)
-        self.safe = {c for c in map(chr, range(0x180)) if self._alike(c)}
+        self.safe = {c for c in map(chr, range(0x180)) if self._alike(c) and (not c.isspace() or c in BLANKS)}
         self.unlike = bytes(i for i in range(256) if chr(i) not in self.safe)
-        self.words = Words(Parts(self.lib))
+        mapped = {ord(c): self.lib.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in self.safe if not c.isascii()}
+        self.words = Words(Parts(self.lib, mapped))
 
     def _alike(self, c: str) -> bool:
         """Python lowers, normalises and splits this character as the library does."""
@@ -78,25 +84,34 @@ class WordIds:
             return self.safe.issuperset(text)
         return len(raw.translate(None, self.unlike)) == len(raw)
 
-    def packed(self, texts: list[str | None]) -> list[bytes]:
-        get = self.words.__getitem__
-        return [
-            b"".join(map(get, text.split())) if self._plain(text) else np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            for text in ((t or "") for t in texts)
-        ]
+    def packed(self, texts: pa.Array) -> list[bytes]:
+        """The words of all plain texts are made one dictionary, whose words are looked up once each."""
+        whole = texts.to_pylist()
+        plain = [self._plain(t or "") for t in whole]
+        split = pc.ascii_split_whitespace(texts.filter(pa.array(plain, pa.bool_())).fill_null(""))
+        words = split.flatten().dictionary_encode()
+        found = list(map(self.words.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)))
+        code, size = words.indices.to_numpy(), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        length = size[code]
+        till = np.concatenate([[0], np.cumsum(length)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(first[code] - till[:-1], length) + np.arange(till[-1])]
+        ends = till[split.offsets.to_numpy()]
+        parts = iter(ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True))
+        return [next(parts) if ok else np.asarray(self.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ok in zip(whole, plain, strict=True)]
 
 
 class Parts(dict):
     """Lower-case pre-tokens to packed ids, by the library's merges; restarts when full."""
 
-    def __init__(self, lib):
+    def __init__(self, lib, mapped: dict[int, str]):
         super().__init__()
-        self.merge, self.mapped = lib.model.tokenize, lib.pre_tokenizer.pre_tokenize_str
+        self.merge, self.mapped = lib.model.tokenize, mapped  # how the library spells the bytes of other characters
 
     def __missing__(self, part: str) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
-        tokens = self.merge(part if part.isascii() else self.mapped(part)[0][0])
+        tokens = self.merge(part if part.isascii() else part.translate(self.mapped))
         out = self[part] = array("I", [t.id for t in tokens]).tobytes()
         return out
 
@@ -145,14 +160,16 @@ def _opened(state: DataFrame, capacity: int) -> DataFrame:
     whole, down = Window.partitionBy(), Window.orderBy(F.col("size").desc())
     left = F.col("kind") == LEFT
     seen = state.withColumn("top_gap", F.coalesce(F.max(F.when(F.col("kind") == GAP, F.col("size"))).over(whole), F.lit(0)))
-    big = seen.where(left & (F.col("size") > F.col("top_gap"))).withColumn("fit", F.floor(F.lit(capacity) / F.col("size")))
-    big = big.withColumns({"least": F.ceil(F.sum("n").over(down) / F.col("fit")), "longest": F.col("fit") == F.min("fit").over(whole)})
-    asked = big.agg(
-        F.greatest(F.max("least"), F.ceil(F.sum(F.col("size") * F.col("n")) / capacity)).alias("by_bounds"),
-        F.ceil(F.sum(F.when(F.col("longest"), F.col("n"))) / F.min("fit")).alias("by_class"),
+    # of the pieces above the largest gap: their number, and how many of each fit one sequence
+    big = F.when(left & (F.col("size") > F.col("top_gap")), F.col("n"))
+    seen = seen.withColumns({"big": big, "fit": F.when(big.isNotNull(), F.floor(F.lit(capacity) / F.col("size")))})
+    seen = seen.withColumns({"least": F.ceil(F.sum("big").over(down) / F.col("fit")), "longest": F.col("fit") == F.min("fit").over(whole)})
+    both = seen.agg(
+        F.greatest(F.max("least"), F.ceil(F.sum(F.col("size") * F.col("big")) / capacity)).alias("by_bounds"),
+        F.ceil(F.sum(F.when(F.col("longest"), F.col("big"))) / F.min("fit")).alias("by_class"),
+        F.min(F.when(left, F.col("size"))).alias("smallest"),
+        F.max(F.when(F.col("kind") == OPENED, F.col("first"))).alias("so_far"),
     )
-    now = state.agg(F.min(F.when(left, F.col("size"))).alias("smallest"), F.max(F.when(F.col("kind") == OPENED, F.col("first"))).alias("so_far"))
-    both = asked.withColumn("one", F.lit(1)).join(now.withColumn("one", F.lit(1)), "one")
     more = F.when(F.floor(F.lit(capacity) / F.col("smallest")) <= FEW, F.col("by_class")).otherwise(F.col("by_bounds"))
     both = both.withColumn("more", F.coalesce(more, F.lit(0)))
     gap = _rows(both.where("more > 0"), GAP, F.lit(capacity), F.col("so_far"), F.col("more"))
@@ -205,7 +222,7 @@ def _again(events: DataFrame) -> DataFrame:
 
 def _superstep(state: DataFrame, capacity: int) -> DataFrame:
     """The state after one sweep, and the rows that it placed. One file is one partition, so nothing is shuffled."""
-    opened = materialize(_opened(state.where(F.col("kind") < PLACED).coalesce(1), capacity), "opened").coalesce(1)
+    opened = _opened(state.where(F.col("kind") < PLACED).coalesce(1), capacity)
     events = materialize(_brackets(opened), "events").coalesce(1)
     parts = materialize(_again(events), "matches").coalesce(1)
     layers = parts.withColumn("layer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("again"))))
@@ -221,7 +238,7 @@ def _superstep(state: DataFrame, capacity: int) -> DataFrame:
     left = _rows(events.where(F.col("kind") == LEFT).join(more, "at", "left").where(F.col("n") > gone), LEFT, F.col("size"), F.col("first") + gone, F.col("n") - gone)
     counter = opened.where(F.col("kind") == OPENED).select(*STATE)
     stepped = materialize(placed.unionByName(shrunk).unionByName(kept).unionByName(left).unionByName(counter).coalesce(1), "state")
-    release(opened, events, parts)
+    release(events, parts)
     return stepped
 
 
@@ -231,11 +248,12 @@ def place_classes(lengths: DataFrame, capacity: int) -> DataFrame:
     zero = F.lit(0)
     start = _rows(lengths.sparkSession.range(1), OPENED, zero, zero, zero)
     state = materialize(_rows(lengths.where("n > 0"), LEFT, F.col("length"), zero, F.col("n")).unionByName(start).coalesce(1), "state")
-    placed = state.where(F.col("kind") == PLACED)
+    steps = [state._sumi_path]
     while not state.where(F.col("kind") == LEFT).isEmpty():
         state = _superstep(state, capacity)
-        placed = placed.unionByName(state.where(F.col("kind") == PLACED))
-    return placed.select("size", "first", "n", "seq", "offset")
+        steps.append(state._sumi_path)
+    every = state.sparkSession.read.schema(state.schema).parquet(*steps)
+    return every.where(F.col("kind") == PLACED).select("size", "first", "n", "seq", "offset")
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -250,7 +268,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
         chunk, ids, seen = TaskContext.get().partitionId(), word_ids(tokenizer_file), {}
         for batch in batches:
             found, owner = [], []
-            for i, packed in enumerate(ids.packed(batch.column(1).to_pylist())):
+            for i, packed in enumerate(ids.packed(batch.column(1))):
                 packed += end
                 for start in range(0, len(packed), 4 * capacity):
                     part = packed[start : start + 4 * capacity]
@@ -271,7 +289,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row for each piece with its sequence_id and its offset there."""
     cut = materialize(pieces(docs, tokenizer_file, capacity, end_id), "pieces")
-    by_chunk = materialize(cut.groupBy("chunk", "length").agg(F.count("*").alias("n")), "piece-counts")
+    by_chunk = materialize(cut.groupBy("chunk", "length").agg(F.count("*").alias("n")), "piece-counts", narrow=True)
     placed = place_classes(by_chunk.groupBy("length").agg(F.sum("n").alias("n")), capacity)
     # classes of placed ranks: their number depends on the lengths, not on the number of pieces
     table = placed.orderBy("size", "first").toArrow()
@@ -279,7 +297,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
     stride = int((starts + table["n"].to_numpy()).max()) if len(starts) else 1
     starts = sizes * stride + starts  # ranks of all lengths in one order
     before = F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    moved = materialize(by_chunk.select("chunk", "length", F.coalesce(before, F.lit(0)).alias("before")), "ranks-before")
+    moved = materialize(by_chunk.select("chunk", "length", F.coalesce(before, F.lit(0)).alias("before")), "ranks-before", narrow=True)
     ranked = join_checked(cut, moved, ["chunk", "length"], "inner").select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
 
     def place(batches):

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -40,7 +41,9 @@ def test_word_ids_of_hard_texts():
     lib, ids = Tokenizer.from_file(WORDS), WordIds(WORDS)
     for text in HARD:
         want = np.asarray(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        assert ids.packed([text])[0] == want, text
+        assert ids.packed(pa.array([text]))[0] == want, text
+    assert ids.packed(pa.array(HARD)) == [ids.packed(pa.array([t]))[0] for t in HARD]
+    assert ids.packed(pa.array([None, ""], pa.string())) == [b"", b""] and ids.packed(pa.array([], pa.string())) == []
 
 
 @pytest.mark.parametrize("capacity", [2048, 64])
