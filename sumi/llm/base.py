@@ -50,12 +50,15 @@ def text_batches(spark: SparkSession):
             spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage ends there and lost executors lose nothing.
+
+    Tables of a few numbers a row (`narrow`) are written as two files for each core of the cluster at most: on some
+    file systems a file costs an executor more than the rows in it."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     with text_batches(spark):
-        df.write.parquet(path)
+        (df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sumi_path = path
     return out

@@ -16,13 +16,13 @@ def components(edges: DataFrame) -> DataFrame:
     superstep is written to the shared folder, which ends lineage. No edges give no rows.
     """
     both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.distinct(), "links")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    both = materialize(both.distinct(), "links", narrow=True)
+    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels", narrow=True)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        stepped = materialize(lower.join(up, "root").select("node", "was", F.least("root", "above").alias("root")), "labels")
+        stepped = materialize(lower.join(up, "root").select("node", "was", F.least("root", "above").alias("root")), "labels", narrow=True)
         moved = stepped.where("root <> was").limit(1).count()
         release(labels)
         labels = stepped

@@ -60,6 +60,7 @@ WORD = re.compile(r"\w+")
 CACHE_WORDS = 200_000
 CHUNK = 1024  # shingles that are drawn for at once
 BLOCK = 512  # members of a bucket in a block
+BLOCK_SHINGLES = 1 << 19  # and shingles of theirs; a longer document is a block of its own
 COLUMNS = 4096
 
 
@@ -251,40 +252,42 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 
 def _unresolved(members: DataFrame, checked: DataFrame, far: float) -> DataFrame:
     """(bucket, uid) that the star around each bucket's leader leaves open: members that are not similar to it, and
-    similar ones that may yet link with those by the triangle inequality. `members` has bucket, uid and leader."""
+    similar ones that may yet link with those by the triangle inequality. `members` has bucket, uid, size and leader."""
     at = members.where("uid <> leader").join(checked, ["leader", "uid"])
-    nearest = materialize(at.where(F.col("d") > far).groupBy("bucket").agg(F.min("d").alias("nearest")), "nearest")
-    return join_checked(at, nearest, "bucket", "inner").where((F.col("d") > far) | (F.col("d") >= F.col("nearest") - far)).select("bucket", "uid")
+    nearest = at.where(F.col("d") > far).groupBy("bucket").agg(F.min("d").alias("nearest"))
+    return join_checked(at, nearest, "bucket", "inner").where((F.col("d") > far) | (F.col("d") >= F.col("nearest") - far)).select("bucket", "uid", "size")
 
 
 def _grouped(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(bucket, uid) in buckets whose members have several components yet."""
     rooted = members.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    return join_checked(rooted, materialize(several, "several"), "bucket", "inner").select("bucket", "uid")
+    return join_checked(rooted, several, "bucket", "inner").select("bucket", "uid", "size")
 
 
 def links(nodes: DataFrame, shingles: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(node, root): the components of all verified links; `nodes` has uid and keys, `shingles` uid and shingles."""
+    """(node, root): the components of all verified links; `nodes` has uid, size (its shingles) and keys, `shingles` uid and shingles."""
     far = 1.0 - least
-    exploded = nodes.select("uid", F.posexplode("keys").alias("band", "key"))
+    exploded = nodes.select("uid", "size", F.posexplode("keys").alias("band", "key"))
     buckets = exploded.groupBy("band", "key").agg(F.min("uid").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = materialize(exploded.join(buckets.select("band", "key", "leader"), ["band", "key"]), "members")
     candidates = materialize(join_checked(shingles, members.select("uid").distinct(), "uid", "inner"), "candidates")
     checked = materialize(verified(members.where("uid <> leader").select("leader", "uid").distinct(), candidates), "verified")
     near = lambda found: found.where(F.col("d") <= far).select(F.col("leader").alias("a"), F.col("uid").alias("b"))
     roots = components(near(checked))
-    open_ = materialize(_unresolved(members.select(F.struct("band", "key").alias("bucket"), "uid", "leader"), checked, far), "open")
-    open_ = materialize(_grouped(open_, roots), "open-groups")
+    open_ = materialize(_unresolved(members.select(F.struct("band", "key").alias("bucket"), "uid", "size", "leader"), checked, far), "open", narrow=True)
+    open_ = materialize(_grouped(open_, roots), "open-groups", narrow=True)
     return _merged(roots, _within(open_, candidates, least))
 
 
 def _within(open_: DataFrame, shingles: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): a spanning forest of the links between the members of each bucket. Buckets are cut into blocks, and a
-    task gets two blocks at most, so its size is bounded; it sends no more rows than it has members."""
-    buckets = open_.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
+    """(a, b): a spanning forest of the links between the members of each bucket. Buckets are cut into blocks, by
+    members and by their shingles, and a task gets two blocks at most, so its size is bounded; it sends no more rows
+    than it has members."""
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+    buckets = open_.groupBy("bucket").agg(blocks.cast("int").alias("n_blocks"))
     mine = F.pmod(F.xxhash64("uid"), F.col("n_blocks")).cast("int")
-    dealt = join_checked(open_, materialize(buckets, "open-sizes"), "bucket", "inner").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    dealt = join_checked(open_, buckets, "bucket", "inner").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     tasks = dealt.select("uid", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"))
 
     def run(table: pa.Table) -> pa.Table:
@@ -332,10 +335,10 @@ def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """The components after more links: those of the links' components are found, then every node follows its own."""
     root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     both = edges.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    joined = components(materialize(both.distinct(), "root-links"))
+    joined = components(materialize(both.distinct(), "root-links", narrow=True))
     moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     new = joined.join(roots.select("node"), "node", "left_anti").select("node", "root")
-    return materialize(moved.unionByName(new), "roots")
+    return materialize(moved.unionByName(new), "roots", narrow=True)
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, samples: int = ROWS) -> DataFrame:
@@ -346,7 +349,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     groups = materialize(rows.groupBy("node").agg(F.min("uid").alias("uid"), first.alias("first"), F.count("*").alias("n")), "nodes")
     whole = rows.where(F.size("keys") > 0)
     alone = groups.select("uid")
-    roots = links(join_checked(whole.select("uid", "keys"), alone, "uid", "inner"), whole.select("uid", "shingles"), least)
+    roots = links(join_checked(whole.select("uid", (F.length("shingles") / 4).cast("long").alias("size"), "keys"), alone, "uid", "inner"), whole.select("uid", "shingles"), least)
     classed = groups.join(roots, groups["uid"] == roots["node"], "left").select(groups["node"].alias("words"), F.coalesce("root", "uid").alias("root"), "first", "n")
     classes = classed.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
     by_node = classed.select("words", "root").join(classes, "root").select(F.col("words").alias("node"), "first", "class_size")

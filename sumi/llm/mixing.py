@@ -96,7 +96,7 @@ def _numbered(sized: DataFrame) -> DataFrame:
     sized = sized.withColumn("part", F.shiftright("row", 33))
     counts = sized.groupBy("content", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("content").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    before = materialize(counts.withColumn("before", before).where("before > 0").select("content", "part", "before"), "numbers-before")
+    before = materialize(counts.withColumn("before", before).where("before > 0").select("content", "part", "before"), "numbers-before", narrow=True)
     here = sized.withColumn("here", F.row_number().over(Window.partitionBy("content", "part").orderBy("row")))
     return join_checked(here, before, ["content", "part"]).withColumn("number", F.col("here") + F.coalesce("before", F.lit(0))).drop("part", "here", "before")
 
@@ -130,7 +130,7 @@ def _sampled(sized: DataFrame, sources: DataFrame, tilt: float, bins: int) -> tu
     to = F.col("before") + F.sum("size").over(Window.partitionBy("key").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0))
     fits = at_cut.withColumn("to", to).where(F.col("to") <= F.col("rest")).groupBy("key").agg(F.max(place).alias("last_at_cut"), F.max("to").alias("to"))
     ends = cuts.join(fits, "key", "left").select("key", "cut", "last_at_cut", F.coalesce("to", "before").alias("words"))
-    ends = materialize(ends, "cuts")
+    ends = materialize(ends, "cuts", narrow=True)
     left = join_checked(live, ends, "key", "inner").withColumn("gap", F.col("rest") - F.col("words")).where(~_sampled_row(F.col, place))
     off = F.abs(F.col("size") - F.col("gap"))
     fillers = left.where(off < F.col("gap")).groupBy("key").agg(F.min_by(place, F.struct(off, *PLACE)).alias("filler"))
@@ -155,11 +155,11 @@ def _decided(docs: DataFrame, weights, share, cap, tilt, bins, seed, keep: tuple
     sized = materialize(_numbered(materialize(sized, "sizes")), "numbered")
     sources = targets(sized, weights, share, cap).withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
     sources = sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    sources = materialize(sources, "targets")
-    sources = materialize(sources.join(inclusion(sized, sources, tilt), "key", "left"), "sources")
+    sources = materialize(sources, "targets", narrow=True)
+    sources = materialize(sources.join(inclusion(sized, sources, tilt), "key", "left"), "sources", narrow=True)
     ranked, ends = _sampled(sized, sources, tilt, bins)
-    ends = materialize(ends, "mix-ends")
-    return join_checked(ranked, ends, "key").withColumn("copies", _copies(F.col, F.struct(*PLACE))), materialize(sources.join(ends, "key", "left"), "mix-sources")
+    ends = materialize(ends, "mix-ends", narrow=True)
+    return join_checked(ranked, ends, "key").withColumn("copies", _copies(F.col, F.struct(*PLACE))), materialize(sources.join(ends, "key", "left"), "mix-sources", narrow=True)
 
 
 def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, tilt: float = TILT, bins: int = BINS, seed: str = SEED) -> DataFrame:
@@ -175,7 +175,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     are numbered, so these go by the plan, through `base.times`. Texts are not moved for it."""
     rows, sources = _decided(docs, weights, share, cap, tilt, bins, seed, (row_key(docs).alias("row_key"),))
     alike = rows.groupBy("content").agg(F.max("number").alias("n")).where("n > 1").select("content")
-    planned = join_checked(rows.select("content", "row_key", "copies"), materialize(alike, "alike"), "content", "inner")
+    planned = join_checked(rows.select("content", "row_key", "copies"), materialize(alike, "alike", narrow=True), "content", "inner")
     mine = {"size": words(F.col("text")), "content": _content(seed), "number": F.lit(1).cast("long")}
     each = docs.withColumns({"__key": _key(), "__row": F.struct(*(v.alias(k) for k, v in mine.items()))})
     table = sources.select(F.col("key").alias("__key"), F.struct("c", "whole", "cut", "last_at_cut", "filler").alias("__source"))

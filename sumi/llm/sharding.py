@@ -44,15 +44,15 @@ def shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, keep: tuple[str, ...
         word = F.shiftright("key_bits" if k < ROUNDS // 2 else "row_bits", 60 - STEP * (k % 5 + 1)).bitwiseAND((1 << STEP) - 1)
         open_rows = open_rows.withColumn("word", word)
         cells = open_rows.groupBy("path", "word").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n"))
-        cells = materialize(cells, "shard-cells")
+        cells = materialize(cells, "shard-cells", narrow=True)
         levels = cells.select("path", "word", "bytes", "n", F.explode(F.sequence(F.lit(0), F.lit(STEP))).alias("depth"))
         levels = levels.withColumn("prefix", F.expr(f"shiftright(word, {STEP} - depth)"))
         sums = levels.groupBy("path", "depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("n_rows"))
         fits = sums.where((F.col("shard_bytes") <= limit_bytes) | (F.col("n_rows") == 1) | ((F.lit(k) == ROUNDS - 1) & (F.col("depth") == STEP)))
-        fits = materialize(fits.select("path", "depth", "prefix", "shard_bytes"), "shard-fits")
+        fits = materialize(fits.select("path", "depth", "prefix", "shard_bytes"), "shard-fits", narrow=True)
         chosen = join_checked(levels.select("path", "word", "depth", "prefix"), fits, ["path", "depth", "prefix"], "inner")
         directory = chosen.groupBy("path", "word").agg(F.min_by(F.struct("depth", "prefix", "shard_bytes"), "depth").alias("at"))
-        joined = join_checked(open_rows, materialize(directory, "shard-directory"), ["path", "word"])
+        joined = join_checked(open_rows, materialize(directory, "shard-directory", narrow=True), ["path", "word"])
         bits = F.when(F.col("at.depth") > 0, F.expr("lpad(bin(at.prefix), at.depth, '0')")).otherwise("")
         placed = joined.where(F.col("at").isNotNull()).select(
             *keep,

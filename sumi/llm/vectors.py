@@ -78,7 +78,7 @@ def _places(keys: DataFrame, block: int) -> DataFrame:
     """uid, pass, place: the row's number in the order of all passes, by sorted ranges and their sizes."""
     order = ["pass", "key", "uid"]
     ranked = keys.repartitionByRange(*order).sortWithinPartitions(*order).select("uid", "pass", F.monotonically_increasing_id().alias("at"))
-    ranked = materialize(ranked.select("uid", "pass", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND((1 << 33) - 1).alias("row")), "ranked")
+    ranked = materialize(ranked.select("uid", "pass", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND((1 << 33) - 1).alias("row")), "ranked", narrow=True)
     sizes = ranked.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range
     before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return join_checked(ranked, sizes.select("range", before.alias("before")), "range", "inner").select("uid", "pass", (F.col("row") + F.col("before")).alias("place"))
@@ -199,7 +199,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     if not n:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     passes = n_passes(n, cosine, block, miss)
-    placed = materialize(_places(_keys(classes, dims, passes, seed), block).withColumn("block", F.floor(F.col("place") / block)), "placed")
+    placed = materialize(_places(_keys(classes, dims, passes, seed), block).withColumn("block", F.floor(F.col("place") / block)), "placed", narrow=True)
     number = F.col("block") - F.col("pass") * F.lit(n // block)  # small numbers that tell neighbours of one pass
     seats = placed.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pass", "place", number.cast("int").alias("block")))).alias("at"))
     carried = classes.select("uid", "embedding", "copies").join(seats, "uid").withColumn("blocks", F.transform("at", lambda s: s["block"]))
@@ -208,7 +208,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     flags = found.where("pass is not null").select("pass", "block").distinct()
     runs = flags.withColumn("run", F.col("block") - F.row_number().over(Window.partitionBy("pass").orderBy("block")))
     runs = runs.groupBy(F.col("pass").alias("run_pass"), "run").agg(F.min("block").alias("low"), (F.max("block") + 1).alias("high")).where("high - low >= 2")
-    runs = materialize(runs.withColumn("run", F.col("low")), "runs")
+    runs = materialize(runs.withColumn("run", F.col("low")), "runs", narrow=True)
     if not runs.isEmpty():
         of_pass = placed.join(runs, (placed["pass"] == runs["run_pass"]) & placed["block"].between(runs["low"], runs["high"]), "left")
         by_uid = of_pass.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pass", F.coalesce("run", F.lit(-1)).alias("run")))).alias("r"))
