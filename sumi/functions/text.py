@@ -22,10 +22,10 @@ def safe_filename(text: Column, most: int = NAME_CHARS) -> Column:
 
 
 def strip_fence(raw: Column) -> Column:
-    """Without a code fence: the fence line at the start, the fence at the end."""
+    """Without a code fence: the fence line at the start and, only after one, the fence at the end."""
     text = strip(F.coalesce(raw, F.lit("")))
-    opened = F.when(text.startswith("```"), F.regexp_replace(text, r"^```[^\n]*\n?", "")).otherwise(text)
-    return strip(F.regexp_replace(strip(opened), r"```$", ""))
+    inner = strip(F.regexp_replace(text, r"^```[^\n]*\n?", ""))
+    return F.when(text.startswith("```"), strip(F.regexp_replace(inner, r"```$", ""))).otherwise(text)
 
 
 def log_text(text: Column) -> Column:

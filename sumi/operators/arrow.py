@@ -21,8 +21,8 @@ def _schema(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
-def each_raster(rasters: DataFrame, rows: Callable[[str, np.ndarray], Iterable[tuple]], schema: str) -> DataFrame:
-    """The rows that `rows(image_id, raster)` gives, for all rasters."""
+def each_raster(rasters: DataFrame, rows: Callable[[str, np.ndarray], Iterable[tuple]], schema: str, lazy: bool = False) -> DataFrame:
+    """The rows that `rows(image_id, raster)` gives, for all rasters; with `lazy` the raster is a function to call."""
     arrow = to_arrow_schema(_schema(schema))
 
     def run(batches):
@@ -31,7 +31,7 @@ def each_raster(rasters: DataFrame, rows: Callable[[str, np.ndarray], Iterable[t
         for batch in batches:
             get = {n: batch.column(n).to_pylist() for n in ("image_id", "height", "width", "n_channels", "data")}
             for key, h, w, n, data in zip(*get.values(), strict=True):
-                out += rows(key, to_array(data, h, w, n))
+                out += rows(key, (lambda a=(data, h, w, n): to_array(*a)) if lazy else to_array(data, h, w, n))
                 if len(out) >= ROWS_OUT:
                     yield flush()
                     out.clear()
@@ -50,6 +50,20 @@ def map_raster(rasters: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -
     return each_raster(rasters, rows, RASTER)
 
 
+def try_raster(rasters: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """As `map_raster`, with `error`: a raster that the kernel or the decoding rejects is a row without data."""
+
+    def rows(key, x):
+        try:
+            y = np.ascontiguousarray(kernel(x()))
+        except Exception as e:  # the reason is the row's result
+            yield key, None, None, None, None, f"{type(e).__name__}: {e}"
+        else:
+            yield key, y.shape[0], y.shape[1], 1 if y.ndim == 2 else 3, y.tobytes(), None
+
+    return each_raster(rasters, rows, f"{RASTER}, error string", lazy=True)
+
+
 def pixel_rows(rasters: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], name: str = "v") -> DataFrame:
     """(image_id, y, x, value) of the kernel's results; for small rasters and tests."""
 

@@ -222,8 +222,9 @@ def border_effect(before: np.ndarray, after: np.ndarray) -> dict:
 MODES = {"ccprojection": "ccprojection", "cc_projection": "ccprojection", "projection": "ccprojection", "projection_only": "projection_only", "cc_debug": "cc_debug"}
 
 
-def refine(bgr: np.ndarray, box: tuple[int, int, int, int], how: Settings) -> tuple[tuple[int, int, int, int], np.ndarray] | None:
-    """The refined (x, y, w, h) of a detected (x, y, w, h) and its cleaned crop; None where nothing is left."""
+def refine(bgr: np.ndarray, box: tuple[int, int, int, int], how: Settings, trace: dict | None = None) -> tuple[tuple[int, int, int, int], np.ndarray] | None:
+    """The refined (x, y, w, h) of a detected (x, y, w, h) and its cleaned crop; None where nothing is left. `trace`
+    receives the numbers behind it: parts painted over, parts, parts removed, both trims, the left margin's runs."""
     height, width = bgr.shape[:2]
     x, y, w, h = box
     l, r, t, b = how.refine.expand  # noqa: E741
@@ -232,12 +233,26 @@ def refine(bgr: np.ndarray, box: tuple[int, int, int, int], how: Settings) -> tu
     if roi.size == 0:
         return None
     shade = K.gray(roi)
+    if trace is not None:
+        light = K.components((shade > how.noise.dark) & (shade < how.noise.light))[1]
+        trace["noise_parts"] = int(is_noise(light, how.noise).sum()) if how.noise.enabled and len(light) else 0
     if how.noise.enabled:
         shade = remove_noise(shade, how.noise)
     mask, mode = binarize(shade, how.trim), MODES.get(how.refine.mode, "ccprojection")
+    if trace is not None:
+        stats = K.components(mask)[1]
+        filtered = mode != "projection_only" and len(stats) > 0
+        trace |= {"parts": len(stats), "removed_parts": int(tiers(stats, mask.shape[1], mask.shape[0], how.components)[1].sum()) if filtered else 0}
     if mode != "projection_only":
         mask = filter_components(mask, how.components)
     left, right, top, bottom = (0, roi.shape[1], 0, roi.shape[0]) if mode == "cc_debug" else trim_box(mask, how.trim)
+    if trace is not None:
+        inner = mask[top:bottom, left:right]
+        cover = K.coverage(inner, 0)
+        margin = cover[: int(len(cover) * how.border.width_ratio)]
+        runs = spikes(margin, float(cover.max(initial=0)), len(cover), how.border) if how.border.enabled and cover.any() else []
+        border = trim_border(inner, how.border) if how.border.enabled else (0, inner.shape[1], 0, inner.shape[0])
+        trace |= {"trim": [left, right, top, bottom], "border": list(border), "spikes": runs}
     if how.border.enabled:
         a, c, d, e = trim_border(mask[top:bottom, left:right], how.border)
         left, right, top, bottom = left + a, left + c, top + d, top + e

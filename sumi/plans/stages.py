@@ -13,7 +13,7 @@ from ..config import Settings
 from ..functions.text import keep, output_file, verdict
 from ..operators import boxes, glyphs
 from ..operators import kernels as K
-from ..operators.arrow import each_raster, map_raster
+from ..operators.arrow import each_raster, map_raster, try_raster
 from ..schema import CHARS
 from ..services import ask
 from ..sources.images import to_array
@@ -38,6 +38,12 @@ def preprocess(images: DataFrame, how: Settings, heal: bool | None = None) -> Da
     return map_raster(images, preprocess_kernel(how, heal))
 
 
+def preprocess_errors(images: DataFrame, how: Settings, heal: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """Preprocessed rasters, and (image_id, error) of those that failed; one bad raster does not end the batch."""
+    tried = try_raster(images, preprocess_kernel(how, heal))
+    return tried.where("error is null").drop("error"), tried.where("error is not null").select("image_id", "error")
+
+
 def heal_debug(images: DataFrame, how: Settings) -> DataFrame:
     """What healing changes: (image_id, added pixels in parts of six or more, largest difference)."""
     plain, healed = preprocess_kernel(how, False), preprocess_kernel(how, True)
@@ -109,24 +115,16 @@ DEBUG = "image_id string, char_order int, noise_parts int, parts int, removed_pa
 
 
 def segment_debug(regions: DataFrame, detected: DataFrame, how: Settings) -> DataFrame:
-    """The numbers behind each refined box: parts painted over and removed, both trims, and the left margin's runs."""
+    """The numbers behind each refined box, as `refine` itself met them: parts painted over and removed, both trims,
+    and the left margin's runs. Boxes of which nothing is left have no row."""
     sized = detected.join(regions.select("image_id", "width", "height"), "image_id")
     lists = boxes.detected_chars(sized).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("char_order", "x", "y", "w", "h"))).alias("boxes"))
 
     def rows(key, x, found):
         for order, left, top, w, h in found:
-            shade = K.gray(x[top : top + h, left : left + w])
-            noisy = K.components((shade > how.noise.dark) & (shade < how.noise.light))[1]
-            mask = glyphs.binarize(glyphs.remove_noise(shade, how.noise), how.trim)
-            stats = K.components(mask)[1]
-            gone = glyphs.tiers(stats, mask.shape[1], mask.shape[0], how.components)[1] if len(stats) else np.zeros(0, bool)
-            mask = glyphs.filter_components(mask, how.components)
-            trim = glyphs.trim_box(mask, how.trim)
-            inner = mask[trim[2] : trim[3], trim[0] : trim[1]]
-            cover = K.coverage(inner, 0)
-            margin = cover[: int(len(cover) * how.border.width_ratio)]
-            runs = glyphs.spikes(margin, float(cover.max(initial=0)), len(cover), how.border) if cover.any() else []
-            yield key, order, int(glyphs.is_noise(noisy, how.noise).sum()), len(stats), int(gone.sum()), [int(v) for v in trim], [int(v) for v in glyphs.trim_border(inner, how.border)], runs
+            trace: dict = {}
+            if glyphs.refine(x, (left, top, w, h), how, trace):
+                yield key, order, trace["noise_parts"], trace["parts"], trace["removed_parts"], [int(v) for v in trace["trim"]], [int(v) for v in trace["border"]], trace["spikes"]
 
     return _with_boxes(regions.join(lists, "image_id"), rows, DEBUG)
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import Border, ComponentFilter, ContourJob, Noise, Settings, TextureJob, Trim
+from .functions import register
+from .functions import stats as T
 from .functions import text as X
 from .operators import boxes as B
 from .operators import glyphs as G
@@ -200,7 +202,16 @@ def threshold_cascade(spark, sf_dir):
     return pixel_rows(_rasters(spark, sf_dir), lambda x: K.cascade(x, "auto", "auto"))
 
 
-@query()
+def _smooth_sql(size: int, mode: str) -> str:
+    """Gaussian means of px as CTEs that end in sm (image_id, y, x, v, mean); edges mirrored or repeated."""
+    place = lambda c: f"greatest(0, least(7, {c}))" if mode == "edge" else f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > 7 THEN 14 - ({c}) ELSE {c} END"
+    rows = ", ".join(f"({k - size // 2}, {float(w)!r}::DOUBLE)" for k, w in enumerate(K.gaussian_weights(size)))
+    return f"""k1 AS (SELECT * FROM (VALUES {rows}) AS t(d, w)),
+sm0 AS (SELECT a.image_id, a.y, a.x, any_value(a.v) AS v, sum(k1.w * b.v) AS m FROM px AS a JOIN k1 ON true JOIN px AS b ON b.image_id = a.image_id AND b.x = a.x AND b.y = {place("a.y + k1.d")} GROUP BY a.image_id, a.y, a.x),
+sm AS (SELECT a.image_id, a.y, a.x, any_value(a.v) AS v, greatest(0, least(255, round_even(sum(k1.w * b.m), 0)))::INT AS mean FROM sm0 AS a JOIN k1 ON true JOIN sm0 AS b ON b.image_id = a.image_id AND b.y = a.y AND b.x = {place("a.x + k1.d")} GROUP BY a.image_id, a.y, a.x)"""
+
+
+@query(with_(PX, _smooth_sql(5, "edge")) + "SELECT image_id, y, x, CASE WHEN v > mean - 5 THEN 255 ELSE 0 END AS v FROM sm")
 def adaptive_gaussian(spark, sf_dir):
     return pixel_rows(_rasters(spark, sf_dir), lambda x: K.bright_adaptive(x, 5, 5))
 
@@ -236,14 +247,15 @@ def _glyph_profile(spark, sf_dir):
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                at = np.arange(len(codes)) % R.PAGE
-                ink = np.bincount(at[(codes != 32) & (codes != 9)], minlength=R.PAGE)
-                size = np.bincount(at, minlength=R.PAGE)
-                out += [(key, k, int(ink[k]), int(size[k])) for k in range(min(R.PAGE, len(codes)))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["image_id", "pos", "ink_count", "length"])
+            found = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in batch.column(1).to_pylist()]
+            n = np.array([len(codes) for codes in found], np.int64)
+            owner, codes = np.repeat(np.arange(len(n)), n), np.concatenate(found) if found else np.zeros(0, np.uint32)
+            cell = owner * R.PAGE + (np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)) % R.PAGE
+            size = np.bincount(cell, minlength=len(n) * R.PAGE)
+            ink = np.bincount(cell[(codes != 32) & (codes != 9)], minlength=len(size))
+            used = np.flatnonzero(size)
+            key = batch.column(0).take(pa.array(used // R.PAGE))
+            yield pa.RecordBatch.from_arrays([key, pa.array((used % R.PAGE).astype(np.int32)), pa.array(ink[used]), pa.array(size[used])], names=["image_id", "pos", "ink_count", "length"])
 
     return docs.mapInArrow(rows, "image_id long, pos int, ink_count long, length long")
 
@@ -478,7 +490,16 @@ def noise_removed_dual(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: G.remove_noise_dual(x, least=2, most=0.9))
 
 
-@query()
+BAND = """hw AS (SELECT unnest(range(-5, 6)) AS dy, unnest([0, 3, 4, 5, 5, 5, 5, 5, 4, 3, 0]) AS half),
+bad AS (SELECT image_id, label, x, y, w, h FROM st WHERE area >= 2),
+ring AS (SELECT DISTINCT l.image_id, l.label, p.y, p.x, p.v FROM lab AS l JOIN bad USING (image_id, label) JOIN hw ON true JOIN px AS p ON p.image_id = l.image_id AND p.y = l.y + dy AND abs(p.x - l.x) <= half
+  WHERE NOT EXISTS (SELECT 1 FROM lab AS o WHERE o.image_id = l.image_id AND o.label = l.label AND o.y = p.y AND o.x = p.x)),
+med AS (SELECT image_id, label, trunc(quantile_cont(v, 0.5))::INT AS background FROM ring GROUP BY ALL),
+every AS (SELECT bad.image_id, bad.label, trunc(quantile_cont(v, 0.5))::INT AS background FROM bad JOIN px ON px.image_id = bad.image_id AND px.y BETWEEN bad.y - 5 AND bad.y + bad.h + 4 AND px.x BETWEEN bad.x - 5 AND bad.x + bad.w + 4 GROUP BY ALL),
+bg AS (SELECT image_id, label, coalesce(med.background, every.background) AS background FROM every LEFT JOIN med USING (image_id, label))"""
+
+
+@query(with_(ST, "ink AS (SELECT image_id, y, x, v, (v BETWEEN 150 AND 220)::INT AS ink FROM px)", LABEL, BAND, recursive=True) + "SELECT px.image_id, px.y, px.x, coalesce(bg.background, px.v) AS v FROM px LEFT JOIN lab USING (image_id, y, x) LEFT JOIN bg ON bg.image_id = px.image_id AND bg.label = lab.label")
 def noise_removed_band(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: G.remove_noise_band(x, (150, 220), 2))
 
@@ -572,12 +593,18 @@ def laplacian_abs(spark, sf_dir):
     return P.stencil(_together(spark, sf_dir), 8, LAP, "lap").withColumn("lap", F.abs("lap"))
 
 
-@query()
+@query(with_(PX, _smooth_sql(5, "reflect")) + "SELECT image_id, y, x, mean AS v FROM sm")
 def gaussian_blur(spark, sf_dir):
     return pixel_rows(_rasters(spark, sf_dir), lambda x: K.gaussian(x, 5))
 
 
-@query()
+MIRROR = lambda c: f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > 7 THEN 14 - ({c}) ELSE {c} END"
+DISC = ", ".join(f"({dy}, {dx})" for dy in range(-2, 3) for dx in range(-2, 3) if dy * dy + dx * dx <= 4)
+
+
+@query(with_(PX) + f"""SELECT image_id, y, x, greatest(0, least(255, round_even(sum(k * u) / sum(k), 0)))::INT AS v FROM (
+SELECT a.image_id, a.y, a.x, b.v AS u, exp(-(dy * dy + dx * dx) / 450.0::DOUBLE - (b.v - a.v) * (b.v - a.v) / 1800.0::DOUBLE) AS k FROM px AS a, (VALUES {DISC}) AS t(dy, dx), px AS b
+WHERE b.image_id = a.image_id AND b.y = {MIRROR("a.y + dy")} AND b.x = {MIRROR("a.x + dx")}) GROUP BY image_id, y, x""")
 def bilateral(spark, sf_dir):
     return pixel_rows(_rasters(spark, sf_dir), lambda x: K.bilateral(x, 5, 30, 15))
 
@@ -602,7 +629,9 @@ def enhance(spark, sf_dir):
     return pixel_rows(R.colour_rasters(spark, sf_dir), lambda x: K.gray(K.enhance(x, tiles=2, gamma=1.2)))
 
 
-@query()
+@query(with_(PX, OTSU, """all10 AS (SELECT v.image_id, y::INT AS y, x::INT AS x FROM (SELECT DISTINCT image_id FROM px) AS v, (SELECT unnest(range(10)) AS y), (SELECT unnest(range(10)) AS x)),
+pad AS (SELECT a.image_id, a.y, a.x, coalesce(i.ink, 0) AS ink FROM all10 AS a LEFT JOIN ink AS i ON i.image_id = a.image_id AND i.y = a.y - 1 AND i.x = a.x - 1),
+far AS (SELECT a.image_id, a.y, a.x, greatest(abs(a.y - b.y), abs(a.x - b.x)) AS l, least(abs(a.y - b.y), abs(a.x - b.x)) AS s FROM pad AS a JOIN pad AS b ON a.image_id = b.image_id AND b.ink = 0)""") + "SELECT image_id, y, x, round_even(min((l - s) * 0.955::DOUBLE + s * 1.3693::DOUBLE) * 1000, 0)::INT AS v FROM far GROUP BY image_id, y, x")
 def distance_map(spark, sf_dir):
     return pixel_rows(_rasters(spark, sf_dir), lambda x: np.rint(K.distance(np.pad(K.ink_otsu(x), 1)) * 1000))
 
@@ -789,19 +818,21 @@ def safe_filename(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", X.safe_filename(F.col("url")).alias("name"))
 
 
-@query(r"SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations")
+@query(r"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE regexp_replace(text || chr(10) || '```', '^\s+', '') END AS text FROM conversations")
 def strip_fence(spark, sf_dir):
-    """Turns put into a code fence and taken out of it."""
+    """Turns put into a code fence and taken out of it; odd ones have a closing fence only, which stays."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return c.select("conv_id", "turn", X.strip_fence(F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))).alias("text"))
+    closed = F.concat(F.col("text"), F.lit("\n```"))
+    return c.select("conv_id", "turn", X.strip_fence(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("```json\n"), closed)).otherwise(closed)).alias("text"))
 
 
-@query("SELECT doc_id, sum(CASE WHEN unicode(c) BETWEEN 19968 AND 40959 THEN 1 ELSE 0 END)::BIGINT AS n_cjk, count(*) AS n FROM (SELECT doc_id, unnest([text[1], text[2], '書', text[3], '山', '鿿']) AS c FROM documents) GROUP BY doc_id")
+@query("SELECT doc_id, len(regexp_extract_all(t, '[\\x{4E00}-\\x{9FFF}]'))::BIGINT AS n_cjk, length(t)::BIGINT AS n FROM (SELECT doc_id, coalesce(text, '') || '書' || (doc_id % 10) || '山鿿㐀' AS t FROM documents)")
 def cjk_flag(spark, sf_dir):
+    """Ideographs of whole texts, with some put behind each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    chars = F.array(*(F.substring("text", k, 1) for k in (1, 2)), F.lit("書"), F.substring("text", 3, 1), F.lit("山"), F.lit("鿿"))
-    one = docs.select("doc_id", F.explode(chars).alias("c"))
-    return one.groupBy("doc_id").agg(F.sum(X.is_cjk(F.col("c")).cast("long")).alias("n_cjk"), F.count("*").alias("n"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("書"), (F.col("doc_id") % 10).cast("string"), F.lit("山鿿㐀"))
+    chars = docs.select("doc_id", text.alias("t")).select("doc_id", "t", F.regexp_extract_all("t", F.lit("(?s)[^\\x00-\\x7F]"), F.lit(0)).alias("c"))
+    return chars.select("doc_id", F.size(F.filter("c", X.is_cjk)).cast("long").alias("n_cjk"), F.length("t").cast("long").alias("n"))
 
 
 PATHS = "p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/data/preocr/book' || page_id || '/a/img.' || page_id || '.JPG' WHEN 1 THEN 'x/y' || page_id || '.webp' ELSE '/in/preocr/b/preocr/c.tif' END AS path FROM pages)"
@@ -831,7 +862,8 @@ def json_props(spark, sf_dir):
 @query("SELECT event_type, quantile_cont(value, 0.5) AS median_value, max(value) AS max_value FROM events GROUP BY event_type")
 def median_by_type(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.groupBy("event_type").agg(F.percentile("value", 0.5).alias("median_value"), F.max("value").alias("max_value"))
+    middle = T.median(e, "event_type", "value").withColumnRenamed("median", "median_value")
+    return e.groupBy("event_type").agg(F.max("value").alias("max_value")).join(middle, "event_type", "left").select("event_type", "median_value", "max_value")
 
 
 # ---- layers -----------------------------------------------------------------------------------------------------
@@ -866,6 +898,72 @@ def layer_pick(spark, sf_dir):
 # ---- stages -----------------------------------------------------------------------------------------------------
 
 
+@query("SELECT event_id AS id, CASE WHEN event_id % 5 >= 4 THEN 1 WHEN event_id % 7 > 0 THEN 2 ELSE 0 END AS rule, CASE WHEN event_id % 5 >= 4 THEN (event_id % 40)::INT WHEN event_id % 7 > 0 THEN 3 ELSE -1 END AS x1 FROM events")
+def box_arity(spark, sf_dir):
+    """Flat lists of four numbers count, shorter ones do not, then polygons, and without either there is no box."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    n = lambda k: (F.col("event_id") % k).cast("int")
+    flat = F.slice(F.array(n(40), F.lit(1), F.lit(50), F.lit(9)), F.lit(1), n(5))
+    points = F.when(n(7) > 0, F.array(F.array(F.lit(3), F.lit(4)), F.array(F.lit(8), F.lit(9))))
+    box = B.flat_or_polygon_box(flat, points)
+    return e.select(F.col("event_id").alias("id"), F.when(F.size(flat) >= 4, 1).when(box.isNotNull(), 2).otherwise(0).alias("rule"), F.coalesce(box[0], F.lit(-1)).alias("x1"))
+
+
+@query("SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 30 ELSE -1 END AS x1 FROM events")
+def first_box_key(spark, sf_dir):
+    """The first of bbox, rect and box that a record has."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    k = F.col("event_id") % 4
+    of = lambda at, x: F.when(k <= at, F.array(F.lit(x), F.lit(1), F.lit(2), F.lit(3)))
+    record = F.struct(of(0, 10).alias("bbox"), of(1, 20).alias("rect"), of(2, 30).alias("box"))
+    return e.select(F.col("event_id").alias("id"), F.coalesce(B.first_box(record)[0], F.lit(-1)).alias("x1"))
+
+
+FILES = "f AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/d/preocr/b' || (page_id % 3) || '/region_' || page_id || '.png' WHEN 1 THEN '/d/b' || (page_id % 5) || '/char_' || page_id || '.jpg' WHEN 2 THEN '/d/b/debug/char_' || page_id || '.png' ELSE '/d/region_' || page_id || '.txt' END AS path FROM pages)"
+
+
+def _files(spark, sf_dir):
+    k, n = F.col("page_id") % 4, F.col("page_id").cast("string")
+    path = F.when(k == 0, F.concat(F.lit("/d/preocr/b"), (F.col("page_id") % 3).cast("string"), F.lit("/region_"), n, F.lit(".png"))).when(k == 1, F.concat(F.lit("/d/b"), (F.col("page_id") % 5).cast("string"), F.lit("/char_"), n, F.lit(".jpg")))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(path.when(k == 2, F.concat(F.lit("/d/b/debug/char_"), n, F.lit(".png"))).otherwise(F.concat(F.lit("/d/region_"), n, F.lit(".txt"))).alias("path"))
+
+
+@query(with_(FILES) + "SELECT path, 'b' || (page_id % 3) AS dataset, 'region_' || page_id || '.png' AS region FROM f WHERE page_id % 4 = 0")
+def region_files(spark, sf_dir):
+    """Region files among other files, by dataset."""
+    return I.region_images(_files(spark, sf_dir))
+
+
+@query(with_(FILES) + "SELECT DISTINCT '/d/b' || (page_id % 5) AS folder FROM f WHERE page_id % 4 = 1")
+def character_folders(spark, sf_dir):
+    return I.char_folders(_files(spark, sf_dir))
+
+
+@query(r"""SELECT page_id, CASE WHEN trim(url) = '' OR url IS NULL THEN 'unknown' ELSE substring(regexp_replace(trim(url), '[<>:"/\\|?*]', '_', 'g'), 1, 20) END AS name FROM pages""")
+def sql_functions(spark, sf_dir):
+    """The SQL surface: a registered function in a statement."""
+    register(spark)
+    return spark.sql("SELECT page_id, safe_filename(url) AS name FROM {pages}", pages=spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: A recorded page: one good box, one beyond the edge, one of three numbers that goes.
+REPLY = '{"success": true, "text_regions": [{"bbox": [1, 2, 20, 9], "text": "a", "confidence": 0.5}, {"rect": [5, 6, 900, 900], "text": "b"}, {"box": [1, 2, 3]}]}'
+
+
+@query("""SELECT image_id, region_id, x1, y1, x2, y2, text, confidence FROM (SELECT DISTINCT (vec_id // 3)::VARCHAR AS image_id FROM embeddings WHERE vec_id // 3 <= (SELECT max(vec_id) // 3 - CASE WHEN max(vec_id) % 3 = 2 THEN 0 ELSE 1 END FROM embeddings)) AS i,
+(VALUES (1, 1, 2, 20, 9, 'a', 0.5::DOUBLE, false), (2, 5, 6, 32, 32, 'b', 0.0::DOUBLE, false), (1, 0, 0, 32, 32, '', 0.0::DOUBLE, true)) AS r(region_id, x1, y1, x2, y2, text, confidence, failed) WHERE failed = (image_id::BIGINT % 2 = 1)""")
+def detected_regions(spark, sf_dir):
+    """Regions of recorded replies: boxes clamped, short ones dropped, a failed page as one region."""
+
+    def recorded(key: str, png: bytes) -> str:
+        if int(key) % 2:
+            raise KeyError(key)
+        return REPLY
+
+    found = stages.detect(_pages(spark, sf_dir), recorded)
+    return found.select("image_id", "region_id", "x1", "y1", "x2", "y2", "text", "confidence")
+
+
 def _pages(spark, sf_dir):
     """Colour rasters four times their size: small page images."""
     return map_raster(R.colour_rasters(spark, sf_dir), lambda x: np.kron(x, np.ones((4, 4, 1), np.uint8)))
@@ -889,7 +987,11 @@ def jet_colours(spark, sf_dir):
     return map_raster(_stretched_rasters(spark, sf_dir), lambda x: K.jet(K.minmax(np.abs(K.heal(x).astype(int) - x)))).select("image_id", F.hex("data").alias("bgr"))
 
 
-@query()
+@query(with_(PX, """g AS (SELECT image_id, y, x, greatest(0, least(7, (y + 0.5::DOUBLE) * 8 / 12 - 0.5::DOUBLE)) AS fy, greatest(0, least(7, (x + 0.5::DOUBLE) * 8 / 5 - 0.5::DOUBLE)) AS fx
+  FROM (SELECT DISTINCT image_id FROM px), (SELECT unnest(range(12))::INT AS y), (SELECT unnest(range(5))::INT AS x)),
+c AS (SELECT *, floor(fy)::INT AS y0, floor(fx)::INT AS x0, least(floor(fy)::INT + 1, 7) AS y1, least(floor(fx)::INT + 1, 7) AS x1 FROM g)""") + """SELECT c.image_id, c.y, c.x, greatest(0, least(255, round_even((a.v * (1 - (fx - x0)) + b.v * (fx - x0)) * (1 - (fy - y0)) + (d.v * (1 - (fx - x0)) + e.v * (fx - x0)) * (fy - y0), 0)))::INT AS v
+FROM c JOIN px AS a ON a.image_id = c.image_id AND a.y = y0 AND a.x = x0 JOIN px AS b ON b.image_id = c.image_id AND b.y = y0 AND b.x = x1
+JOIN px AS d ON d.image_id = c.image_id AND d.y = y1 AND d.x = x0 JOIN px AS e ON e.image_id = c.image_id AND e.y = y1 AND e.x = x1""")
 def resized(spark, sf_dir):
     return pixel_rows(_rasters(spark, sf_dir), lambda x: K.resize(x, 12, 5))
 
@@ -936,4 +1038,4 @@ def segment_overlays(spark, sf_dir):
 def judge_report(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     chars = stages.segment(pages, _detected(pages), Settings())
-    return stages.report(stages.judge(chars, _always, Settings())).where("image_id is null").drop("image_id", "region_id")
+    return stages.report(stages.judge(chars, _always, Settings()))

@@ -82,6 +82,12 @@ class HttpJudge:
         return answer.json()["choices"][0]["message"]["content"]
 
 
+def _refused(error: Exception) -> bool:
+    """An answer that asking again will not change: the request itself is at fault, not the line or the load."""
+    status = getattr(getattr(error, "response", None), "status_code", None)
+    return status is not None and 400 <= status < 500 and status not in (408, 425, 429)
+
+
 def patient(call: Callable[[str, bytes], str], retries: int = 3, pause: float = 0.5, most: float = 8.0) -> Callable[[str, bytes], tuple[str | None, float, str | None]]:
     """(reply, seconds, error) of a call, tried again with growing pauses on input and output errors."""
 
@@ -91,7 +97,7 @@ def patient(call: Callable[[str, bytes], str], retries: int = 3, pause: float =
             try:
                 return call(key, png), time.perf_counter() - began, None
             except (OSError, TimeoutError) as e:
-                if attempt == retries:
+                if attempt == retries or _refused(e):
                     return None, time.perf_counter() - began, str(e)
                 time.sleep(wait)
                 wait = min(most, 2 * wait)

@@ -29,17 +29,27 @@ def mime_type(path: Column) -> Column:
 
 
 def list_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """path and length of the image files below a folder, or of one file; a missing path fails when it is read."""
+    """path and length of the image files below a folder, or of one file, by path; a missing path fails when it is
+    read. Only names and lengths are read, so the order costs a sort of these."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.where(is_image(F.col("path"))).select("path", "length")
+    return files.where(is_image(F.col("path"))).select("path", "length").orderBy("path")
 
 
-def read_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Raster rows of all images that decode (B, G, R); others go."""
-    found = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{jpg,jpeg,png,bmp,tiff,tif,JPG,JPEG,PNG,BMP,TIFF,TIF}").load(path)
+def _decoded(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
+    found = spark.read.format("image").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{jpg,jpeg,png,bmp,tiff,tif,JPG,JPEG,PNG,BMP,TIFF,TIF}").load(path)
     return found.select(F.col("image.origin").alias("image_id"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("n_channels"), F.col("image.data").alias("data"))
 
 
+def read_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """Raster rows of all images that decode (B, G, R); `unreadable_images` has the others."""
+    return _decoded(spark, path, recursive).where("height > 0")
+
+
+def unreadable_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """(image_id, error) of the image files that do not decode."""
+    return _decoded(spark, path, recursive).where("height <= 0").select("image_id", F.lit("does not decode").alias("error"))
+
+
 def region_images(files: DataFrame) -> DataFrame:
     """Region files by dataset: those named region_*, and the dataset their path says."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,8 @@ def write_rasters(rasters: DataFrame, path: str, partition_by: str | None = None
 def write_files(named: DataFrame, folder: str, name: str = "output_file", body: str = "png") -> DataFrame:
     """Write bytes under their names from the executors, as the result is read: one row (file, bytes) for each.
 
-    `folder` is a URI of storage that all executors reach; a task that runs again writes the same bytes again."""
+    `folder` is a URI of storage that all executors reach. A file gets its name when it is whole; a task that runs
+    again writes the same bytes again."""
 
     def run(batches):
         from pyarrow import fs
@@ -40,8 +43,10 @@ def write_files(named: DataFrame, folder: str, name: str = "output_file", body:
         for batch in batches:
             names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for n, b in zip(names, bodies, strict=True):
-                with store.open_output_stream(f"{root}/{n}") as out:
+                part = f"{root}/.{n}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
                     out.write(b)
+                store.move(part, f"{root}/{n}")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in bodies], pa.int64())], names=["file", "bytes"])
 
     return named.select(name, body).mapInArrow(run, "file string, bytes long")

@@ -198,3 +198,65 @@ def test_refine_gives_a_crop_of_its_box(rng):
     assert crop.shape == (box[3], box[2]) and 13 <= box[0] <= 22 and box[0] + box[2] >= 38
     assert G.refine(page, (100, 100, 5, 5), Settings()) is None
     assert G.overlay(page, [box], [crop]).shape == (60, 120, 3)
+
+
+def test_saturation_and_conversions_by_formula():
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 256, (6, 7, 3)).astype(np.uint8)
+    import colorsys
+
+    hsv = K.bgr_to_hsv(x)
+    back = K.hsv_to_bgr(hsv)
+    assert np.abs(back.astype(int) - x).max() <= 6  # hue has 180 steps
+    for (i, j), _ in np.ndenumerate(x[..., 0]):
+        b, g, r = (int(v) / 255 for v in x[i, j])
+        h, s, v = colorsys.rgb_to_hsv(r, g, b)
+        assert abs(float(hsv[i, j, 2]) - 255 * v) <= 1 and abs(float(hsv[i, j, 1]) - 255 * s) <= 1.5
+    more = K.bgr_to_hsv(K.saturate(x, 1.5))
+    assert (more[..., 1].astype(int) + 8 >= hsv[..., 1]).all()
+
+
+def test_jet_goes_from_blue_to_red():
+    ramp = K.jet(np.arange(256, dtype=np.uint8).reshape(16, 16)).reshape(256, 3).astype(int)
+    assert ramp[0][0] > 100 and ramp[0][2] == 0 and ramp[255][2] > 100 and ramp[255][0] == 0
+    assert ramp[128][1] > 200
+    assert (np.diff(ramp[:, 2])[:200] >= 0).all()
+
+
+def test_adaptive_and_bilateral_by_loops():
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 256, (9, 8)).astype(np.uint8)
+    w = K.gaussian_weights(5)
+    p = np.pad(x.astype(float), 2, mode="edge")
+    got, smooth = K.bright_adaptive(x, 5, 5), K.bilateral(x, 5, 30, 15)
+    q = np.pad(x.astype(float), 2, mode="reflect")
+    for (i, j), v in np.ndenumerate(x):
+        mean = np.rint(sum(w[a] * w[b] * p[i + a, j + b] for a in range(5) for b in range(5)))
+        assert got[i, j] == (255 if int(v) > mean - 5 else 0)
+        near = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4]
+        k = [np.exp(-(a * a + b * b) / 450 - (q[i + 2 + a, j + 2 + b] - v) ** 2 / 1800) for a, b in near]
+        assert smooth[i, j] == np.rint(sum(c * q[i + 2 + a, j + 2 + b] for c, (a, b) in zip(k, near, strict=True)) / sum(k))
+
+
+def test_canny_marks_a_step_and_nothing_flat():
+    x = np.zeros((20, 20), np.uint8)
+    x[:, 10:] = 200
+    edges = K.canny(x, 50, 150) > 0
+    assert edges[5:15].any(axis=1).all() and set(np.flatnonzero(edges[10])) <= {9, 10}
+    assert not K.canny(np.full((20, 20), 90, np.uint8), 50, 150).any()
+
+
+def test_clahe_keeps_order_within_a_tile_and_flat_stays_flat():
+    rng = np.random.default_rng(13)
+    x = rng.integers(0, 256, (16, 16)).astype(np.uint8)
+    y = K.clahe(x, 2.0, 1)
+    order = np.argsort(x.reshape(-1), kind="stable")
+    assert (np.diff(y.reshape(-1)[order].astype(int)) >= 0).all()
+    assert len(np.unique(K.clahe(np.full((16, 16), 50, np.uint8), 2.0, 2))) == 1
+
+
+def test_skeleton_lies_inside_and_is_thin():
+    mask = np.zeros((20, 20), np.uint8)
+    mask[4:14, 3:17] = 255
+    thin = K.skeleton(mask) > 0
+    assert thin.any() and not (thin & (mask == 0)).any() and thin.sum() < 0.5 * (mask > 0).sum()

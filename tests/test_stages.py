@@ -169,6 +169,7 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         run = run_on_arrivals(spark, source, lambda x: stages.preprocess(x, Settings()), out, mark)
         run.awaitTermination(60)
         assert spark.read.parquet(out).count() == k
+        assert len({r.batch for r in spark.read.parquet(out).collect()}) == k
 
 
 def test_settings(tmp_path):
@@ -184,3 +185,69 @@ def test_settings(tmp_path):
     with pytest.raises(FileNotFoundError):
         load(ContourJob, "nowhere.toml")
     assert env_int("NO_SUCH_VARIABLE", 30) == 30
+
+
+def test_closing_fence_alone_stays(spark):
+    assert one(spark, X.strip_fence, '{"a": 1}\n```') == '{"a": 1}\n```'
+    assert one(spark, X.strip_fence, '```json\n{"a": 1}\n```') == '{"a": 1}'
+
+
+def test_refused_requests_are_not_repeated():
+    calls = []
+
+    class Refused(OSError):
+        def __init__(self, status):
+            self.response = type("Answer", (), {"status_code": status})
+
+    def call(key, png):
+        calls.append(key)
+        raise Refused(int(key))
+
+    for status, times in (("401", 1), ("404", 1), ("429", 3), ("503", 3)):
+        calls.clear()
+        assert patient(call, 2, pause=0.0)(status, b"")[0] is None and len(calls) == times
+
+
+def test_images_that_do_not_decode(spark, tmp_path):
+    (tmp_path / "b.png").write_bytes(I.encode_png(np.full((4, 5), 7, np.uint8)))
+    (tmp_path / "a.png").write_bytes(b"no image")
+    (tmp_path / "note.txt").write_text("x")
+    folder = str(tmp_path)
+    assert [r.path.rsplit("/", 1)[1] for r in I.list_images(spark, folder).collect()] == ["a.png", "b.png"]
+    assert [r.image_id.rsplit("/", 1)[1] for r in I.read_images(spark, folder).collect()] == ["b.png"]
+    assert [(r.image_id.rsplit("/", 1)[1], r.error) for r in I.unreadable_images(spark, folder).collect()] == [("a.png", "does not decode")]
+
+
+def test_one_bad_raster_is_a_row(spark):
+    rows = image_rows(spark).withColumn("data", F.when(F.col("image_id") == "img1", F.lit(b"short")).otherwise(F.col("data")))
+    good, bad = stages.preprocess_errors(rows, Settings())
+    assert sorted(r.image_id for r in good.collect()) == ["img0", "img2"]
+    found = bad.collect()
+    assert [r.image_id for r in found] == ["img1"] and "Error" in found[0].error
+    want = {r.image_id: bytes(r.data) for r in stages.preprocess(image_rows(spark), Settings()).collect()}
+    assert {r.image_id: bytes(r.data) for r in good.collect()} == {k: v for k, v in want.items() if k != "img1"}
+
+
+def test_debug_numbers_are_those_of_the_refined_box():
+    from sumi.operators import glyphs
+
+    x = np.full((40, 40, 3), 235, np.uint8)
+    x[10:30, 12:28] = 10
+    trace: dict = {}
+    box, _ = glyphs.refine(x, (8, 8, 24, 24), Settings(), trace)
+    assert box == glyphs.refine(x, (8, 8, 24, 24), Settings())[0]
+    left, _, top, _ = trace["trim"]
+    a, b, c, d = trace["border"]
+    pad, (l, _, t, _) = Settings().refine.final_pad, Settings().refine.expand
+    assert box[0] == max(0, 8 - l) + max(0, left + a - pad) and box[1] == max(0, 8 - t) + max(0, top + c - pad)
+    assert b > a and d > c and trace["parts"] >= 1
+
+
+def test_median_of_groups(spark):
+    from sumi.functions.stats import median
+
+    rng = np.random.default_rng(0)
+    rows = [("a", float(v)) for v in rng.normal(size=501)] + [("b", float(v)) for v in rng.integers(0, 5, 400)] + [("c", 3.0)] * 7 + [("d", None), ("e", 1.0), ("e", 4.0)]
+    got = {r.k: r.median for r in median(spark.createDataFrame(rows, "k string, v double"), "k", "v", 16).collect()}
+    want = {k: float(np.median([v for g, v in rows if g == k])) for k in "abce"}
+    assert got == pytest.approx(want)
