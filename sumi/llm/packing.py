@@ -4,12 +4,12 @@ Documents become ids of a public tokenizer plus an end id; longer ones are cut i
 length are interchangeable, and so are open sequences with one gap, so both are kept as classes (size, first, number):
 at most `capacity` lengths, and gap classes whose number the lengths bound too, whatever the number of rows.
 
-A superstep is a DataFrame step over these classes. Both are sorted by size, long to short, a gap before a length of
-its size. In that order a length's best fit, the smallest gap that holds it and is not taken by a longer piece, is the
-last gap that is still open: gaps open brackets, pieces close them, and running sums of the numbers say at which ranks
-of depth. Cutting the depth at all these ranks makes cells in which each closing bracket's partner is the row before
-it, so conflicts are settled by rank and any number of pieces is matched at once. A sequence that got a piece takes
-more of the same length while they last and fit, as best fit would have it; gaps shrink; and the sweep is repeated.
+A superstep is one Spark job over the class table, which the shared folder holds between supersteps. Gaps and lengths
+are sorted by size, long to short, a gap before a length of its size. In that order a length's best fit, the smallest
+gap that holds it and that no longer piece takes, is the last gap that is still open: gaps open brackets, pieces close
+them. So one pass over the classes finds the successor of any number of pieces at once; the order settles conflicts,
+longer pieces first, lower ranks first. A sequence that got a piece takes more of the same length while they last and
+fit, as best fit would have it; gaps shrink; and the sweep is repeated.
 
 New sequences are opened only when the longest piece fits no gap: as many as the pieces above the largest gap need at
 least (at most k of more than capacity / (k + 1) share one; and their tokens fill it), where small pieces are left to
@@ -32,10 +32,10 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import join_checked, materialize, release
+from .base import join_checked, materialize
 
 CAPACITY = 2048
 END_ID = 0
@@ -149,105 +149,90 @@ STATE = ("kind", "size", "first", "n", "seq", "offset")
 FEW = 5
 
 
-def _rows(df: DataFrame, kind: int, size: Column, first: Column, n: Column, seq: Column | None = None, offset: Column | None = None) -> DataFrame:
-    none = F.lit(None)
-    values = (size, first, n, none if seq is None else seq, none if offset is None else offset)
-    return df.select(F.lit(kind).alias("kind"), *(v.cast("long").alias(c) for v, c in zip(values, STATE[1:], strict=True)))
-
-
-def _opened(state: DataFrame, capacity: int) -> DataFrame:
-    """The state with as many new, empty sequences as the longest piece left asks for, if it fits no gap."""
-    whole, down = Window.partitionBy(), Window.orderBy(F.col("size").desc())
-    left = F.col("kind") == LEFT
-    seen = state.withColumn("top_gap", F.coalesce(F.max(F.when(F.col("kind") == GAP, F.col("size"))).over(whole), F.lit(0)))
-    # of the pieces above the largest gap: their number, and how many of each fit one sequence
-    big = F.when(left & (F.col("size") > F.col("top_gap")), F.col("n"))
-    seen = seen.withColumns({"big": big, "fit": F.when(big.isNotNull(), F.floor(F.lit(capacity) / F.col("size")))})
-    seen = seen.withColumns({"least": F.ceil(F.sum("big").over(down) / F.col("fit")), "longest": F.col("fit") == F.min("fit").over(whole)})
-    both = seen.agg(
-        F.greatest(F.max("least"), F.ceil(F.sum(F.col("size") * F.col("big")) / capacity)).alias("by_bounds"),
-        F.ceil(F.sum(F.when(F.col("longest"), F.col("big"))) / F.min("fit")).alias("by_class"),
-        F.min(F.when(left, F.col("size"))).alias("smallest"),
-        F.max(F.when(F.col("kind") == OPENED, F.col("first"))).alias("so_far"),
-    )
-    more = F.when(F.floor(F.lit(capacity) / F.col("smallest")) <= FEW, F.col("by_class")).otherwise(F.col("by_bounds"))
-    both = both.withColumn("more", F.coalesce(more, F.lit(0)))
-    gap = _rows(both.where("more > 0"), GAP, F.lit(capacity), F.col("so_far"), F.col("more"))
-    counter = _rows(both, OPENED, F.lit(0), F.col("so_far") + F.col("more"), F.lit(0))
-    return state.where(F.col("kind") < OPENED).unionByName(gap).unionByName(counter).coalesce(1)
-
-
-def _brackets(state: DataFrame) -> DataFrame:
-    """Gaps and lengths in order, numbered (`at`), with the depths [lo, hi) that each opens or closes."""
-    order = Window.orderBy(F.col("size").desc(), "kind", "first")
-    till = order.rowsBetween(Window.unboundedPreceding, 0)
-    is_gap = F.col("kind") == GAP
-    events = state.where(F.col("kind") < OPENED)
-    events = events.withColumns({"at": F.row_number().over(order), "sum": F.sum(F.when(is_gap, F.col("n")).otherwise(-F.col("n"))).over(till)})
-    # where the sum falls below all before, a length finds no gap for so many of its pieces
-    events = events.withColumn("short", -F.least(F.lit(0), F.min("sum").over(till)))
-    events = events.withColumn("depth", F.col("sum") + F.col("short"))
-    before, lacking = F.coalesce(F.lag("depth").over(order), F.lit(0)), F.col("short") - F.coalesce(F.lag("short").over(order), F.lit(0))
-    events = events.withColumns({"before": before, "matched": F.when(is_gap, F.col("n")).otherwise(F.col("n") - lacking)})
-    low = F.when(is_gap, F.col("before")).otherwise(F.col("before") - F.col("matched"))
-    return events.select("at", "kind", "size", "first", "n", "matched", low.alias("lo"), (low + F.col("matched")).alias("hi"))
-
-
-def _matches(events: DataFrame) -> DataFrame:
-    """gap, gap_at, seq, at, size, rank, n: n ranks of a length from `rank` on go to n sequences from `seq` on."""
-    events = events.where("hi > lo")
-    by_value = Window.orderBy("v")
-    cuts = events.select(F.explode(F.array("lo", "hi")).alias("v")).distinct()
-    cuts = cuts.select("v", F.row_number().over(by_value).alias("cell"), (F.lead("v").over(by_value) - F.col("v")).alias("width"))
-    spans = events.join(cuts.select(F.col("v").alias("lo"), F.col("cell").alias("from")), "lo").join(cuts.select(F.col("v").alias("hi"), F.col("cell").alias("to")), "hi")
-    cells = spans.withColumn("cell", F.explode(F.sequence(F.col("from"), F.col("to") - 1))).join(cuts, "cell")
-    above = F.lag(F.struct("at", "size", "first", "lo")).over(Window.partitionBy("cell").orderBy("at"))
-    cells = cells.withColumn("gap", above).where(F.col("kind") == LEFT)
-    each = cells.groupBy("gap", "at", "size", "first", "lo").agg(F.min("v").alias("v"), F.sum("width").alias("n"))
-    seq, rank = F.col("gap.first") + F.col("v") - F.col("gap.lo"), F.col("first") + F.col("v") - F.col("lo")
-    return each.select(F.col("gap.size").alias("gap"), F.col("gap.at").alias("gap_at"), seq.alias("seq"), "at", "size", rank.alias("rank"), "n")
-
-
-def _again(events: DataFrame) -> DataFrame:
-    """The matches with `again`, how many more pieces of the same length each sequence takes: tightest gaps first, as
-    long as the length lasts and fits; and `next_rank`, where the ranks of these begin."""
-    lengths = events.where(F.col("kind") == LEFT).select("at", (F.col("n") - F.col("matched")).alias("over"), (F.col("first") + F.col("matched")).alias("over_rank"))
-    parts = _matches(events).join(lengths, "at").withColumn("room", F.floor((F.col("gap") - F.col("size")) / F.col("size")) * F.col("n"))
-    before = Window.partitionBy("at").orderBy("gap", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    free = F.greatest(F.col("over") - F.coalesce(F.sum("room").over(before), F.lit(0)), F.lit(0))
-    parts = parts.withColumn("again", F.floor(F.least(free, F.col("room")) / F.col("n")))
-    taken = F.coalesce(F.sum(F.col("again") * F.col("n")).over(before), F.lit(0))
-    return parts.withColumn("next_rank", F.col("over_rank") + taken)
+Class = tuple[int, int, int]  # size, first, n
+
+
+def to_open(gaps: list[Class], left: list[Class], capacity: int) -> int:
+    """How many new sequences the longest piece asks for; none if it fits a gap."""
+    top_gap = max((size for size, _, _ in gaps), default=0)
+    big = sorted(((size, n) for size, _, n in left if size > top_gap), reverse=True)
+    if not big:
+        return 0
+    if capacity // min(size for size, _, _ in left) <= FEW:
+        fit = capacity // big[0][0]
+        return -(-sum(n for size, n in big if capacity // size == fit) // fit)
+    longer, bounds = 0, [-(-sum(size * n for size, n in big) // capacity)]
+    for size, n in big:
+        longer += n
+        bounds.append(-(-longer // (capacity // size)))
+    return max(bounds)
+
+
+def sweep(gaps: list[Class], left: list[Class]) -> tuple[list[tuple[int, int, int, int, int]], list[Class]]:
+    """One sweep over both, long to short: (size, gap, seq, rank, n) of what is matched, and the gaps not taken."""
+    events = sorted([(-size, GAP, first, n) for size, first, n in gaps] + [(-size, LEFT, first, n) for size, first, n in left])
+    open_, matched = [], []
+    for minus, kind, first, n in events:
+        if kind == GAP:
+            open_.append((-minus, first, n))
+            continue
+        while n and open_:
+            gap, seq, free = open_.pop()
+            take = min(n, free)
+            matched.append((-minus, gap, seq + free - take, first, take))
+            first, n = first + take, n - take
+            if take < free:
+                open_.append((gap, seq, free - take))
+    return matched, open_
+
+
+def superstep(gaps: list[Class], left: list[Class], opened: int, capacity: int) -> tuple[list[Class], list[Class], int, list[tuple[int, int, int, int, int]]]:
+    """Gaps, lengths and the number of sequences after one sweep, and (size, rank, n, seq, offset) of what it placed."""
+    more = to_open(gaps, left, capacity)
+    matched, rest = sweep([*gaps, (capacity, opened, more)] if more else gaps, left)
+    of: dict[int, list] = {}
+    for size, gap, seq, rank, n in matched:
+        of.setdefault(size, []).append((gap, seq, rank, n))
+    placed, still = [], []
+    for size, first, n in left:
+        parts = sorted(of.get(size, []))
+        taken = sum(part[3] for part in parts)
+        first, n = first + taken, n - taken
+        for gap, seq, rank, width in parts:
+            placed.append((size, rank, width, seq, capacity - gap))
+            again = min(gap // size - 1, n // width)
+            for layer in range(1, again + 1):
+                placed.append((size, first, width, seq, capacity - gap + layer * size))
+                first, n = first + width, n - width
+            if gap > size * (again + 1):
+                rest.append((gap - size * (again + 1), seq, width))
+        if n:
+            still.append((size, first, n))
+    return rest, still, opened + more, placed
 
 
 def _superstep(state: DataFrame, capacity: int) -> DataFrame:
-    """The state after one sweep, and the rows that it placed. One file is one partition, so nothing is shuffled."""
-    opened = _opened(state.where(F.col("kind") < PLACED).coalesce(1), capacity)
-    events = materialize(_brackets(opened), "events").coalesce(1)
-    parts = materialize(_again(events), "matches").coalesce(1)
-    layers = parts.withColumn("layer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("again"))))
-    rank = F.when(F.col("layer") == 0, F.col("rank")).otherwise(F.col("next_rank") + (F.col("layer") - 1) * F.col("n"))
-    placed = _rows(layers, PLACED, F.col("size"), rank, F.col("n"), F.col("seq"), F.lit(capacity) - F.col("gap") + F.col("layer") * F.col("size"))
-    smaller = F.col("gap") - F.col("size") * (F.col("again") + 1)
-    shrunk = _rows(parts.where(smaller > 0), GAP, smaller, F.col("seq"), F.col("n"))
-    used = parts.groupBy(F.col("gap_at").alias("at")).agg(F.sum("n").alias("used"))
-    still = F.col("n") - F.coalesce("used", F.lit(0))
-    kept = _rows(events.where(F.col("kind") == GAP).join(used, "at", "left").where(still > 0), GAP, F.col("size"), F.col("first"), still)
-    more = parts.groupBy("at").agg(F.sum(F.col("again") * F.col("n")).alias("more"))
-    gone = F.col("matched") + F.coalesce("more", F.lit(0))
-    left = _rows(events.where(F.col("kind") == LEFT).join(more, "at", "left").where(F.col("n") > gone), LEFT, F.col("size"), F.col("first") + gone, F.col("n") - gone)
-    counter = opened.where(F.col("kind") == OPENED).select(*STATE)
-    stepped = materialize(placed.unionByName(shrunk).unionByName(kept).unionByName(left).unionByName(counter).coalesce(1), "state")
-    release(events, parts)
-    return stepped
+    """The state after one sweep with the rows that it placed: one task, as the classes are few whatever the input."""
+
+    def run(batches):
+        rows = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
+        of = lambda kind: [r[1:] for r in rows if r[0] == kind]
+        gaps, left, opened, placed = superstep(of(GAP), of(LEFT), of(OPENED)[0][1], capacity)
+        out = [(GAP, *g, None, None) for g in gaps] + [(LEFT, *c, None, None) for c in left] + [(OPENED, 0, opened, 0, None, None)] + [(PLACED, *r) for r in placed]
+        kinds = (pa.int32(), *(pa.int64(),) * 5)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=list(STATE))
+
+    before = state.where(F.col("kind") < PLACED).select(*STATE[:4]).coalesce(1)
+    return materialize(before.mapInArrow(run, "kind int, size long, first long, n long, seq long, offset long"), "state")
 
 
 def place_classes(lengths: DataFrame, capacity: int) -> DataFrame:
     """size, first (rank among the pieces of that length), n, seq and offset: where all pieces of `lengths` (length,
     n) go, n ranks from `first` on to n sequences from `seq` on."""
+    row = lambda kind, size, first, n: (F.lit(kind).alias("kind"), *(v.cast("long").alias(c) for v, c in zip((size, first, n, F.lit(None), F.lit(None)), STATE[1:], strict=True)))
     zero = F.lit(0)
-    start = _rows(lengths.sparkSession.range(1), OPENED, zero, zero, zero)
-    state = materialize(_rows(lengths.where("n > 0"), LEFT, F.col("length"), zero, F.col("n")).unionByName(start).coalesce(1), "state")
+    start = lengths.sparkSession.range(1).select(*row(OPENED, zero, zero, zero))
+    state = materialize(lengths.where("n > 0").select(*row(LEFT, F.col("length"), zero, F.col("n"))).unionByName(start).coalesce(1), "state")
     steps = [state._sumi_path]
     while not state.where(F.col("kind") == LEFT).isEmpty():
         state = _superstep(state, capacity)

@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from sumi.llm.packing import WordIds, pack, place_classes
+from sumi.llm.packing import WordIds, pack, place_classes, superstep
 from sumi.llm.token_counts import UnitCounter, count_tokens
 
 MODEL, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -123,6 +123,22 @@ def test_supersteps_pack_like_sequential_best_fit(spark, kind):
         assert len(places) <= best_fit(counts, 256)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_supersteps_against_sequential_best_fit(seed):
+    """Many random tables, without Spark."""
+    rng = np.random.default_rng(seed)
+    low, high = sorted(rng.integers(1, 2049, 2).tolist())
+    counts = Counter(rng.integers(low, high + 1, int(rng.integers(1, 5000))).tolist())
+    gaps, left, opened, total = [], [(size, 0, n) for size, n in counts.items()], 0, 0
+    for _ in range(5000):
+        if not left:
+            break
+        gaps, left, opened, placed = superstep(gaps, left, opened, 2048)
+        total += sum(n for _, _, n, _, _ in placed)
+    assert total == sum(counts.values())
+    assert opened <= 1.02 * best_fit(counts, 2048) + 1
+
+
 def test_ids_of_any_kind(spark):
     frame = spark.createDataFrame([("a", "some words"), (None, None), ("b", "x " * 3000)], "doc_id string, text string")
     assert sorted((r.doc_id or "", r.piece) for r in pack(frame, WORDS).collect()) == [("", 0), ("a", 0), ("b", 0), ("b", 1)]
