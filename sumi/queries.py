@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -65,6 +66,34 @@ lab AS (SELECT image_id, y, x, dense_rank() OVER (PARTITION BY image_id ORDER BY
 st AS (SELECT image_id, label, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area FROM lab GROUP BY ALL)"""
 
 
+DOUBLE = lambda v: f"{v:.17e}::DOUBLE"
+
+
+def _level_sql(source: str, out: str) -> str:
+    """Otsu's threshold of any pixel table, as `out` (image_id, t)."""
+    return f"""{out}_h AS (SELECT image_id, v, count(*) AS n FROM {source} GROUP BY ALL),
+{out}_c AS (SELECT image_id, v, sum(n) OVER a AS total, sum(n * v) OVER a AS mass, sum(n) OVER u AS below, sum(n * v) OVER u AS below_mass FROM {out}_h WINDOW a AS (PARTITION BY image_id), u AS (PARTITION BY image_id ORDER BY v)),
+{out}_s AS (SELECT *, CASE WHEN below < total THEN (mass * below - total * below_mass)::DOUBLE * (mass * below - total * below_mass)::DOUBLE / (below * (total - below))::DOUBLE END AS s FROM {out}_c),
+{out} AS (SELECT image_id, coalesce(min(v) FILTER (WHERE s = m), 0) AS t FROM (SELECT *, max(s) OVER (PARTITION BY image_id) AS m FROM {out}_s) GROUP BY image_id)"""
+
+
+#: Structuring elements as conditions on the offsets dy and dx.
+CROSS, FLAT, TALL = "abs(dy) + abs(dx) <= 1", "dy = 0 AND abs(dx) <= 1", "dx = 0 AND abs(dy) <= 1"
+ROUND5 = "(abs(dy) <= 1 AND abs(dx) <= 2) OR (abs(dy) = 2 AND dx = 0)"
+
+
+def _extreme_sql(source: str, pick: str, shape: str, out: str) -> str:
+    """The least or greatest of each pixel's neighbours within a symmetric element."""
+    near = f"(SELECT dy, dx FROM (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) WHERE {shape})"
+    return f"{out} AS (SELECT a.image_id, a.y, a.x, {pick}(b.v) AS v FROM {source} AS a, {near} AS t, {source} AS b WHERE b.image_id = a.image_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY a.image_id, a.y, a.x)"
+
+
+def _steps_sql(source: str, out: str, *steps: tuple[str, str]) -> str:
+    """Several of them in a row, the last as `out`."""
+    names = [source, *(f"{out}_{k}" for k in range(1, len(steps))), out]
+    return ", ".join(_extreme_sql(a, pick, shape, b) for a, b, (pick, shape) in zip(names, names[1:], steps, strict=False))
+
+
 def with_(*parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} "
 
@@ -147,6 +176,54 @@ def mask_algebra(spark, sf_dir):
     return a.join(b, ["image_id", "y", "x"]).select("image_id", "y", "x", P.subtract(v, u).alias("minus"), F.abs(v - u).alias("difference"), v.bitwiseOR(u).alias("either"), v.bitwiseAND(255 - u).alias("only_first"))
 
 
+# ---- stencils and edges in SQL ---------------------------------------------------------------------------------
+
+
+def _stencil_sql(weights: dict, name: str, source: str = "px") -> str:
+    mirror = lambda c: f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > 7 THEN 14 - ({c}) ELSE {c} END"
+    rows = ", ".join(f"({dy}, {dx}, {k})" for (dy, dx), k in weights.items())
+    return f"{name} AS (SELECT a.image_id, a.y, a.x, sum(k * b.v)::BIGINT AS n FROM {source} AS a, (VALUES {rows}) AS t(dy, dx, k), {source} AS b WHERE b.image_id = a.image_id AND b.y = {mirror('a.y + dy')} AND b.x = {mirror('a.x + dx')} GROUP BY a.image_id, a.y, a.x)"
+
+
+GX = {(-1, -1): -1, (-1, 1): 1, (0, -1): -2, (0, 1): 2, (1, -1): -1, (1, 1): 1}
+GY = {(x, y): k for (y, x), k in GX.items()}
+LAP = {(-1, -1): 2, (-1, 1): 2, (1, -1): 2, (1, 1): 2, (0, 0): -8}
+
+
+def _canny_sql(source: str, low: str, high: str, out: str) -> str:
+    """Canny edges of a pixel table as `out` (image_id, y, x, v). The limits may use `median`; rasters of 8 by 8."""
+    step = f"CASE WHEN abs(gy) <= abs(gx) * {DOUBLE(math.tan(math.pi / 8))} THEN 0 WHEN abs(gy) >= abs(gx) * {DOUBLE(math.tan(3 * math.pi / 8))} THEN 1 WHEN (gx >= 0) = (gy >= 0) THEN 2 ELSE 3 END"
+    return f"""{_stencil_sql(GX, out + "_gx", source)}, {_stencil_sql(GY, out + "_gy", source)},
+{out}_m AS (SELECT image_id, y, x, abs(gx) + abs(gy) AS m, CASE d WHEN 1 THEN 0 ELSE -1 END * CASE d WHEN 3 THEN -1 ELSE 1 END AS dx, CASE d WHEN 0 THEN 0 ELSE -1 END AS dy
+  FROM (SELECT *, {step} AS d FROM (SELECT a.image_id, a.y, a.x, a.n AS gx, b.n AS gy FROM {out}_gx AS a JOIN {out}_gy AS b USING (image_id, y, x)))),
+{out}_t AS (SELECT image_id, {low} AS low, {high} AS high FROM (SELECT image_id, quantile_cont(v, 0.5) AS median FROM {source} GROUP BY image_id)),
+{out}_p AS (SELECT m.image_id, m.y, m.x, m.m > t.high AS strong FROM {out}_m AS m JOIN {out}_t AS t USING (image_id)
+  LEFT JOIN {out}_m AS b ON b.image_id = m.image_id AND b.y = m.y + m.dy AND b.x = m.x + m.dx LEFT JOIN {out}_m AS c ON c.image_id = m.image_id AND c.y = m.y - m.dy AND c.x = m.x - m.dx
+  WHERE m.m > coalesce(b.m, 0) AND m.m >= coalesce(c.m, 0) AND m.m > t.low),
+{out}_w AS (SELECT image_id, y, x FROM {out}_p WHERE strong UNION SELECT p.image_id, p.y, p.x FROM {out}_w AS w JOIN {out}_p AS p ON p.image_id = w.image_id AND abs(p.y - w.y) <= 1 AND abs(p.x - w.x) <= 1),
+{out} AS (SELECT s.image_id, s.y, s.x, CASE WHEN w.y IS NULL THEN 0 ELSE 255 END AS v FROM {source} AS s LEFT JOIN {out}_w AS w USING (image_id, y, x))"""
+
+
+def _median_canny(source: str, low: float, high: float, out: str) -> str:
+    return _canny_sql(source, f"greatest(0.0::DOUBLE, {DOUBLE(low)} * median)", f"least(255.0::DOUBLE, {DOUBLE(high)} * median)", out)
+
+
+DISC = ", ".join(f"({dy}, {dx})" for dy in range(-2, 3) for dx in range(-2, 3) if dy * dy + dx * dx <= 4)
+
+
+def _bilateral_sql(source: str, out: str) -> str:
+    mirror = lambda c: f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > 7 THEN 14 - ({c}) ELSE {c} END"
+    return f"""{out} AS (SELECT image_id, y, x, greatest(0, least(255, round_even(sum(k * u) / sum(k), 0)))::INT AS v FROM (
+SELECT a.image_id, a.y, a.x, b.v AS u, exp(-(dy * dy + dx * dx) / 450.0::DOUBLE - (b.v - a.v) * (b.v - a.v) / 1800.0::DOUBLE) AS k FROM {source} AS a, (VALUES {DISC}) AS t(dy, dx), {source} AS b
+WHERE b.image_id = a.image_id AND b.y = {mirror("a.y + dy")} AND b.x = {mirror("a.x + dx")}) GROUP BY image_id, y, x)"""
+
+
+def _heal_sql(source: str, out: str) -> str:
+    """Closings of the inverted raster by a cross, a row and a column, inverted back."""
+    closed = _steps_sql(out + "_n", out + "_c", *((pick, shape) for shape in (CROSS, FLAT, TALL) for pick in ("max", "min")))
+    return f"{out}_n AS (SELECT image_id, y, x, 255 - v AS v FROM {source}), {closed}, {out} AS (SELECT image_id, y, x, 255 - v AS v FROM {out}_c)"
+
+
 # ---- thresholds -------------------------------------------------------------------------------------------------
 
 
@@ -197,11 +274,6 @@ def fill_ratio(spark, sf_dir):
     return P.otsu_ink(_together(spark, sf_dir)).groupBy("image_id").agg(F.sum("ink").alias("ink_pixels"), F.count("*").alias("pixels"))
 
 
-@query()
-def threshold_cascade(spark, sf_dir):
-    return pixel_rows(_rasters(spark, sf_dir), lambda x: K.cascade(x, "auto", "auto"))
-
-
 def _smooth_sql(size: int, mode: str) -> str:
     """Gaussian means of px as CTEs that end in sm (image_id, y, x, v, mean); edges mirrored or repeated."""
     place = lambda c: f"greatest(0, least(7, {c}))" if mode == "edge" else f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > 7 THEN 14 - ({c}) ELSE {c} END"
@@ -211,6 +283,22 @@ sm0 AS (SELECT a.image_id, a.y, a.x, any_value(a.v) AS v, sum(k1.w * b.v) AS m F
 sm AS (SELECT a.image_id, a.y, a.x, any_value(a.v) AS v, greatest(0, least(255, round_even(sum(k1.w * b.m), 0)))::INT AS mean FROM sm0 AS a JOIN k1 ON true JOIN sm0 AS b ON b.image_id = a.image_id AND b.y = a.y AND b.x = {place("a.x + k1.d")} GROUP BY a.image_id, a.y, a.x)"""
 
 
+def _polar_sql(source: str, out: str) -> str:
+    """A mask (v, on) inverted where its class is the darker one, and its fill."""
+    return f"""{out}_i AS (SELECT image_id, coalesce(avg(v) FILTER (WHERE "on"), 255) < coalesce(avg(v) FILTER (WHERE NOT "on"), 0) AS inverted FROM {source} GROUP BY image_id),
+{out} AS (SELECT s.image_id, s.y, s.x, s."on" <> i.inverted AS "on", avg((s."on" <> i.inverted)::INT) OVER (PARTITION BY s.image_id) AS fill FROM {source} AS s JOIN {out}_i AS i USING (image_id))"""
+
+
+CASCADE = with_(PX, _level_sql("px", "o"), 'm1 AS (SELECT px.image_id, y, x, v, v > t AS "on" FROM px JOIN o USING (image_id))', _polar_sql("m1", "p1"), _smooth_sql(21, "edge"),
+    'm2 AS (SELECT image_id, y, x, v, v > mean - 5 AS "on" FROM sm)', _polar_sql("m2", "p2"), _median_canny("px", 0.66, 1.33, "e"), _steps_sql("e", "p3", ("max", ROUND5), ("max", ROUND5), ("min", ROUND5), ("min", ROUND5)), recursive=True)
+
+
+@query(CASCADE + """SELECT image_id, y, x, CASE WHEN p1.fill BETWEEN 0.02::DOUBLE AND 0.98::DOUBLE THEN p1."on"::INT * 255 WHEN p2.fill BETWEEN 0.02::DOUBLE AND 0.98::DOUBLE THEN p2."on"::INT * 255 ELSE p3.v END AS v
+FROM p1 JOIN p2 USING (image_id, y, x) JOIN p3 USING (image_id, y, x)""")
+def threshold_cascade(spark, sf_dir):
+    return pixel_rows(_rasters(spark, sf_dir), lambda x: K.cascade(x, "auto", "auto"))
+
+
 @query(with_(PX, _smooth_sql(5, "edge")) + "SELECT image_id, y, x, CASE WHEN v > mean - 5 THEN 255 ELSE 0 END AS v FROM sm")
 def adaptive_gaussian(spark, sf_dir):
     return pixel_rows(_rasters(spark, sf_dir), lambda x: K.bright_adaptive(x, 5, 5))
@@ -362,7 +450,22 @@ def _frames(spark, sf_dir):
     return map_raster(_stretched_rasters(spark, sf_dir), lambda x: np.pad(np.pad(np.kron(x, np.ones((4, 4), np.uint8)), 6, constant_values=255), ((0, 0), (2, 2)), constant_values=0))
 
 
-@query()
+#: Framed scans: 4 by 4 pixels for each of a raster, 6 white ones around, two dark columns at either side.
+FRAMES = """fr AS (SELECT i.image_id, r.y, c.x, CASE WHEN c.x < 2 OR c.x >= 46 THEN 0 WHEN r.y < 6 OR r.y >= 38 OR c.x < 8 OR c.x >= 40 THEN 255 ELSE p.v END AS v
+  FROM (SELECT DISTINCT image_id FROM px) AS i CROSS JOIN (SELECT unnest(range(44))::INT AS y) AS r CROSS JOIN (SELECT unnest(range(48))::INT AS x) AS c
+  LEFT JOIN px AS p ON p.image_id = i.image_id AND p.y = (r.y - 6) // 4 AND p.x = (c.x - 8) // 4 AND r.y BETWEEN 6 AND 37 AND c.x BETWEEN 8 AND 39)"""
+
+
+def _spike_sql(place: str, out: str) -> str:
+    """The longest border spike of the nine outermost columns, which `place` counts from 0: `out` (image_id, s, e)."""
+    return f"""{out}_m AS (SELECT image_id, {place} AS pos, mass, top FROM cover WHERE {place} < 9),
+{out}_r AS (SELECT image_id, any_value(top) AS top, min(pos) AS s, max(pos) + 1 AS e, sum(mass) AS m FROM (SELECT *, pos - row_number() OVER (PARTITION BY image_id ORDER BY pos) AS island FROM {out}_m WHERE mass * 20 >= top * 7) GROUP BY image_id, island),
+{out}_a AS (SELECT r.image_id, r.top, r.s, r.e, r.m, sum(a.mass) AS after, count(*) AS n FROM {out}_r AS r JOIN {out}_m AS a ON a.image_id = r.image_id AND a.pos >= r.e AND a.pos < 2 * r.e - r.s GROUP BY ALL),
+{out} AS (SELECT image_id, s, e FROM {out}_a WHERE e < 9 AND s <= 4 AND e - s <= 3 AND (m * n - after * (e - s)) * 5 >= top * 2 * (e - s) * n AND (m * n - after * (e - s)) * 2 >= m * n QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY e - s DESC, s) = 1)"""
+
+
+@query(with_(ST, FRAMES, _level_sql("fr", "o"), "cover AS (SELECT *, max(mass) OVER (PARTITION BY image_id) AS top FROM (SELECT fr.image_id, x, count(*) FILTER (WHERE v <= t) AS mass FROM fr JOIN o USING (image_id) GROUP BY ALL))",
+             _spike_sql("x", "l"), _spike_sql("47 - x", "r")) + "SELECT i.image_id, coalesce(l.e, 0)::INT AS left_cut, coalesce(r.s + 1, 0)::INT AS right_cut FROM (SELECT DISTINCT image_id FROM px) AS i LEFT JOIN l USING (image_id) LEFT JOIN r USING (image_id)")
 def border_cuts(spark, sf_dir):
     how = Border()
     return each_raster(_frames(spark, sf_dir), lambda key, x: [(int(key), *G.border_cuts(K.ink_otsu(x), how))], "image_id long, left_cut int, right_cut int")
@@ -485,7 +588,40 @@ def noise_removed(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: G.remove_noise(x, NOISE))
 
 
-@query()
+def _parts_sql(source: str, on: str, out: str) -> str:
+    """8-connected parts of the pixels that meet a condition: `out` (image_id, y, x, v, label) and `out`_s, their boxes."""
+    return f"""{out}_p AS ({on}), {out}_w AS (SELECT image_id, y * 8 + x AS root, y, x FROM {out}_p
+  UNION SELECT w.image_id, w.root, p.y, p.x FROM {out}_w AS w JOIN {out}_p AS p ON p.image_id = w.image_id AND abs(p.y - w.y) <= 1 AND abs(p.x - w.x) <= 1 WHERE w.root <= p.y * 8 + p.x),
+{out} AS (SELECT w.image_id, w.y, w.x, any_value(s.v) AS v, min(w.root) AS label FROM {out}_w AS w JOIN {source} AS s USING (image_id, y, x) GROUP BY w.image_id, w.y, w.x),
+{out}_s AS (SELECT image_id, label, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area, avg(v) AS mean, stddev_pop(v) AS spread FROM {out} GROUP BY ALL)"""
+
+
+def _painted_sql(source: str, parts: str, bad: str, out: str) -> str:
+    """Parts named by `bad` (image_id, label) painted with the median of the ring of radius 5 around them."""
+    return f"""{out}_h AS (SELECT unnest(range(-5, 6)) AS dy, unnest([0, 3, 4, 5, 5, 5, 5, 5, 4, 3, 0]) AS half), {out}_b AS (SELECT s.* FROM {parts}_s AS s JOIN {bad} USING (image_id, label)),
+{out}_r AS (SELECT DISTINCT l.image_id, l.label, p.y, p.x, p.v FROM {parts} AS l JOIN {bad} USING (image_id, label) JOIN {out}_h ON true JOIN {source} AS p ON p.image_id = l.image_id AND p.y = l.y + dy AND abs(p.x - l.x) <= half
+  WHERE NOT EXISTS (SELECT 1 FROM {parts} AS o WHERE o.image_id = l.image_id AND o.label = l.label AND o.y = p.y AND o.x = p.x)),
+{out}_m AS (SELECT image_id, label, trunc(quantile_cont(v, 0.5))::INT AS ground FROM {out}_r GROUP BY ALL),
+{out}_e AS (SELECT b.image_id, b.label, trunc(quantile_cont(s.v, 0.5))::INT AS ground FROM {out}_b AS b JOIN {source} AS s ON s.image_id = b.image_id AND s.y BETWEEN b.y - 5 AND b.y + b.h + 4 AND s.x BETWEEN b.x - 5 AND b.x + b.w + 4 GROUP BY ALL),
+{out}_g AS (SELECT e.image_id, e.label, coalesce(m.ground, e.ground) AS ground FROM {out}_e AS e LEFT JOIN {out}_m AS m USING (image_id, label)),
+{out} AS (SELECT s.image_id, s.y, s.x, coalesce(g.ground, s.v) AS v FROM {source} AS s LEFT JOIN {parts} AS l USING (image_id, y, x) LEFT JOIN {out}_g AS g ON g.image_id = l.image_id AND g.label = l.label)"""
+
+
+def _dual_sql(least: int, most: int, out: str) -> str:
+    """Parts between 0.7 and 1.2 times Otsu's threshold that look like noise: edges of each part's mask give its rim."""
+    return ", ".join((
+        _level_sql("px", "o"),
+        _parts_sql("px", "SELECT px.* FROM px JOIN o USING (image_id) WHERE v <= trunc(t * 1.2::DOUBLE) AND v > trunc(t * 0.7::DOUBLE)", "part"),
+        f"sized AS (SELECT * FROM part_s WHERE area BETWEEN {least} AND {most})",
+        "lone AS (SELECT sized.image_id * 64 + sized.label AS image_id, px.y, px.x, CASE WHEN part.label IS NULL THEN 0 ELSE 255 END AS v FROM sized JOIN px USING (image_id) LEFT JOIN part ON part.image_id = px.image_id AND part.y = px.y AND part.x = px.x AND part.label = sized.label)",
+        _canny_sql("lone", "50", "150", "rim"),
+        "rims AS (SELECT image_id // 64 AS image_id, image_id % 64 AS label, sum(v // 255) AS rim FROM rim GROUP BY ALL)",
+        """bad AS (SELECT image_id, label FROM sized JOIN rims USING (image_id, label) WHERE greatest(w, h) / least(w, h) > 8 OR CASE WHEN rim = 0 THEN 0 ELSE 4 * pi() * area / (rim * rim) END < 0.1::DOUBLE OR (mean > 180 AND spread < 20))""",
+        _painted_sql("px", "part", "bad", out),
+    ))
+
+
+@query(with_(ST, _dual_sql(2, 57, "out"), recursive=True) + "SELECT image_id, y, x, v FROM out")
 def noise_removed_dual(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: G.remove_noise_dual(x, least=2, most=0.9))
 
@@ -504,7 +640,7 @@ def noise_removed_band(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: G.remove_noise_band(x, (150, 220), 2))
 
 
-@query()
+@query(with_(ST, _dual_sql(5, 6, "mid"), _parts_sql("mid", "SELECT * FROM mid WHERE v BETWEEN 150 AND 220", "band"), "worse AS (SELECT image_id, label FROM band_s WHERE area >= 5)", _painted_sql("mid", "band", "worse", "out"), recursive=True) + "SELECT image_id, y, x, v FROM out")
 def noise_removed_hybrid(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), G.remove_noise_hybrid)
 
@@ -550,25 +686,16 @@ def blackhat3(spark, sf_dir):
     return pixel_rows(_rasters(spark, sf_dir), lambda x: K.blackhat(x, SQUARE))
 
 
-@query()
+@query(with_(ST, _bilateral_sql("px", "soft"), _heal_sql("soft", "out")) + "SELECT image_id, y, x, v FROM out")
 def stroke_heal(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: K.heal(x, smooth=True))
 
 
-@query()
+@query(with_(ST, _level_sql("px", "o"), "b AS (SELECT px.image_id, y, x, CASE WHEN v > t THEN 255 ELSE 0 END AS v FROM px JOIN o USING (image_id))", _steps_sql("b", "out", ("max", CROSS), ("max", CROSS), ("min", CROSS), ("min", CROSS), ("min", CROSS), ("max", CROSS))) + "SELECT image_id, y, x, v FROM out")
 def morph_cleanup(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: K.cleanup(K.bright_otsu(x), 3, 3))
 
 
-def _stencil_sql(weights: dict, name: str) -> str:
-    mirror = lambda c: f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > 7 THEN 14 - ({c}) ELSE {c} END"
-    rows = ", ".join(f"({dy}, {dx}, {k})" for (dy, dx), k in weights.items())
-    return f"{name} AS (SELECT a.image_id, a.y, a.x, sum(k * b.v)::BIGINT AS n FROM px AS a, (VALUES {rows}) AS t(dy, dx, k), px AS b WHERE b.image_id = a.image_id AND b.y = {mirror('a.y + dy')} AND b.x = {mirror('a.x + dx')} GROUP BY a.image_id, a.y, a.x)"
-
-
-GX = {(-1, -1): -1, (-1, 1): 1, (0, -1): -2, (0, 1): 2, (1, -1): -1, (1, 1): 1}
-GY = {(x, y): k for (y, x), k in GX.items()}
-LAP = {(-1, -1): 2, (-1, 1): 2, (1, -1): 2, (1, 1): 2, (0, 0): -8}
 SOBEL = with_(PX, _stencil_sql(GX, "gx"), _stencil_sql(GY, "gy")) + "SELECT gx.image_id, gx.y, gx.x, gx.n * gx.n + gy.n * gy.n AS mag2 FROM gx JOIN gy USING (image_id, y, x)"
 
 
@@ -598,33 +725,64 @@ def gaussian_blur(spark, sf_dir):
     return pixel_rows(_rasters(spark, sf_dir), lambda x: K.gaussian(x, 5))
 
 
-MIRROR = lambda c: f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > 7 THEN 14 - ({c}) ELSE {c} END"
-DISC = ", ".join(f"({dy}, {dx})" for dy in range(-2, 3) for dx in range(-2, 3) if dy * dy + dx * dx <= 4)
-
-
-@query(with_(PX) + f"""SELECT image_id, y, x, greatest(0, least(255, round_even(sum(k * u) / sum(k), 0)))::INT AS v FROM (
-SELECT a.image_id, a.y, a.x, b.v AS u, exp(-(dy * dy + dx * dx) / 450.0::DOUBLE - (b.v - a.v) * (b.v - a.v) / 1800.0::DOUBLE) AS k FROM px AS a, (VALUES {DISC}) AS t(dy, dx), px AS b
-WHERE b.image_id = a.image_id AND b.y = {MIRROR("a.y + dy")} AND b.x = {MIRROR("a.x + dx")}) GROUP BY image_id, y, x""")
+@query(with_(PX, _bilateral_sql("px", "out")) + "SELECT image_id, y, x, v FROM out")
 def bilateral(spark, sf_dir):
     return pixel_rows(_rasters(spark, sf_dir), lambda x: K.bilateral(x, 5, 30, 15))
 
 
-@query()
+@query(with_(ST, _median_canny("px", 0.66, 1.33, "e"), recursive=True) + "SELECT image_id, y, x, v FROM e")
 def canny(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: K.canny_median(x, 0.66, 1.33))
 
 
-@query()
+def _stretch_sql(source: str, value: str, out: str) -> str:
+    """A column stretched to 0..255, then what is above Otsu's threshold of that."""
+    return f"""{out}_v AS (SELECT image_id, y, x, CASE WHEN high = low THEN 0 ELSE trunc((u - low) * (255.0::DOUBLE / (high - low)) + 1e-9)::INT END AS v
+  FROM (SELECT *, min(u) OVER w AS low, max(u) OVER w AS high FROM (SELECT image_id, y, x, ({value})::DOUBLE AS u FROM {source}) WINDOW w AS (PARTITION BY image_id))),
+{_level_sql(out + "_v", out + "_o")}, {out} AS (SELECT image_id, y, x, v > t AS "on" FROM {out}_v JOIN {out}_o USING (image_id))"""
+
+
+FUSION = with_(COLOUR, "px AS (SELECT image_id, y, x, ((299 * r + 587 * g + 114 * b + 500) // 1000)::INT AS v FROM cpx)", _smooth_sql(3, "reflect"), "s AS (SELECT image_id, y, x, mean AS v FROM sm)",
+    _median_canny("s", 1 - 0.33, 1 + 0.33, "e"), "sg AS (SELECT a.image_id, a.y, a.x, a.n AS gx, b.n AS gy FROM e_gx AS a JOIN e_gy AS b USING (image_id, y, x))", _stretch_sql("sg", "sqrt((gx * gx + gy * gy)::DOUBLE)", "so"),
+    _stencil_sql(LAP, "la", "s"), _stretch_sql("la", "abs(n)", "lo"), """f AS (SELECT image_id, y, x, CASE WHEN e.v > 0 OR so."on" OR lo."on" THEN 255 ELSE 0 END AS v FROM e JOIN so USING (image_id, y, x) JOIN lo USING (image_id, y, x))""",
+    _steps_sql("f", "out", ("max", CROSS), ("min", CROSS)), recursive=True)
+
+
+@query(FUSION + "SELECT image_id, y, x, v FROM out")
 def edges_fusion(spark, sf_dir):
     return pixel_rows(R.colour_rasters(spark, sf_dir), lambda x: K.texture_edges(x, "fusion"))
 
 
-@query()
+def _clahe_sql(source: str, out: str) -> str:
+    """Two by two tiles of 4 by 4: with clips below 32 counts are cut at 1, so a tile's table needs its distinct values only."""
+    return f"""{out}_t AS (SELECT image_id, y // 4 AS ty, x // 4 AS tx, v FROM {source} GROUP BY ALL), {out}_n AS (SELECT image_id, ty, tx, 16 - count(*) AS over FROM {out}_t GROUP BY ALL),
+{out}_q AS (SELECT image_id, y, x, v, (y + 0.5::DOUBLE) / 4 - 0.5::DOUBLE AS py, (x + 0.5::DOUBLE) / 4 - 0.5::DOUBLE AS pz FROM {source}),
+{out}_r AS (SELECT q.*, dy, dz, CASE dy WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END * CASE dz WHEN 1 THEN pz - floor(pz) ELSE 1 - (pz - floor(pz)) END AS share,
+  greatest(0, least(1, floor(py) + dy)) AS ty, greatest(0, least(1, floor(pz) + dz)) AS tx FROM {out}_q AS q, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS c(dy, dz)),
+{out}_k AS (SELECT r.image_id, r.y, r.x, r.dy, r.dz, any_value(r.share) AS share, greatest(0, least(255, round_even((count(t.v) + any_value(n.over) * (any_value(r.v) + 1) / 256.0::DOUBLE) * 15.9375::DOUBLE, 0))) AS u
+  FROM {out}_r AS r JOIN {out}_n AS n ON n.image_id = r.image_id AND n.ty = r.ty AND n.tx = r.tx LEFT JOIN {out}_t AS t ON t.image_id = r.image_id AND t.ty = r.ty AND t.tx = r.tx AND t.v <= r.v GROUP BY r.image_id, r.y, r.x, r.dy, r.dz),
+{out} AS (SELECT image_id, y, x, round_even(sum(share * u), 0)::INT AS v FROM {out}_k GROUP BY image_id, y, x)"""
+
+
+@query(with_(PX, _clahe_sql("px", "out")) + "SELECT image_id, y, x, v FROM out")
 def clahe(spark, sf_dir):
     return pixel_rows(_rasters(spark, sf_dir), lambda x: K.clahe(x, 2.0, 2))
 
 
-@query()
+U8 = lambda e: f"greatest(0, least(255, round_even({e}, 0)))::INT"
+ENHANCE = with_(COLOUR, f"""y0 AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS l FROM cpx),
+px AS (SELECT image_id, y, x, {U8("l")} AS v, {U8("(r - l) * 0.713::DOUBLE + 128")} AS cr, {U8("(b - l) * 0.564::DOUBLE + 128")} AS cb FROM y0)""", _clahe_sql("px", "eq"), f"""
+rgb AS (SELECT e.image_id, e.y, e.x, {U8("e.v + 1.773::DOUBLE * (cb - 128)")} AS b, {U8("e.v - 0.714::DOUBLE * (cr - 128) - 0.344::DOUBLE * (cb - 128)")} AS g, {U8("e.v + 1.403::DOUBLE * (cr - 128)")} AS r FROM eq AS e JOIN px USING (image_id, y, x)),
+top AS (SELECT *, greatest(b, g, r) AS v, greatest(b, g, r) - least(b, g, r) AS d FROM rgb),
+hue AS (SELECT *, CASE WHEN d = 0 THEN 0.0::DOUBLE WHEN v = r THEN (g - b) / d::DOUBLE * 60 WHEN v = g THEN (2 + (b - r) / d::DOUBLE) * 60 ELSE (4 + (r - g) / d::DOUBLE) * 60 END AS w, CASE WHEN v = 0 THEN 0 ELSE {U8("d / v::DOUBLE * 255")} END AS s0 FROM top),
+hsv AS (SELECT image_id, y, x, (round_even(CASE WHEN w < 0 THEN w + 360 ELSE w END / 2, 0)::INT % 180) / 30.0::DOUBLE AS h, trunc(least(255, s0 * 1.2::DOUBLE)) / 255.0::DOUBLE AS s, v FROM hue),
+part AS (SELECT *, floor(h)::INT % 6 AS k, v * (1 - s) AS p, v * (1 - s * (h - floor(h))) AS q, v * (1 - s * (1 - (h - floor(h)))) AS t FROM hsv),
+vivid AS (SELECT image_id, y, x, {U8("CASE k WHEN 0 THEN v WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE v END")} AS r,
+  {U8("CASE k WHEN 0 THEN t WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN q ELSE p END")} AS g, {U8("CASE k WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN t WHEN 3 THEN v WHEN 4 THEN v ELSE q END")} AS b FROM part),
+lit AS (SELECT image_id, y, x, trunc(pow(r / 255.0::DOUBLE, 1.0::DOUBLE / 1.2::DOUBLE) * 255)::INT AS r, trunc(pow(g / 255.0::DOUBLE, 1.0::DOUBLE / 1.2::DOUBLE) * 255)::INT AS g, trunc(pow(b / 255.0::DOUBLE, 1.0::DOUBLE / 1.2::DOUBLE) * 255)::INT AS b FROM vivid)""")
+
+
+@query(ENHANCE + "SELECT image_id, y, x, ((299 * r + 587 * g + 114 * b + 500) // 1000)::INT AS v FROM lit")
 def enhance(spark, sf_dir):
     return pixel_rows(R.colour_rasters(spark, sf_dir), lambda x: K.gray(K.enhance(x, tiles=2, gamma=1.2)))
 
@@ -636,7 +794,12 @@ def distance_map(spark, sf_dir):
     return pixel_rows(_rasters(spark, sf_dir), lambda x: np.rint(K.distance(np.pad(K.ink_otsu(x), 1)) * 1000))
 
 
-@query()
+#: Erosions by a cross leave what is farther than their number from blank pixels.
+SKELETON = with_(PX, OTSU, """far AS (SELECT a.image_id, a.y, a.x, coalesce(min(abs(a.y - b.y) + abs(a.x - b.x)), 99) AS d FROM ink AS a LEFT JOIN ink AS b ON b.image_id = a.image_id AND b.ink = 0 GROUP BY a.image_id, a.y, a.x),
+near AS (SELECT a.image_id, a.y, a.x, any_value(a.d) AS d, max(b.d) AS top FROM far AS a JOIN far AS b ON b.image_id = a.image_id AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY a.image_id, a.y, a.x)""")
+
+
+@query(SKELETON + "SELECT image_id, y, x, CASE WHEN d > 0 AND top <= d AND d < 99 THEN 255 ELSE 0 END AS v FROM near")
 def skeleton(spark, sf_dir):
     return pixel_rows(_rasters(spark, sf_dir), lambda x: K.skeleton(K.ink_otsu(x)))
 
@@ -663,7 +826,7 @@ def contours_simplified(spark, sf_dir):
     return jobs.extract_contours(R.colour_rasters(spark, sf_dir), replace(SMALL, chain="simple", simplify=0.05, external=False)).select("image_id", F.expr("aggregate(contours, 0L, (a, c) -> a + size(c.points))").alias("n_points"))
 
 
-@query()
+@query(FUSION + "SELECT image_id::VARCHAR AS image_id, string_agg(CASE WHEN v > 0 THEN 'FF' ELSE '00' END, '' ORDER BY y, x) AS edges FROM out GROUP BY image_id")
 def texture_job(spark, sf_dir):
     return jobs.extract_texture(R.colour_rasters(spark, sf_dir), TextureJob(enhance=False)).select("image_id", F.hex("data").alias("edges"))
 
@@ -895,6 +1058,15 @@ def layer_pick(spark, sf_dir):
     return L.tints(L.draws(L.pick(spark, 7)), 7).drop("rgb")
 
 
+@query("SELECT c_custkey AS id, z, 3 AS n, true AS in_range, true AS has_full, 168.3::DOUBLE AS alpha FROM customer, (SELECT unnest(range(7))::INT AS z)")
+def layer_tints(spark, sf_dir):
+    """What every random tint keeps to: three shades from 50 to 255, one of them full, on one opacity."""
+    c = F.col("c_custkey")
+    chosen = spark.read.parquet(f"{sf_dir}/customer.parquet").select(c.alias("id"), *((1 + c % n).cast("int").alias(layer.lower()) for layer, n in L.COUNTS.items()))
+    rgb = F.col("rgb")
+    return L.tints(L.draws(chosen, "id"), 7).select("id", "z", F.size(rgb).alias("n"), ((F.array_min(rgb) >= 50) & (F.array_max(rgb) <= 255)).alias("in_range"), F.array_contains(rgb, 255).alias("has_full"), F.round("alpha", 6).alias("alpha"))
+
+
 # ---- stages -----------------------------------------------------------------------------------------------------
 
 
@@ -981,7 +1153,12 @@ def _always(key: str, png: bytes) -> str:
     return f'{{"single_character": true, "recognizable": {good}, "has_noise": false, "character": "山", "comment": ""}}'
 
 
-@query()
+def _jet_sql(k: int) -> str:
+    return f"round_even(greatest(0, least(1, least(j - {k} + 1.5::DOUBLE, {k} + 1.5::DOUBLE - j))) * 255, 0)::INT"
+
+
+@query(with_(ST, _heal_sql("px", "healed"), "gap AS (SELECT a.image_id, a.y, a.x, abs(a.v - b.v) AS u FROM healed AS a JOIN px AS b USING (image_id, y, x))", _stretch_sql("gap", "u", "far"), "c AS (SELECT image_id, y, x, v / 255.0::DOUBLE * 4 AS j FROM far_v)")
+       + f"SELECT image_id::VARCHAR AS image_id, string_agg(printf('%02X%02X%02X', {_jet_sql(1)}, {_jet_sql(2)}, {_jet_sql(3)}), '' ORDER BY y, x) AS bgr FROM c GROUP BY image_id")
 def jet_colours(spark, sf_dir):
     """Stretched differences of each raster and its healed form, as colours."""
     return map_raster(_stretched_rasters(spark, sf_dir), lambda x: K.jet(K.minmax(np.abs(K.heal(x).astype(int) - x)))).select("image_id", F.hex("data").alias("bgr"))
@@ -1034,7 +1211,8 @@ def segment_overlays(spark, sf_dir):
     return stages.segment_overlay(pages, stages.segment(pages, _detected(pages), Settings())).select("image_id", "height", "width", F.md5("data").alias("md5"))
 
 
-@query()
+@query("""SELECT image_id, CASE WHEN image_id IS NOT NULL THEN 1 END::INT AS region_id, 2 * count(*) AS total_files, count(*) AS accepted, count(*) AS filtered_out, 0::BIGINT AS error
+FROM (SELECT (vec_id // 3)::VARCHAR AS image_id FROM embeddings GROUP BY ALL HAVING count(DISTINCT vec_id) = 3) GROUP BY ROLLUP (image_id)""")
 def judge_report(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     chars = stages.segment(pages, _detected(pages), Settings())
