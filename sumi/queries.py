@@ -456,37 +456,60 @@ FRAMES = """fr AS (SELECT i.image_id, r.y, c.x, CASE WHEN c.x < 2 OR c.x >= 46 T
   LEFT JOIN px AS p ON p.image_id = i.image_id AND p.y = (r.y - 6) // 4 AND p.x = (c.x - 8) // 4 AND r.y BETWEEN 6 AND 37 AND c.x BETWEEN 8 AND 39)"""
 
 
-def _spike_sql(place: str, out: str) -> str:
-    """The longest border spike of the nine outermost columns, which `place` counts from 0: `out` (image_id, s, e)."""
-    return f"""{out}_m AS (SELECT image_id, {place} AS pos, mass, top FROM cover WHERE {place} < 9),
-{out}_r AS (SELECT image_id, any_value(top) AS top, min(pos) AS s, max(pos) + 1 AS e, sum(mass) AS m FROM (SELECT *, pos - row_number() OVER (PARTITION BY image_id ORDER BY pos) AS island FROM {out}_m WHERE mass * 20 >= top * 7) GROUP BY image_id, island),
-{out}_a AS (SELECT r.image_id, r.top, r.s, r.e, r.m, sum(a.mass) AS after, count(*) AS n FROM {out}_r AS r JOIN {out}_m AS a ON a.image_id = r.image_id AND a.pos >= r.e AND a.pos < 2 * r.e - r.s GROUP BY ALL),
-{out} AS (SELECT image_id, s, e FROM {out}_a WHERE e < 9 AND s <= 4 AND e - s <= 3 AND (m * n - after * (e - s)) * 5 >= top * 2 * (e - s) * n AND (m * n - after * (e - s)) * 2 >= m * n QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY e - s DESC, s) = 1)"""
+def _spike_sql(place: str, margin: str, state: str, out: str) -> str:
+    """The longest border spike of a margin whose columns `place` counts from the edge of (lo, hi): `out` (image_id, s, e)."""
+    return f"""{out}_m AS (SELECT image_id, {place} AS pos, mass, top, {margin} AS margin, hi - lo AS n FROM {state}_c WHERE top > 0 AND {place} < {margin}),
+{out}_r AS (SELECT image_id, any_value(top) AS top, any_value(margin) AS margin, any_value(n) AS width, min(pos) AS s, max(pos) + 1 AS e, sum(mass) AS m FROM (SELECT *, pos - row_number() OVER (PARTITION BY image_id ORDER BY pos) AS island FROM {out}_m WHERE mass * 20 >= top * 7) GROUP BY image_id, island),
+{out}_a AS (SELECT r.*, a.after, a.n FROM {out}_r AS r, LATERAL (SELECT sum(a.mass) AS after, count(*) AS n FROM {out}_m AS a WHERE a.image_id = r.image_id AND a.pos >= r.e AND a.pos < 2 * r.e - r.s) AS a),
+{out} AS (SELECT image_id, s, e FROM {out}_a WHERE e < margin AND s <= 4 AND e - s <= greatest(1, trunc(width * 0.08::DOUBLE)) AND (m * n - after * (e - s)) * 5 >= top * 2 * (e - s) * n AND (m * n - after * (e - s)) * 2 >= m * n
+  QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY e - s DESC, s) = 1)"""
 
 
-@query(with_(ST, FRAMES, _level_sql("fr", "o"), "cover AS (SELECT *, max(mass) OVER (PARTITION BY image_id) AS top FROM (SELECT fr.image_id, x, count(*) FILTER (WHERE v <= t) AS mass FROM fr JOIN o USING (image_id) GROUP BY ALL))",
-             _spike_sql("x", "l"), _spike_sql("47 - x", "r")) + "SELECT i.image_id, coalesce(l.e, 0)::INT AS left_cut, coalesce(r.s + 1, 0)::INT AS right_cut FROM (SELECT DISTINCT image_id FROM px) AS i LEFT JOIN l USING (image_id) LEFT JOIN r USING (image_id)")
+def _pass_sql(state: str, out: str) -> str:
+    """One pass of border cuts over the columns lo..hi of `state`: `out` (image_id, lo, hi, left_cut, right_cut)."""
+    margin = "trunc((hi - lo) * 0.2::DOUBLE)"
+    return f"""{state}_c AS (SELECT *, max(mass) OVER (PARTITION BY image_id) AS top FROM (SELECT fr.image_id, x, any_value(lo) AS lo, any_value(hi) AS hi, count(*) FILTER (WHERE v <= t) AS mass FROM fr JOIN o USING (image_id) JOIN {state} AS w ON w.image_id = fr.image_id AND fr.x >= w.lo AND fr.x < w.hi GROUP BY fr.image_id, x)),
+{_spike_sql("x - lo", margin, state, out + "_l")}, {_spike_sql("hi - 1 - x", f"CASE WHEN hi - lo < 5 THEN hi - lo ELSE {margin} END", state, out + "_r")},
+{out}_k AS (SELECT w.image_id, lo, hi - lo AS n, coalesce(l.e, 0) AS left_cut, coalesce(r.s + 1, 0) AS right_cut FROM {state} AS w LEFT JOIN {out}_l AS l USING (image_id) LEFT JOIN {out}_r AS r USING (image_id)),
+{out} AS (SELECT image_id, lo + least(n - 1, left_cut) AS lo, lo + greatest(least(n - 1, left_cut) + 1, n - right_cut) AS hi, left_cut, right_cut FROM {out}_k)"""
+
+
+START = "b0 AS (SELECT DISTINCT image_id, 0 AS lo, 48 AS hi FROM px)"
+
+
+@query(with_(ST, FRAMES, _level_sql("fr", "o"), START, _pass_sql("b0", "b1")) + "SELECT image_id, left_cut::INT AS left_cut, right_cut::INT AS right_cut FROM b1")
 def border_cuts(spark, sf_dir):
     how = Border()
     return each_raster(_frames(spark, sf_dir), lambda key, x: [(int(key), *G.border_cuts(K.ink_otsu(x), how))], "image_id long, left_cut int, right_cut int")
 
 
-@query()
+def _rows_sql(ink: str) -> str:
+    """The rows to keep of a mask, as ty (image_id, lo, hi)."""
+    return trim_sql(ink, "y", "ty", (0.3, 0.3), (0.5, 0.5)).replace("greatest(0.005, 0.01 * top)", "greatest(0.001, 0.01 * top)").replace("round_even(n * 0.3, 0)", "trunc(n * 0.3)").replace("cover > 0.01", "cover > 0.005")
+
+
+TRIMMED = with_(ST, FRAMES, _level_sql("fr", "o"), START, *(_pass_sql(f"b{k}", f"b{k + 1}") for k in range(5)),
+    _rows_sql("(SELECT fr.image_id, fr.y, (v <= t)::INT AS ink FROM fr JOIN o USING (image_id) JOIN b5 ON b5.image_id = fr.image_id AND fr.x >= b5.lo AND fr.x < b5.hi)"),
+    "kept AS (SELECT b5.image_id, b5.lo::INT AS xl, b5.hi::INT AS xr, CASE WHEN b5.lo = 0 AND b5.hi = 48 THEN 0 ELSE coalesce(ty.lo, 0) END::INT AS yt, CASE WHEN b5.lo = 0 AND b5.hi = 48 THEN 44 ELSE coalesce(ty.hi, 44) END::INT AS yb FROM b5 LEFT JOIN ty USING (image_id))")
+
+
+@query(TRIMMED + "SELECT image_id, xl, xr, yt, yb FROM kept")
 def border_trim_iterative(spark, sf_dir):
     how = Border()
     return each_raster(_frames(spark, sf_dir), lambda key, x: [(int(key), *G.trim_border(K.ink_otsu(x), how))], "image_id long, xl int, xr int, yt int, yb int")
 
 
-VERTICAL = trim_sql("ink", "y", "ty", (0.3, 0.3), (0.5, 0.5)).replace("greatest(0.005, 0.01 * top)", "greatest(0.001, 0.01 * top)").replace("round_even(n * 0.3, 0)", "trunc(n * 0.3)").replace("cover > 0.01", "cover > 0.005")
-
-
-@query(with_(PX, OTSU, VERTICAL) + "SELECT image_id, lo AS yt, hi AS yb FROM ty")
+@query(with_(PX, OTSU, _rows_sql("ink")) + "SELECT image_id, lo AS yt, hi AS yb FROM ty")
 def vertical_bounds(spark, sf_dir):
     how = Border()
     return each_raster(_rasters(spark, sf_dir), lambda key, x: [(int(key), *G.vertical_bounds(K.ink_otsu(x), how))], "image_id long, yt long, yb long")
 
 
-@query()
+EFFECT = ("af AS (SELECT fr.image_id, fr.y, fr.x, fr.v AS v0, CASE WHEN fr.x >= xl AND fr.x < xr AND fr.y >= yt AND fr.y < yb THEN fr.v ELSE 255 END AS v FROM fr JOIN kept USING (image_id))", _level_sql("af", "oa"),
+    "ef AS (SELECT af.image_id, sum((v0 <= o.t AND v > oa.t)::INT)::BIGINT AS removed_area, sum((v0 <= o.t)::INT)::BIGINT AS total_area FROM af JOIN o USING (image_id) JOIN oa USING (image_id) GROUP BY af.image_id)")
+
+
+@query(TRIMMED.rstrip() + ", " + ", ".join(EFFECT) + " SELECT *, removed_area / greatest(1, total_area) AS removal_ratio, removed_area > 0 AS has_effect FROM ef")
 def border_effect(spark, sf_dir):
     def rows(key, x):
         left, right, top, bottom = G.trim_border(K.ink_otsu(x), Border())
@@ -607,16 +630,17 @@ def _painted_sql(source: str, parts: str, bad: str, out: str) -> str:
 {out} AS (SELECT s.image_id, s.y, s.x, coalesce(g.ground, s.v) AS v FROM {source} AS s LEFT JOIN {parts} AS l USING (image_id, y, x) LEFT JOIN {out}_g AS g ON g.image_id = l.image_id AND g.label = l.label)"""
 
 
-def _dual_sql(least: int, most: int, out: str) -> str:
-    """Parts between 0.7 and 1.2 times Otsu's threshold that look like noise: edges of each part's mask give its rim."""
+def _dual_sql(least: int, most: int, out: str, strict: float = 0.7, loose: float = 1.2, verify: bool = True) -> str:
+    """Parts between two multiples of Otsu's threshold, if asked only those that look like noise: edges of each part's
+    mask give its rim."""
     return ", ".join((
         _level_sql("px", "o"),
-        _parts_sql("px", "SELECT px.* FROM px JOIN o USING (image_id) WHERE v <= trunc(t * 1.2::DOUBLE) AND v > trunc(t * 0.7::DOUBLE)", "part"),
+        _parts_sql("px", f"SELECT px.* FROM px JOIN o USING (image_id) WHERE v <= trunc(t * {DOUBLE(loose)}) AND v > trunc(t * {DOUBLE(strict)})", "part"),
         f"sized AS (SELECT * FROM part_s WHERE area BETWEEN {least} AND {most})",
         "lone AS (SELECT sized.image_id * 64 + sized.label AS image_id, px.y, px.x, CASE WHEN part.label IS NULL THEN 0 ELSE 255 END AS v FROM sized JOIN px USING (image_id) LEFT JOIN part ON part.image_id = px.image_id AND part.y = px.y AND part.x = px.x AND part.label = sized.label)",
         _canny_sql("lone", "50", "150", "rim"),
         "rims AS (SELECT image_id // 64 AS image_id, image_id % 64 AS label, sum(v // 255) AS rim FROM rim GROUP BY ALL)",
-        """bad AS (SELECT image_id, label FROM sized JOIN rims USING (image_id, label) WHERE greatest(w, h) / least(w, h) > 8 OR CASE WHEN rim = 0 THEN 0 ELSE 4 * pi() * area / (rim * rim) END < 0.1::DOUBLE OR (mean > 180 AND spread < 20))""",
+        f"""bad AS (SELECT image_id, label FROM sized JOIN rims USING (image_id, label) WHERE {not verify} OR greatest(w, h) / least(w, h) > 8 OR CASE WHEN rim = 0 THEN 0 ELSE 4 * pi() * area / (rim * rim) END < 0.1::DOUBLE OR (mean > 180 AND spread < 20))""",
         _painted_sql("px", "part", "bad", out),
     ))
 
@@ -640,6 +664,18 @@ def noise_removed_band(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: G.remove_noise_band(x, (150, 220), 2))
 
 
+@query(with_(ST, _dual_sql(2, 57, "out", verify=False), recursive=True) + "SELECT image_id, y, x, v FROM out")
+def noise_removed_dual_any_shape(spark, sf_dir):
+    """Without the test of shape, which few parts of rasters as small as these fail."""
+    return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: G.remove_noise_dual(x, least=2, most=0.9, verify=False))
+
+
+@query(with_(ST, _dual_sql(2, 57, "out", 1.0, 1.9), recursive=True) + "SELECT image_id, y, x, v FROM out")
+def noise_removed_dual_light(spark, sf_dir):
+    """Parts above the threshold, of which the light and even ones go."""
+    return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: G.remove_noise_dual(x, 1.0, 1.9, 2, 0.9))
+
+
 @query(with_(ST, _dual_sql(5, 6, "mid"), _parts_sql("mid", "SELECT * FROM mid WHERE v BETWEEN 150 AND 220", "band"), "worse AS (SELECT image_id, label FROM band_s WHERE area >= 5)", _painted_sql("mid", "band", "worse", "out"), recursive=True) + "SELECT image_id, y, x, v FROM out")
 def noise_removed_hybrid(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), G.remove_noise_hybrid)
