@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -1163,15 +1165,17 @@ REPLY = '{"success": true, "text_regions": [{"bbox": [1, 2, 20, 9], "text": "a",
 def detected_regions(spark, sf_dir):
     """Regions of recorded replies: boxes clamped, short ones dropped, a failed page as one region."""
 
-    def recorded(key: str, png: bytes) -> str:
-        if int(key) % 2:
-            raise KeyError(key)
-        return REPLY
-
-    found = stages.detect(_pages(spark, sf_dir), recorded)
+    found = stages.detect(_pages(spark, sf_dir), _recorded)
     return found.select("image_id", "region_id", "x1", "y1", "x2", "y2", "text", "confidence")
 
 
+def _recorded(key: str, png: bytes) -> str:
+    """The recorded page for even images; the detector fails on others."""
+    if int(key) % 2:
+        raise KeyError(key)
+    return REPLY
+
+
 def _pages(spark, sf_dir):
     """Colour rasters four times their size: small page images."""
     return map_raster(R.colour_rasters(spark, sf_dir), lambda x: np.kron(x, np.ones((4, 4, 1), np.uint8)))
@@ -1189,6 +1193,95 @@ def _always(key: str, png: bytes) -> str:
     return f'{{"single_character": true, "recognizable": {good}, "has_noise": false, "character": "山", "comment": ""}}'
 
 
+#: Pages whose three vectors are all there.
+WHOLE = "i AS (SELECT vec_id // 3 AS k FROM embeddings GROUP BY ALL HAVING count(DISTINCT vec_id) = 3)"
+
+
+@query(with_(WHOLE, "r AS (SELECT k || ':' || region AS image_id FROM i, (VALUES (1), (2)) AS t(region) WHERE region = 1 OR k % 2 = 0)") + """SELECT image_id, CASE WHEN image_id IS NOT NULL THEN 1 END::INT AS region_id, 2 * count(*) AS total_files, count(*) AS accepted, count(*) AS filtered_out, 0::BIGINT AS error
+FROM r GROUP BY ROLLUP (image_id)""")
+def pipeline_report(spark, sf_dir):
+    """All four stages with recorded models: pages, their regions, two characters in each, and what the judge keeps."""
+    folder = _folder(spark)
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    done = stages.run_pipeline(_pages(spark, sf_dir), Settings(), stages.STAGES, _recorded, _detected, _always, write)
+    return done["report"]
+
+
+@query(with_(WHOLE) + "SELECT k::VARCHAR AS image_id, 1 AS region_id, 2::BIGINT AS character_count, CASE WHEN k % 2 = 0 THEN 3 END::INT AS expected_text_len FROM i")
+def segment_summaries(spark, sf_dir):
+    """Characters of each region beside the length of the text that was expected there; every other one has none."""
+    pages = _pages(spark, sf_dir)
+    expected = pages.select("image_id", F.lit("山 書").alias("expected")).where(F.col("image_id").cast("long") % 2 == 0)
+    return stages.segment_summary(stages.segment(pages, _detected(pages), Settings()), expected).drop("characters")
+
+
+@query(with_(WHOLE) + "SELECT k::VARCHAR AS image_id, k % 5 = 0 AS failed FROM i")
+def failed_rasters(spark, sf_dir):
+    """Rasters with missing bytes are error rows; the others go through the stage."""
+    cut = F.when(F.col("image_id").cast("long") % 5 == 0, F.expr("substring(data, 1, 7)")).otherwise(F.col("data"))
+    good, bad = stages.preprocess_errors(_pages(spark, sf_dir).withColumn("data", cut), Settings())
+    return good.select("image_id", F.lit(False).alias("failed")).unionByName(bad.select("image_id", F.col("error").isNotNull().alias("failed")))
+
+
+# ---- files ------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors reach; a temporary one only where driver and executors are one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not shared and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = (shared or tempfile.mkdtemp(prefix="sumi-")).rstrip("/")
+    return f"{root}/sumi-files-{uuid.uuid4().hex}"
+
+
+def _written(spark, sf_dir) -> str:
+    """The gray rasters as PNG files r<id>.png, among them one that is no image."""
+    folder = _folder(spark)
+    named = S.with_png(_rasters(spark, sf_dir)).select(F.concat(F.lit("r"), "image_id", F.lit(".png")).alias("output_file"), "png")
+    note = spark.range(1).select(F.lit("notes.txt").alias("output_file"), F.lit("none").cast("binary").alias("png"))
+    S.write_files(named.unionByName(note), folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("SELECT 'r' || vec_id || '.png' AS name, true AS has_bytes FROM embeddings")
+def listed_images(spark, sf_dir):
+    """The image files of a folder."""
+    found = I.list_images(spark, _written(spark, sf_dir))
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), (F.col("length") > 0).alias("has_bytes"))
+
+
+@query(with_(PX) + "SELECT image_id, y, x, v FROM px")
+def decoded_images(spark, sf_dir):
+    """Rasters written as PNG files, listed, read and decoded again."""
+    found = I.read_images(spark, _written(spark, sf_dir))
+    return pixel_rows(found.withColumn("image_id", F.regexp_extract("image_id", r"r(\d+)\.png$", 1)), K.gray)
+
+
+@query("SELECT page_id || '.txt' AS file, octet_length(encode(coalesce(html, '')))::BIGINT AS bytes FROM pages")
+def written_files(spark, sf_dir):
+    """Pages written as files under their names: the names and lengths that are found there afterwards."""
+    folder = _folder(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    named = pages.select(F.concat(F.col("page_id").cast("string"), F.lit(".txt")).alias("output_file"), F.coalesce("html", F.lit("")).cast("binary").alias("png"))
+    S.write_files(named, folder).write.format("noop").mode("overwrite").save()
+    found = spark.read.format("binaryFile").load(folder).select("path", "length")
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"))
+
+
+@query(with_(BOXES, PIXBOX) + "SELECT id, x, y, w, h FROM d")
+def json_records(spark, sf_dir):
+    """Boxes written as JSON records and read again."""
+    folder = _folder(spark)
+    S.write_json(_pixel_boxes(spark, sf_dir).select("id", F.struct("x", "y", "w", "h").alias("bbox")), folder)
+    return spark.read.schema("id long, bbox struct<x:int,y:int,w:int,h:int>").json(folder).select("id", "bbox.*")
+
+
 def _jet_sql(k: int) -> str:
     return f"round_even(greatest(0, least(1, least(j - {k} + 1.5::DOUBLE, {k} + 1.5::DOUBLE - j))) * 255, 0)::INT"
 
