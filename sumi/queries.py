@@ -276,12 +276,12 @@ def fill_ratio(spark, sf_dir):
     return P.otsu_ink(_together(spark, sf_dir)).groupBy("image_id").agg(F.sum("ink").alias("ink_pixels"), F.count("*").alias("pixels"))
 
 
-def _smooth_sql(size: int, mode: str) -> str:
-    """Gaussian means of px as CTEs that end in sm (image_id, y, x, v, mean); edges mirrored or repeated."""
+def _smooth_sql(size: int, mode: str, source: str = "px", sigma: float = 0.0) -> str:
+    """Gaussian means of a pixel table as CTEs that end in sm (image_id, y, x, v, mean); edges mirrored or repeated."""
     place = lambda c: f"greatest(0, least(7, {c}))" if mode == "edge" else f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > 7 THEN 14 - ({c}) ELSE {c} END"
-    rows = ", ".join(f"({k - size // 2}, {float(w)!r}::DOUBLE)" for k, w in enumerate(K.gaussian_weights(size)))
+    rows = ", ".join(f"({k - size // 2}, {float(w)!r}::DOUBLE)" for k, w in enumerate(K.gaussian_weights(size, sigma)))
     return f"""k1 AS (SELECT * FROM (VALUES {rows}) AS t(d, w)),
-sm0 AS (SELECT a.image_id, a.y, a.x, any_value(a.v) AS v, sum(k1.w * b.v) AS m FROM px AS a JOIN k1 ON true JOIN px AS b ON b.image_id = a.image_id AND b.x = a.x AND b.y = {place("a.y + k1.d")} GROUP BY a.image_id, a.y, a.x),
+sm0 AS (SELECT a.image_id, a.y, a.x, any_value(a.v) AS v, sum(k1.w * b.v) AS m FROM {source} AS a JOIN k1 ON true JOIN {source} AS b ON b.image_id = a.image_id AND b.x = a.x AND b.y = {place("a.y + k1.d")} GROUP BY a.image_id, a.y, a.x),
 sm AS (SELECT a.image_id, a.y, a.x, any_value(a.v) AS v, greatest(0, least(255, round_even(sum(k1.w * b.m), 0)))::INT AS mean FROM sm0 AS a JOIN k1 ON true JOIN sm0 AS b ON b.image_id = a.image_id AND b.y = a.y AND b.x = {place("a.x + k1.d")} GROUP BY a.image_id, a.y, a.x)"""
 
 
@@ -391,7 +391,13 @@ def box_trim(spark, sf_dir):
     return each_raster(_rasters(spark, sf_dir), lambda key, x: [(int(key), *G.trim_box(K.ink_otsu(x), how))], "image_id long, xl long, xr long, yt long, yb long")
 
 
-@query()
+TEXTS = "t AS (SELECT doc_id AS image_id, string_split(translate(coalesce(text, ''), chr(13) || chr(10), '  '), '') AS c, length(coalesce(text, '')) AS n FROM documents)"
+PAGES = """q AS (SELECT image_id, unnest(c) AS ch, unnest(range(len(c))) AS p FROM t WHERE n > 0),
+px AS (SELECT image_id, (p // 64)::INT AS y, (p % 64)::INT AS x, CASE WHEN ch = ' ' OR ch = chr(9) THEN 255 ELSE 255 - unicode(ch) % 256 END AS v FROM q
+  UNION ALL SELECT image_id, (p // 64)::INT AS y, (p % 64)::INT AS x, 255 AS v FROM (SELECT image_id, unnest(range(n, (n + 63) // 64 * 64)) AS p FROM t))"""
+
+
+@query(with_(TEXTS, PAGES, OTSU, TRIM_X, TRIM_Y) + "SELECT image_id, tx.lo AS xl, tx.hi AS xr, ty.lo AS yt, ty.hi AS yb FROM tx JOIN ty USING (image_id) UNION ALL SELECT image_id, 0, 64, 0, 0 FROM t WHERE n = 0")
 def glyph_box_trim(spark, sf_dir):
     how = Trim()
     return each_raster(R.glyph_rasters(spark, sf_dir), lambda key, x: [(int(key), *G.trim_gray(x, how))], "image_id long, xl long, xr long, yt long, yb long")
@@ -729,6 +735,13 @@ def stroke_heal(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: K.heal(x, smooth=True))
 
 
+@query(with_(ST, _around("px", "max", "d"), _around("d", "min", "c"), "kept AS (SELECT px.image_id, px.y, px.x, greatest(0, px.v - round_even(greatest(0, c.v - px.v) * 0.6::DOUBLE, 0))::INT AS v FROM px JOIN c USING (image_id, y, x))", _smooth_sql(7, "reflect", "kept", 1.0))
+       + "SELECT image_id, y, x, greatest(0, least(255, round_even(v * 1.2::DOUBLE - mean * 0.2::DOUBLE, 0)))::INT AS v FROM sm")
+def ink_kept(spark, sf_dir):
+    """Strokes darkened by their black-hat, then sharpened."""
+    return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: K.keep_ink(x, 3, 0.6, 0.2))
+
+
 @query(with_(ST, _level_sql("px", "o"), "b AS (SELECT px.image_id, y, x, CASE WHEN v > t THEN 255 ELSE 0 END AS v FROM px JOIN o USING (image_id))", _steps_sql("b", "out", ("max", CROSS), ("max", CROSS), ("min", CROSS), ("min", CROSS), ("min", CROSS), ("max", CROSS))) + "SELECT image_id, y, x, v FROM out")
 def morph_cleanup(spark, sf_dir):
     return pixel_rows(_stretched_rasters(spark, sf_dir), lambda x: K.cleanup(K.bright_otsu(x), 3, 3))

@@ -260,3 +260,49 @@ def test_skeleton_lies_inside_and_is_thin():
     mask[4:14, 3:17] = 255
     thin = K.skeleton(mask) > 0
     assert thin.any() and not (thin & (mask == 0)).any() and thin.sum() < 0.5 * (mask > 0).sum()
+
+
+def test_weak_connections_by_loops(rng):
+    """Thin junctions found pixel by pixel, and cuts that leave only parts that are large enough."""
+    cut = 0
+    for _ in range(60):
+        mask = np.pad(rng.random((9, 9)) < 0.72, 1)
+        s, d = K.skeleton(mask) > 0, K.distance(mask)
+        want = []
+        for y in range(11):
+            for x in range(11):
+                near = sum(bool(s[a, b]) for a in range(max(0, y - 1), min(11, y + 2)) for b in range(max(0, x - 1), min(11, x + 2))) - 1
+                if s[y, x] and near >= 3 and d[y, x] < 2:
+                    around = [d[a, b] for a in range(max(0, y - 3), min(11, y + 4)) for b in range(max(0, x - 3), min(11, x + 4)) if d[a, b] > 0]
+                    if d[y, x] < np.mean(around) * 0.9:
+                        want.append((y, x))
+        assert [(y, x) for y, x, _ in K.weak_points(mask, 2, 0.9, 3)] == want
+        out = K.break_weak(mask, 2, 0.9, 3) > 0
+        assert not (out & ~mask).any()
+        if (out != mask).any():
+            cut += 1
+            assert (K.components(out)[1][:, 4] >= 3).all()
+        assert ((K.break_weak(mask, 2, 0.9, 10_000) > 0) == mask).all()
+    assert cut and K.break_weak(np.zeros((5, 5), bool)).max() == 0
+
+
+def test_png_is_read_back_by_its_chunks(rng):
+    """The encoder's files hold the raster: signature, checksums and rows by the format's own rules."""
+    import struct
+    import zlib
+
+    from sumi.sources.images import encode_png
+
+    for x in (rng.integers(0, 256, (5, 7), np.uint8), rng.integers(0, 256, (4, 3, 3), np.uint8)):
+        png, at, parts = encode_png(x), 8, {}
+        assert png[:8] == b"\x89PNG\r\n\x1a\n"
+        while at < len(png):
+            (n,), kind = struct.unpack(">I", png[at : at + 4]), png[at + 4 : at + 8]
+            parts[kind] = png[at + 8 : at + 8 + n]
+            assert struct.unpack(">I", png[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + parts[kind])
+            at += 12 + n
+        w, h, depth, colour = struct.unpack(">IIBB", parts[b"IHDR"][:10])
+        assert (h, w, depth, colour) == (*x.shape[:2], 8, 0 if x.ndim == 2 else 2)
+        rows = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(h, -1)
+        assert not rows[:, 0].any()
+        assert (rows[:, 1:].reshape(x.shape) == (x if x.ndim == 2 else x[..., ::-1])).all()
