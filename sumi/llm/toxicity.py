@@ -4,7 +4,8 @@ Tokens are lower-case words. A word stands for itself and for its stems (its fir
 into a cell of a table of fixed size. Document counts over all documents give the Dirichlet prior, counts over the
 labelled training rows the two classes. A word is scored by whichever of its cells has the most significant
 log-odds (signed root deviance of at least `z_min`): the log likelihood ratio of that cell under these priors. All
-other words drift down a little, so that scores fall on clean text. One linear scan (Ruzzo and Tompa) finds every
+other words drift down a little, so that scores fall on clean text, and the k-th occurrence of a word in a document
+counts 1 / k of its score, as words come in bursts. One linear scan (Ruzzo and Tompa) finds every
 maximal scoring segment of a document; it is a significant passage if lambda * score - ln(n tokens) exceeds
 ln(1 / alpha), lambda from the Karlin-Altschul equation over the word scores of the clean training documents.
 ln K of the extreme-value law is fitted to those documents, the passages of a document add up to one statistic, and
@@ -147,6 +148,16 @@ def word_scorer(ratio: np.ndarray, z: np.ndarray, z_min: float = Z_MIN, drift: f
     return value
 
 
+def damp(tokens: list[str], scores: np.ndarray) -> np.ndarray:
+    """Scores of a document's words in which the k-th occurrence of a word counts 1 / k of its score if that is
+    positive: words come in bursts, so a repeat is less evidence than the first."""
+    times: dict[str, int] = {}
+    for i in np.flatnonzero(scores > 0).tolist():
+        k = times[tokens[i]] = times.get(tokens[i], 0) + 1
+        scores[i] /= k
+    return scores
+
+
 SEGMENT = "array<struct<score:double,start:int,end:int>>"
 
 
@@ -166,7 +177,7 @@ def segment_rows(docs: DataFrame, label: str, ratio: np.ndarray, z: np.ndarray,
             found, kept = [], [batch.column(i).type for i in range(len(keep))]
             for text, y in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True):
                 tokens = words(text)
-                scores = np.fromiter(map(memo.__getitem__, tokens), np.float64, len(tokens))
+                scores = damp(tokens, np.fromiter(map(memo.__getitem__, tokens), np.float64, len(tokens)))
                 if y == 0:
                     seen += np.bincount(np.searchsorted(SCORE_EDGES, scores), minlength=len(seen))
                 found.append((len(tokens), [{"score": s, "start": a, "end": b} for s, a, b in segments(scores)], None, None))

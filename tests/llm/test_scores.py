@@ -146,3 +146,10 @@ def test_odd(spark, odd, none, module, label):
     assert len({r.score for r in got if r.doc_id in (4, 5)}) == 1
     assert module.score(odd, labels.limit(0)).count() == 10
     assert module.score(none, labels).count() == 0
+
+
+def test_repeats_of_a_word_count_less():
+    """The k-th occurrence of a positive word counts 1 / k, negative scores stay, and no words give no scores."""
+    got = toxicity.damp(["a", "b", "a", "c", "a", "b"], np.array([6.0, 1.0, 6.0, -0.05, 6.0, 1.0]))
+    assert got.tolist() == [6.0, 1.0, 3.0, -0.05, 2.0, 0.5]
+    assert toxicity.damp([], np.zeros(0)).tolist() == []
