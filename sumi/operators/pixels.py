@@ -74,14 +74,23 @@ def otsu_ink(px: DataFrame) -> DataFrame:
 
 
 def adaptive_ink(px: DataFrame, size: int, block: int = 5, c: int = 3) -> DataFrame:
-    """Ink where v + c is at most the mean of a block in which edge pixels repeat; rasters are `size` wide and high."""
+    """Ink where v + c is at most the mean of a block in which edge pixels repeat; rasters are `size` wide and high.
+
+    Each value is added to the pixels around it, along columns and then along rows; there is no join, whose sides would
+    have many times the rows that their size on disk promises. Repeats of a pixel with one value give one row."""
     r = (block + 1 - block % 2) // 2
-    near = F.sequence(F.lit(-r), F.lit(r))
-    spread = lambda c: F.greatest(F.lit(0), F.least(F.lit(size - 1), c))
-    asked = px.select("image_id", "y", "x", F.explode(near).alias("dy")).withColumn("dx", F.explode(near)).select("image_id", "y", "x", spread(F.col("y") + F.col("dy")).alias("ny"), spread(F.col("x") + F.col("dx")).alias("nx"))
-    values = px.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("v").alias("nv"))
-    sums = asked.join(values, ["image_id", "ny", "nx"]).groupBy("image_id", "y", "x").agg(F.sum("nv").alias("s"), F.count("*").alias("n"))
-    return px.join(sums, ["image_id", "y", "x"]).select("image_id", "y", "x", ((F.col("v") + c) * F.col("n") <= F.col("s")).cast("int").alias("ink"))
+    last = size - 1
+
+    def added(rows: DataFrame, axis: str) -> DataFrame:
+        moved = rows.withColumn("d", F.explode(F.array(*(F.lit(d) for d in range(-r, r + 1))))).withColumn("at", F.col(axis) + F.col("d")).where(F.col("at").between(0, last))
+        repeats = 1 + F.when(F.col(axis) == 0, F.greatest(F.lit(0), r - F.col("at"))).otherwise(0) + F.when(F.col(axis) == last, F.greatest(F.lit(0), F.col("at") + (r - last))).otherwise(0)
+        return moved.withColumn("k", repeats).withColumn("own", F.when(F.col("d") == 0, F.col("own")))
+
+    sums = F.sum(F.col("k") * F.col("s")).alias("s"), F.sum(F.col("k") * F.col("n")).alias("n")
+    known = px.where("image_id is not null").select("image_id", "y", "x", F.col("v").alias("s"), F.lit(1).alias("n"), F.struct("v").alias("own"))
+    down = added(known, "y").groupBy("image_id", F.col("at").alias("y"), "x").agg(*sums, F.collect_set("own").alias("own"))
+    both = added(down, "x").groupBy("image_id", "y", F.col("at").alias("x")).agg(*sums, F.first("own", ignorenulls=True).alias("own"))
+    return both.withColumn("own", F.explode("own")).select("image_id", "y", "x", ((F.col("own.v") + c) * F.col("n") <= F.col("s")).cast("int").alias("ink"))
 
 
 def auto_invert(masked: DataFrame, on: str = "bright") -> DataFrame:
