@@ -75,10 +75,12 @@ def release(*tables: DataFrame) -> None:
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", limit: int | None = None) -> DataFrame:
-    """Join; `right` is broadcast only after counting that it has at most `limit` rows, else both are shuffled."""
+    """Join; `right` is broadcast only after counting that it has at most `limit` rows, else both are shuffled.
+
+    The hint keeps Spark from judging a side by its compressed files and broadcasting it all the same."""
     limit = BROADCAST_ROWS if limit is None else limit
     few = right.limit(limit + 1).count() <= limit
-    return left.join(F.broadcast(right) if few else right, on, how)
+    return left.join(F.broadcast(right) if few else right.hint("merge"), on, how)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

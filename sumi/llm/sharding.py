@@ -24,6 +24,8 @@ from .base import join_checked, materialize
 LIMIT_BYTES = 64 << 20
 STEP = 12
 ROUNDS = 10
+#: Rows up to which a directory is broadcast: each holds a path besides its numbers, some 200 bytes in a hash table.
+DIRECTORY_ROWS = 100_000
 
 
 def shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, keep: tuple[str, ...] = ("doc_id",), row: Column | None = None) -> DataFrame:
@@ -50,9 +52,9 @@ def shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, keep: tuple[str, ...
         sums = levels.groupBy("path", "depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("n_rows"))
         fits = sums.where((F.col("shard_bytes") <= limit_bytes) | (F.col("n_rows") == 1) | ((F.lit(k) == ROUNDS - 1) & (F.col("depth") == STEP)))
         fits = materialize(fits.select("path", "depth", "prefix", "shard_bytes"), "shard-fits", narrow=True)
-        chosen = join_checked(levels.select("path", "word", "depth", "prefix"), fits, ["path", "depth", "prefix"], "inner")
+        chosen = join_checked(levels.select("path", "word", "depth", "prefix"), fits, ["path", "depth", "prefix"], "inner", limit=DIRECTORY_ROWS)
         directory = chosen.groupBy("path", "word").agg(F.min_by(F.struct("depth", "prefix", "shard_bytes"), "depth").alias("at"))
-        joined = join_checked(open_rows, materialize(directory, "shard-directory", narrow=True), ["path", "word"])
+        joined = join_checked(open_rows, materialize(directory, "shard-directory", narrow=True), ["path", "word"], limit=DIRECTORY_ROWS)
         bits = F.when(F.col("at.depth") > 0, F.expr("lpad(bin(at.prefix), at.depth, '0')")).otherwise("")
         placed = joined.where(F.col("at").isNotNull()).select(
             *keep,
