@@ -136,11 +136,30 @@ def extreme3(px: DataFrame, value: str, largest: bool) -> DataFrame:
 
 def stencil(px: DataFrame, size: int, weights: dict[tuple[int, int], int], name: str) -> DataFrame:
     """Sum of weighted neighbours; outside, the raster is reflected about its edge pixels."""
-    mirror = lambda c: F.when(c < 0, -c).when(c >= size, 2 * size - 2 - c).otherwise(c)
-    terms = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(k).alias("k")) for (dy, dx), k in weights.items()))
-    asked = px.select("image_id", "y", "x", F.explode(terms).alias("w")).select("image_id", "y", "x", mirror(F.col("y") + F.col("w.dy")).alias("ny"), mirror(F.col("x") + F.col("w.dx")).alias("nx"), F.col("w.k").alias("k"))
-    values = px.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("v").alias("nv"))
-    return asked.join(values, ["image_id", "ny", "nx"]).groupBy("image_id", "y", "x").agg(F.sum(F.col("k") * F.col("nv")).alias(name))
+    return stencils(px, size, {name: weights})
+
+
+def stencils(px: DataFrame, size: int, named: dict[str, dict[tuple[int, int], int]]) -> DataFrame:
+    """(image_id, y, x) and the sum of each stencil in one pass, where each has a neighbour.
+
+    Values are laid around the raster where it is reflected, then each is added to the pixels that see it: no join, as
+    in `adaptive_ink`."""
+    last = size - 1
+    offsets = sorted({(0, 0)}.union(*named.values()))
+    r = max(max(abs(dy), abs(dx)) for dy, dx in offsets)
+    laid = px.where("image_id is not null").select("image_id", "y", "x", "v")
+    for axis in "yx":
+        c = F.col(axis)
+        places = F.array(c, F.when((c > 0) & (c <= r), -c), F.when((c < last) & (c >= last - r), 2 * last - c))
+        laid = laid.withColumn("at", F.explode(places)).where("at is not null").drop(axis).withColumnRenamed("at", axis)
+    weight = lambda w, at: F.lit(w.get(at)).cast("int")
+    terms = F.array(*(F.struct(F.lit(at[0]).alias("dy"), F.lit(at[1]).alias("dx"), *(weight(w, at).alias(f"k{i}") for i, w in enumerate(named.values()))) for at in offsets))
+    seen = laid.withColumn("w", F.explode(terms)).select("image_id", (F.col("y") - F.col("w.dy")).alias("y"), (F.col("x") - F.col("w.dx")).alias("x"), "v", "w")
+    seen = seen.where(F.col("y").between(0, last) & F.col("x").between(0, last))
+    here = F.count(F.when((F.col("w.dy") == 0) & (F.col("w.dx") == 0), 1))  # the pixel itself, as often as it is there
+    each = [(F.sum(F.col(f"w.k{i}") * F.col("v")) * here).alias(name) for i, name in enumerate(named)]
+    sums = seen.groupBy("image_id", "y", "x").agg(*each, here.alias("here"), *(F.count(f"w.k{i}").alias(f"n{i}") for i in range(len(named))))
+    return sums.where(" and ".join(["here > 0", *(f"n{i} > 0" for i in range(len(named)))])).select("image_id", "y", "x", *named)
 
 
 # ---- component decisions ----------------------------------------------------------------------------------------

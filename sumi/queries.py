@@ -752,8 +752,7 @@ SOBEL = with_(PX, _stencil_sql(GX, "gx"), _stencil_sql(GY, "gy")) + "SELECT gx.i
 
 @query(SOBEL)
 def sobel_mag2(spark, sf_dir):
-    px = _together(spark, sf_dir)
-    both = P.stencil(px, 8, GX, "gx").join(P.stencil(px, 8, GY, "gy"), ["image_id", "y", "x"])
+    both = P.stencils(_together(spark, sf_dir), R.SIDE, {"gx": GX, "gy": GY})
     return both.select("image_id", "y", "x", (F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("mag2"))
 
 

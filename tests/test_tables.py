@@ -39,3 +39,9 @@ def no_pixel_joins(df):
 def test_adaptive_mask_without_joins(spark, sf_dir, tmp_path):
     assert no_pixel_joins(Q.QUERIES["adaptive_mean_mask"](spark, sf_dir))
     assert differ(spark, tmp_path, "adaptive_mean_mask", embeddings=vectors(1, 2, 2, 5, None)) == SAME
+
+
+def test_stencils_without_joins(spark, sf_dir, tmp_path):
+    for name in ("sobel_mag2", "laplacian_abs"):
+        assert no_pixel_joins(Q.QUERIES[name](spark, sf_dir))
+        assert differ(spark, tmp_path, name, embeddings=vectors(1, 2, 2, 5, None)) == SAME
