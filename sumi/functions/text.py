@@ -96,7 +96,8 @@ def output_file(k: Column, character: Column, kept: Column) -> Column:
 
 
 def encode(data: Column) -> Column:
-    return F.base64(data)
+    """Base64 on one line: Spark breaks lines after 76 characters unless a setting of the session says otherwise."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
 
 
 def register(spark: SparkSession) -> None:

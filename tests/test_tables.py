@@ -45,3 +45,8 @@ def test_stencils_without_joins(spark, sf_dir, tmp_path):
     for name in ("sobel_mag2", "laplacian_abs"):
         assert no_pixel_joins(Q.QUERIES[name](spark, sf_dir))
         assert differ(spark, tmp_path, name, embeddings=vectors(1, 2, 2, 5, None)) == SAME
+
+
+def test_base64_on_one_line(spark, tmp_path):
+    urls = [None, "", "a", *("http://é漢.example/" + "x" * n for n in (34, 35, 36, 300, 5_000))]
+    assert differ(spark, tmp_path, "base64_bytes", pages=pa.table({"page_id": range(len(urls)), "url": urls})) == SAME
