@@ -422,10 +422,12 @@ w AS (SELECT *, max(mass) OVER (PARTITION BY image_id) AS top FROM w1)"""
 
 
 def _waves(spark, sf_dir):
-    """(image_id, cover): a 50-place profile of whole numbers for each user."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cells = [F.floor(F.coalesce(F.sum(F.when(F.col("event_id") % 50 == k, F.abs("value"))), F.lit(0.0))) for k in range(50)]
-    return events.groupBy(F.col("user_id").alias("image_id")).agg(F.array(*cells).alias("mass"))
+    """(image_id, mass): a 50-place profile of whole numbers for each user. Values are added as the decimals they are
+    written as: a sum of doubles depends on the order, and is cut to the number below where it ends just short of one."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null")
+    places = events.groupBy(F.col("user_id").alias("image_id"), (F.col("event_id") % 50).alias("pos")).agg(F.floor(F.sum(F.abs("value").cast("decimal(38,18)"))).cast("long").alias("mass"))
+    cells = [F.coalesce(F.max(F.when(F.col("pos") == k, F.col("mass"))), F.lit(0).cast("long")) for k in range(50)]
+    return places.groupBy("image_id").agg(F.array(*cells).alias("mass"))
 
 
 SPIKES = """r0 AS (SELECT *, pos - row_number() OVER (PARTITION BY image_id ORDER BY pos) AS island FROM w WHERE top > 0 AND pos < 10 AND mass * 20 >= top * 7),
@@ -445,9 +447,9 @@ def border_spikes(spark, sf_dir):
         for batch in batches:
             out = []
             for key, mass in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cover = np.asarray(mass, np.float64)
+                cover = np.asarray(mass, np.int64)
                 if cover.max(initial=0) > 0:
-                    out += [(key, s["start"], s["end"], s["border"]) for s in G.spikes(cover[:10], float(cover.max()), len(cover), how)]
+                    out += [(key, s["start"], s["end"], s["border"]) for s in G.spikes(cover[:10], int(cover.max()), len(cover), how)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["image_id", "start", "end", "border"])
 
     return _waves(spark, sf_dir).mapInArrow(rows, 'image_id long, start long, end long, border boolean')

@@ -1,10 +1,17 @@
 """Queries on odd and larger tables against their SQL."""
 
+import functools
+import itertools
+import operator
+
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from sumi import queries as Q
+from sumi.config import Border
+from sumi.operators import glyphs as G
 
 from .test_queries import plain
 
@@ -50,3 +57,29 @@ def test_stencils_without_joins(spark, sf_dir, tmp_path):
 def test_base64_on_one_line(spark, tmp_path):
     urls = [None, "", "a", *("http://é漢.example/" + "x" * n for n in (34, 35, 36, 300, 5_000))]
     assert differ(spark, tmp_path, "base64_bytes", pages=pa.table({"page_id": range(len(urls)), "url": urls})) == SAME
+
+
+def events(rows):
+    users, ids, values = zip(*rows, strict=True)
+    return pa.table({"event_id": pa.array(ids, pa.int64()), "user_id": pa.array(users, pa.int64()), "value": pa.array(values, pa.float64())})
+
+
+def test_waves_do_not_depend_on_the_order(spark, tmp_path):
+    """In some orders the doubles add up to 471.99999999999994."""
+    orders = list(itertools.permutations([100.41, 63.69, 22.89, 194.96, 90.05]))
+    pq.write_table(events([(u, 18 + 50 * k, v) for u, order in enumerate(orders) for k, v in enumerate(order)]), f"{tmp_path}/events.parquet")
+    assert {functools.reduce(operator.add, order) < 472 for order in orders} == {True, False}
+    assert {(r.mass[18], sum(r.mass)) for r in Q._waves(spark, str(tmp_path)).collect()} == {(472, 472)}
+
+
+def test_spikes_of_odd_events(spark, tmp_path):
+    rows = [(None, 1, 50.0), (None, 51, 3.0), (1, None, 9.0), (1, 2, None), (2, 3, -40.0), (2, 30, 100.0), (2, 5, 35.0), (3, -4, 7.0), (3, 4, 7.0)]
+    assert differ(spark, tmp_path, "border_spikes", events=events(rows)) == SAME
+
+
+def test_spikes_decide_ties_exactly():
+    """Drops of just 2 / 5 of the top, in thirds: borders, and none with a top one larger."""
+    for top, *mass in ((5, 3, 3, 5, 1, 1, 3), (10, 4, 4, 5, 0, 0, 1), (20, 8, 8, 10, 0, 0, 2), (40, 19, 19, 20, 3, 3, 4), (70, 33, 33, 35, 5, 5, 7)):
+        for more in (0, 1):
+            found = G.spikes(np.array([*mass, 0, 0, 0, 0]), top + more, 50, Border())
+            assert [(s["start"], s["end"], s["border"]) for s in found][0] == (0, 3, not more)
