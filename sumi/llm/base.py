@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which `join_checked` broadcasts a side of a few narrow columns (about 50 MB at most).
 BROADCAST_ROWS = 1_000_000
 
-#: Rows and bytes of whole texts in an Arrow batch; each worker holds a batch or two in both of its processes.
-TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+#: Rows and bytes of whole texts in an Arrow batch; each worker holds a batch or two in both of its processes. The JVM
+#: copies a batch to buffers beside its heap that double as they grow, and what it frees there stays with the process.
+TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 20}
 
 #: Bits of a key filter (16 MB), whatever the number of keys; each key sets four of them.
 FILTER_BITS = 27
 
 _own_folder: list[str] = []
 
+#: What this Python worker keeps from task to task.
+_kept: dict[str, object] = {}
+
 
 def scratch(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset and all run in one JVM."""
@@ -50,6 +56,37 @@ def text_batches(spark: SparkSession):
             spark.conf.set(k, v)
 
 
+def keep(name: str, make):
+    """What `make` gives, made once in each Python worker: it stays until a `tidy` task of another name begins there."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def drop_kept(name: str | None = None) -> None:
+    """Drop what this worker keeps under other names; memory without use goes back to the system."""
+    for other in _kept.keys() - {name}:
+        del _kept[other]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(run, name: str | None = None):
+    """`run` for mapInArrow in workers that serve one operator after the other: what others keep there is dropped first,
+    and what the task itself no longer needs goes back to the system at its end."""
+
+    def task(batches):
+        drop_kept(name)
+        try:
+            yield from run(batches)
+        finally:
+            drop_kept(name)
+
+    return task
+
+
 def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there and lost executors lose nothing.
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import join_checked, materialize, row_key, text_batches
+from .base import join_checked, materialize, row_key, text_batches, tidy
 from .graph import components
 
 WORDS = 5
@@ -102,7 +102,7 @@ def word_idf(docs: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(used[at : at + 10_000]), pa.array(total[used[at : at + 10_000]])], names=["cell", "n"])
 
     with text_batches(docs.sparkSession):
-        rows = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        rows = docs.select("text").mapInArrow(tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(size + 1)
     df[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) / math.log(1 / RARE)
@@ -234,7 +234,7 @@ def sample(docs: DataFrame, idf: np.ndarray, words: int = WORDS, bands: int = BA
             )
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"uid long, doc_id {kind}, row_key struct<a:long,b:long>, node binary, keys array<long>, shingles binary")
+    return source.mapInArrow(tidy(run), f"uid long, doc_id {kind}, row_key struct<a:long,b:long>, node binary, keys array<long>, shingles binary")
 
 
 def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
             d = [1.0 - similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(xs, ys, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64())], names=["leader", "uid", "d"])
 
-    return both.select("leader", "uid", "x", "y").mapInArrow(run, "leader long, uid long, d double")
+    return both.select("leader", "uid", "x", "y").mapInArrow(tidy(run), "leader long, uid long, d double")
 
 
 def _unresolved(members: DataFrame, checked: DataFrame, far: float) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import join_checked, materialize
+from .base import join_checked, keep, materialize, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -131,14 +131,9 @@ class Words(dict):
         return out
 
 
-_loaded: dict[str, WordIds] = {}
-
-
 def word_ids(tokenizer_file: str) -> WordIds:
-    """One for each Python worker, so tasks that follow each other share its cache."""
-    if tokenizer_file not in _loaded:
-        _loaded[tokenizer_file] = WordIds(tokenizer_file)
-    return _loaded[tokenizer_file]
+    """One for each Python worker, so tasks that follow each other share its cache; other operators' tasks drop it."""
+    return keep(tokenizer_file, lambda: WordIds(tokenizer_file))
 
 
 #: Kinds of rows of the state: open gaps, lengths left, the number of sequences so far, and what was placed.
@@ -268,7 +263,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, chunk int, rank long")
+    return rows.mapInArrow(tidy(run, tokenizer_file), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, chunk int, rank long")
 
 
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import held_out, materialize, text_batches, training_labels
+from .base import held_out, materialize, text_batches, tidy, training_labels
 
 TABLE_BITS = 18
 STEMS = (4, 5, 6, 7)
@@ -110,7 +110,7 @@ def count_cells(docs: DataFrame, label: str, bits: int = TABLE_BITS) -> tuple[di
             part = used[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(t[part]) for t in total)], names=["cell", "n", "n0", "n1"])
 
-    each = docs.select("text", F.col(label).cast("int")).mapInArrow(run, "cell long, n long, n0 long, n1 long")
+    each = docs.select("text", F.col(label).cast("int")).mapInArrow(tidy(run), "cell long, n long, n0 long, n1 long")
     with text_batches(docs.sparkSession):
         rows = each.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "n0", "n1"))).toArrow()
     out = {}
@@ -187,7 +187,7 @@ def segment_rows(docs: DataFrame, label: str, ratio: np.ndarray, z: np.ndarray,
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(used), k) for k in kept), *arrays([(None, None, int(k), int(seen[k])) for k in used])], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(run, f"{schema}, n_tokens long, segments {SEGMENT}, bin int, bin_words long")
+    return rows.mapInArrow(tidy(run), f"{schema}, n_tokens long, segments {SEGMENT}, bin int, bin_words long")
 
 
 def karlin_lambda(scores: np.ndarray, counts: np.ndarray) -> float:

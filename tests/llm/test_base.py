@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,53 @@ def test_row_keys(spark):
     frame = spark.createDataFrame([(1, "a", "k"), (1, "a", "k"), (1, "a", "l"), (None, None, None)], "doc_id long, text string, row_key string")
     keys = [r[0] for r in frame.select(base.row_key(frame)).collect()]
     assert keys[0] == keys[1] and len({tuple(k) for k in keys}) == 3
+
+
+def test_text_batches_are_small(spark):
+    """A batch of whole texts stays near a megabyte, a longer text is a batch of its own."""
+    texts = [(k, "w" * 40_000, "a") for k in range(300)] + [(400, "w" * 3_000_000, "a")]
+    frame = make(spark, texts).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([sum(map(len, batch.column(0).to_pylist()))])], names=["n", "size"])
+
+    with base.text_batches(spark):
+        found = frame.select("text").mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in found) == 301 and sum(r["size"] for r in found) == 300 * 40_000 + 3_000_000
+    assert max(r["size"] for r in found if r["size"] < 3_000_000) < 1_200_000
+
+
+def test_workers_drop_what_other_operators_keep(spark):
+    """The tokenizer and its caches stay for the tasks of packing, and go when a task of another operator begins."""
+    import public_tokenizers
+
+    from sumi.llm import minhash, packing, toxicity
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    frame = make(spark, [(k, f"some words of text {k}", "a") for k in range(20)]).coalesce(1)
+    marked = frame.withColumn("__y", F.lit(0))
+    base.drop_kept()
+    ids = packing.word_ids(file)
+    assert packing.word_ids(file) is ids
+    base.drop_kept(file)
+    assert packing.word_ids(file) is ids
+
+    def of_workers():
+        return {r.pid: r.n for r in frame.select("doc_id").mapInArrow(kept_in_worker, "pid long, n long").collect()}
+
+    def kept_in_worker(batches):
+        import os
+
+        from sumi.llm import base as here
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([len(here._kept)])], names=["pid", "n"])
+
+    for other in (lambda: toxicity.count_cells(marked, "__y"), lambda: minhash.word_idf(frame)):
+        packing.pieces(frame, file).collect()
+        before = of_workers()
+        other()
+        after = of_workers()
+        assert all(after[p] == 0 for p in before.keys() & after.keys())
+    base.drop_kept()
